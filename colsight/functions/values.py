@@ -13,7 +13,7 @@ LONGEST_TEXT_KEY = 64
 
 def column(name: str) -> Column:
     """Column by its literal name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def _is_nested(data_type: T.DataType) -> bool:
@@ -45,23 +45,28 @@ def json_safe_text(col: Column, data_type: T.DataType) -> Column:
     return json_safe(col, data_type).cast("string")
 
 
-def digest(text: Column) -> Column:
-    """A grouping key for ``text``: itself when short, else its SHA-256.
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def digest(text: str) -> str:
+    """SQL text of a grouping key for ``text``: itself when short, else its SHA-256.
 
     The digest form is longer than any short text, so the two cannot meet.
     """
-    hashed = F.concat(F.lit("sha256:"), F.sha2(text, 256))
-    return F.when(F.length(text) <= LONGEST_TEXT_KEY, text).otherwise(hashed)
+    return f"if(length({text}) <= {LONGEST_TEXT_KEY}, {text}, concat('sha256:', sha2({text}, 256)))"
 
 
-def grouping_key(col: Column, data_type: T.DataType) -> Column:
-    """A comparable stand-in for ``col`` that keeps distinct values distinct."""
+def grouping_key(name: str, data_type: T.DataType) -> str:
+    """SQL text of a comparable stand-in for a column that keeps distinct values distinct."""
+    col = quoted(name)
     if isinstance(data_type, T.IntegralType):
-        return col.cast("bigint")
+        return f"cast({col} as bigint)"
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         return digest(col)
     if isinstance(data_type, T.BinaryType):
-        return digest(F.hex(col))
+        return digest(f"hex({col})")
     if _is_nested(data_type):
-        return digest(F.to_json(col))
+        return digest(f"to_json({col})")
     return col

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from colsight.functions import types as kinds
-from colsight.functions.values import column
+from colsight.functions.values import quoted
 from colsight.operators.cells import Dataset, empty, union_all
 from colsight.operators.ranks import PERCENTILES
 
@@ -21,18 +20,15 @@ def approximate_percentiles(data: Dataset, accuracy: int) -> DataFrame:
         refs = [r for r in data.of_category(kinds.NUMERIC) if r.table == table]
         if not refs:
             continue
+        points = ", ".join(str(p) for p in PERCENTILES.values())
         sketches = [
-            F.percentile_approx(column(r.name).cast("double"), list(PERCENTILES.values()), accuracy).alias(f"q{r.cid}")
-            for r in refs
+            f"percentile_approx(cast({quoted(r.name)} as double), array({points}), {accuracy}) as q{r.cid}" for r in refs
         ]
-        rows = [
-            F.struct(
-                F.lit(r.cid).alias("cid"),
-                *[F.col(f"q{r.cid}")[i].alias(name) for i, name in enumerate(PERCENTILES)],
-            )
-            for r in refs
-        ]
-        scans.append(df.agg(*sketches).select(F.inline(F.array(*rows))))
+        rows = []
+        for r in refs:
+            values = ", ".join(f"'{name}', q{r.cid}[{i}]" for i, name in enumerate(PERCENTILES))
+            rows.append(f"named_struct('cid', {r.cid}, {values})")
+        scans.append(df.selectExpr(*sketches).selectExpr(f"inline(array({', '.join(rows)}))"))
     if not scans:
         return empty(data.spark, "cid int, " + ", ".join(f"{name} double" for name in PERCENTILES))
     return union_all(scans)

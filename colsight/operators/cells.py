@@ -11,12 +11,12 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions import types as kinds
-from colsight.functions.values import column, grouping_key
+from colsight.functions.values import grouping_key, quoted
 
 
 @dataclass(frozen=True)
@@ -74,23 +74,19 @@ def column_frame(data: Dataset) -> DataFrame:
 
 
 def typed_cells(data: Dataset, refs: Iterable[ColumnRef], keyed: bool) -> dict[T.DataType, DataFrame]:
-    """Cells per value type. ``keyed`` replaces each value by its grouping key."""
-    by_type: dict[T.DataType, dict[str, list[tuple[ColumnRef, Column]]]] = {}
+    """Non-null cells ``(cid, v)`` per value type. ``keyed`` replaces each value by its grouping key."""
+    by_type: dict[T.DataType, dict[str, list[str]]] = {}
     for ref in refs:
-        cell = column(ref.name)
-        if keyed:
-            cell = grouping_key(cell, ref.data_type)
-        key_type = _key_type(ref.data_type) if keyed else ref.data_type
-        by_type.setdefault(key_type, {}).setdefault(ref.table, []).append((ref, cell))
-    result = {}
-    for key_type, per_table in by_type.items():
-        branches = []
-        for table, cells in per_table.items():
-            pairs = [part for ref, cell in cells for part in (F.lit(ref.cid), cell)]
-            stacked = data.tables[table].select(F.stack(F.lit(len(cells)), *pairs).alias("cid", "v"))
-            branches.append(stacked.where("v is not null"))
-        result[key_type] = union_all(branches)
-    return result
+        value = grouping_key(ref.name, ref.data_type) if keyed else quoted(ref.name)
+        value_type = _key_type(ref.data_type) if keyed else ref.data_type
+        by_type.setdefault(value_type, {}).setdefault(ref.table, []).append(f"{ref.cid}, {value}")
+    return {
+        value_type: union_all(
+            data.tables[table].selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (cid, v)").where("v is not null")
+            for table, cells in per_table.items()
+        )
+        for value_type, per_table in by_type.items()
+    }
 
 
 def _key_type(data_type: T.DataType) -> T.DataType:
@@ -116,7 +112,7 @@ def frequencies(data: Dataset, refs: Iterable[ColumnRef]) -> dict[T.DataType, Da
 def numeric_frequencies(frequency: Mapping[T.DataType, DataFrame], spark: SparkSession) -> DataFrame:
     """``(cid, d, n)`` of the numeric columns, the value as double."""
     numeric = [
-        df.select("cid", F.col("v").cast("double").alias("d"), "n")
+        df.selectExpr("cid", "cast(v as double) as d", "n")
         for value_type, df in frequency.items()
         if isinstance(value_type, T.NumericType)
     ]
@@ -128,10 +124,10 @@ def side_by_side(frequency: Mapping[T.DataType, DataFrame], spark: SparkSession)
     if not frequency:
         return empty(spark, "cid int, v0 string, n bigint")
     branches = []
-    for position, df in enumerate(frequency.values()):
+    for own, df in frequency.items():
         slots = [
-            (F.col("v") if i == position else F.lit(None).cast(value_type)).alias(f"v{i}")
+            f"{'v' if value_type == own else f'cast(null as {value_type.simpleString()})'} as v{i}"
             for i, value_type in enumerate(frequency)
         ]
-        branches.append(df.select("cid", *slots, "n"))
+        branches.append(df.selectExpr("cid", *slots, "n"))
     return union_all(branches)

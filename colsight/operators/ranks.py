@@ -9,77 +9,63 @@ quantile sketch, but they affect balance only: ranks are counted, so the result
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A rank expression maps the number of non-null rows to a 0-based position.
-Rank = Callable[[Column], Column]
 
+def _bucket_of(buckets: int) -> str:
+    """SQL text: number of ``bounds`` not above ``d``, by binary search over the sorted bounds."""
+    steps = ", ".join(str(2**i) for i in reversed(range((buckets - 1).bit_length())))
+    return (
+        f"aggregate(array({steps}), 0, (position, step) -> "
+        "if(element_at(bounds, position + step) <= d, position + step, position))"
+    )
 
-def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
-    """Number of bounds not above ``value``, by binary search over ``buckets - 1`` sorted bounds."""
-    steps, step = [], buckets // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-
-    def advance(position: Column, width: Column) -> Column:
-        ahead = position + width
-        return F.when(F.element_at(bounds, ahead) <= value, ahead).otherwise(position)
-
-    return F.aggregate(F.array(*steps), F.lit(0), advance)
 
+def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, str], buckets: int) -> DataFrame:
+    """``frequency(cid, d, n)`` to ``(cid, rows, <name>…)``: the value at each named rank.
 
-def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, Rank], buckets: int) -> DataFrame:
-    """``frequency(cid, d, n)`` to ``(cid, rows, <name>…)``: the value at each named rank."""
+    A rank is SQL text over ``rows``, the number of non-null rows of the column, giving a 0-based
+    position. ``buckets`` is a power of two.
+    """
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     bounds = frequency.groupBy("cid").agg(
         F.expr(f"percentile_approx(d, array({fractions}), {4 * buckets})").alias("bounds"), F.sum("n").alias("rows")
     )
     # One row per column of the schema: buckets - 1 doubles each.
-    placed = frequency.join(F.broadcast(bounds), "cid").withColumn(
-        "bucket", _bucket_of(F.col("d"), F.col("bounds"), buckets)
-    )
-    lower = F.when(F.col("bucket") > 0, F.element_at("bounds", F.greatest("bucket", F.lit(1))))
-    upper = F.when(F.col("bucket") < buckets - 1, F.element_at("bounds", F.least(F.col("bucket") + 1, F.lit(buckets - 1))))
+    placed = frequency.join(F.broadcast(bounds), "cid").selectExpr("*", f"{_bucket_of(buckets)} as bucket")
     totals = (
-        placed.select("cid", "bucket", "n", "rows", lower.alias("lower"), upper.alias("upper"))
+        placed.selectExpr(
+            "cid", "bucket", "n", "rows",
+            "if(bucket > 0, bounds[bucket - 1], null) as lower",
+            f"if(bucket < {buckets - 1}, bounds[bucket], null) as upper",
+        )
         .groupBy("cid", "bucket")
         .agg(F.sum("n").alias("n"), F.max("rows").alias("rows"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
-    )
+    )
 
     # At most `buckets` rows per column enter this window.
     running = F.sum("n").over(Window.partitionBy("cid").orderBy("bucket"))
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), rank(F.col("rows")).alias("rank")) for name, rank in ranks.items()]
-    )
-    before = F.col("before")
-    hits = F.filter(wanted, lambda w: (w["rank"] >= before) & (w["rank"] < before + F.col("n")))
+    wanted = ", ".join(f"struct('{name}' as name, {rank} as rank)" for name, rank in ranks.items())
     located = (
         totals.withColumn("before", running - F.col("n"))
-        .withColumn("wanted", hits)
-        .where(F.size("wanted") > 0)
-        .select(F.col("cid").alias("t_cid"), "bucket", "rows", "lower", "upper", "before", "wanted")
+        .selectExpr("*", f"filter(array({wanted}), w -> w.rank >= before and w.rank < before + n) as wanted")
+        .where("size(wanted) > 0")
+        .selectExpr("cid as t_cid", "bucket", "rows", "lower", "upper", "before", "wanted")
     )
 
     # At most one row per wanted rank and column. Bounds travel with the row, so the buckets tested
     # here are the very ones that were counted.
-    inside = (
-        (F.col("cid") == F.col("t_cid"))
-        & (F.col("lower").isNull() | (F.col("d") >= F.col("lower")))
-        & (F.col("upper").isNull() | (F.col("d") < F.col("upper")))
-    )
+    inside = F.expr("cid = t_cid and (lower is null or d >= lower) and (upper is null or d < upper)")
     candidates = frequency.join(F.broadcast(located), inside)
     within = Window.partitionBy("cid", "bucket").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("end")
-    picked = F.filter(F.col("wanted"), lambda w: (w["rank"] >= end - F.col("n")) & (w["rank"] < end))
     return (
         candidates.withColumn("end", F.col("before") + F.sum("n").over(within))
-        .select("cid", "d", "rows", F.explode(picked).alias("w"))
+        .selectExpr("cid", "d", "rows", "explode(filter(wanted, w -> w.rank >= end - n and w.rank < end)) as w")
         .groupBy("cid")
-        .agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("w.name") == name, F.col("d"))).alias(name) for name in ranks])
+        .agg(F.max("rows").alias("rows"), *[F.expr(f"max(if(w.name = '{name}', d, null)) as {name}") for name in ranks])
     )
 
 
@@ -89,19 +75,20 @@ PERCENTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 def percentiles(frequency: DataFrame, buckets: int) -> DataFrame:
     """Linearly interpolated percentiles per ``cid``."""
-    ranks: dict[str, Rank] = {}
+    ranks = {}
     for name, p in PERCENTILES.items():
-        ranks[f"{name}_low"] = lambda rows, p=p: F.floor((rows - 1) * F.lit(p))
-        ranks[f"{name}_high"] = lambda rows, p=p: F.ceil((rows - 1) * F.lit(p))
-    result = values_at_ranks(frequency, ranks, buckets)
-    columns = []
-    for name, p in PERCENTILES.items():
-        position = (F.col("rows") - 1) * F.lit(p)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        columns.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return result.select("cid", *columns)
+        ranks[f"{name}_low"] = f"cast(floor((rows - 1) * {p}D) as bigint)"
+        ranks[f"{name}_high"] = f"cast(ceil((rows - 1) * {p}D) as bigint)"
+    found = values_at_ranks(frequency, ranks, buckets)
+    return found.selectExpr(
+        "cid",
+        *[
+            f"{name}_low + ({name}_high - {name}_low) * ((rows - 1) * {p}D - floor((rows - 1) * {p}D)) as {name}"
+            for name, p in PERCENTILES.items()
+        ],
+    )
 
 
 def upper_medians(frequency: DataFrame, buckets: int) -> DataFrame:
     """The element at offset ``rows // 2`` of the sorted non-null values."""
-    return values_at_ranks(frequency, {"median": lambda rows: F.floor(rows / 2)}, buckets).drop("rows")
+    return values_at_ranks(frequency, {"median": "rows div 2"}, buckets).drop("rows")

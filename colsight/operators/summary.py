@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colsight.config import ProfileConfig
 from colsight.functions import types as kinds
 from colsight.functions.numbers import percentage
-from colsight.functions.values import column
+from colsight.functions.values import quoted
 from colsight.operators.cells import ColumnRef, Dataset, union_all
 
 # Output of one scan, per column; NULL where the category does not have the statistic.
@@ -24,44 +24,39 @@ _FIELDS = {
 }
 
 
-def _conditional_count(condition: Column, null_on_empty: bool) -> Column:
-    if null_on_empty:
-        return F.sum(F.when(condition, 1).otherwise(0))
-    return F.count_if(condition)
-
-
-def _aggregates(ref: ColumnRef, config: ProfileConfig) -> dict[str, Column]:
-    c = column(ref.name)
-    null_on_empty = config.dialect.null_counts_on_empty
-    out = {"total_count": F.count(F.lit(1)), "non_null_count": F.count(c)}
+def _aggregates(ref: ColumnRef, config: ProfileConfig) -> dict[str, str]:
+    """SQL text of every aggregate of one column."""
+    c = quoted(ref.name)
+    d = f"cast({c} as double)"
+    moment = "pop" if config.dialect.population_moments else "samp"
+    count_if = "sum(if({}, 1, 0))" if config.dialect.null_counts_on_empty else "count_if({})"
+    out = {"total_count": "count(1)", "non_null_count": f"count({c})"}
     if ref.category == kinds.NUMERIC:
-        d = c.cast("double")
-        population = config.dialect.population_moments
         out |= {
-            "min": F.min(c),
-            "max": F.max(c),
-            "mean": F.avg(d),
-            "stddev": F.stddev_pop(d) if population else F.stddev_samp(d),
-            "variance": F.var_pop(d) if population else F.var_samp(d),
-            "sum": F.sum(d),
-            "zero_count": _conditional_count(c == 0, null_on_empty),
-            "negative_count": _conditional_count(c < 0, null_on_empty),
+            "min": f"min({c})",
+            "max": f"max({c})",
+            "mean": f"avg({d})",
+            "stddev": f"stddev_{moment}({d})",
+            "variance": f"var_{moment}({d})",
+            "sum": f"sum({d})",
+            "zero_count": count_if.format(f"{c} = 0"),
+            "negative_count": count_if.format(f"{c} < 0"),
         }
     elif ref.category == kinds.STRING:
         out |= {
-            "min_length": F.min(F.length(c)),
-            "max_length": F.max(F.length(c)),
-            "avg_length": F.avg(F.length(c)),
-            "empty_count": _conditional_count(c == "", null_on_empty),
+            "min_length": f"min(length({c}))",
+            "max_length": f"max(length({c}))",
+            "avg_length": f"avg(length({c}))",
+            "empty_count": count_if.format(f"{c} = ''"),
         }
     elif ref.category == kinds.BOOLEAN:
-        out |= {"true_count": F.count_if(c), "false_count": F.count_if(~c)}
+        out |= {"true_count": f"count_if({c})", "false_count": f"count_if(not {c})"}
     elif ref.category == kinds.TEMPORAL:
-        out |= {"min_text": F.min(c).cast("string"), "max_text": F.max(c).cast("string")}
+        out |= {"min_text": f"cast(min({c}) as string)", "max_text": f"cast(max({c}) as string)"}
     return out
 
 
-def _wanted(ref: ColumnRef, config: ProfileConfig, fields: Collection[str]) -> dict[str, Column]:
+def _wanted(ref: ColumnRef, config: ProfileConfig, fields: Collection[str]) -> dict[str, str]:
     return {name: aggregate for name, aggregate in _aggregates(ref, config).items() if name in fields}
 
 
@@ -70,12 +65,12 @@ def _scan(df: DataFrame, refs: list[ColumnRef], config: ProfileConfig, fields: C
     aggregates, rows = [], []
     for ref in refs:
         computed = _wanted(ref, config, fields)
-        aggregates += [aggregate.alias(f"c{ref.cid}_{name}") for name, aggregate in computed.items()]
+        aggregates += [f"{aggregate} as c{ref.cid}_{name}" for name, aggregate in computed.items()]
         values = [
             f"'{name}', cast({f'c{ref.cid}_{name}' if name in computed else 'null'} as {_FIELDS[name]})" for name in fields
         ]
         rows.append(f"named_struct('cid', {ref.cid}, {', '.join(values)})")
-    return df.agg(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _slices(refs: list[ColumnRef], config: ProfileConfig, fields: Collection[str]) -> list[list[ColumnRef]]:

@@ -14,6 +14,7 @@ from colsight.operators.distinct import distinct_counts
 from colsight.operators.outliers import with_outlier_counts
 from colsight.operators.ranks import percentiles, upper_medians
 from colsight.plans.column_profile import column_profile, column_statistics
+from colsight.plans.dataset import isolated_profile
 from suite.tables import LINEITEM_GAPS, NAMES, gap_ctes, gap_views, load, per_column
 
 BUCKETS = 1024
@@ -191,8 +192,6 @@ def st_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st_failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table whose statistics cannot be planned keeps its columns and loses only its statistics."""
-    from colsight.plans.dataset import isolated_profile
-
     tables = {name: load(spark, sf_dir, name) for name in ("orders", "customer")}
     broken = {"lineitem": lambda: load(spark, sf_dir, "lineitem").select("no_such_column")}
     return isolated_profile({**{n: (lambda df=df: df) for n, df in tables.items()}, **broken}).select(
@@ -346,6 +345,15 @@ ORACLE = {
     ),
     "st_outliers": per_column(f"select {_WHO}, {_fences('{c}', '{view}')} as outlier_count", "numeric"),
     "st_column_statistics": _statistics_sql(),
+    "st_failure_isolation": " union all ".join(
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as total_count, count(distinct {c}) as distinct_count, false as failed from {t}"
+        for t, columns in {
+            "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+            "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        }.items()
+        for c in columns.split()
+    )
+    + " union all select 'lineitem', null, null, null, true",
     "st_other_distinct": "select 'embeddings' as table_name, 'embedding' as column_name, count(distinct embedding) as distinct_count from embeddings"
     " union all select 'events', 'props', count(distinct props::json::varchar) from events",
 }
