@@ -226,13 +226,15 @@ def enum_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*_COLUMN).agg(F.transform(ordered, lambda e: e["label"]).alias("enum_values"))
 
 
-_QUOTED = F.lit("'([^']*)'")
+def quoted_values(text: Column) -> Column:
+    """Everything between single quotes, in order."""
+    return F.regexp_extract_all(text, F.lit("'([^']*)'"), F.lit(1))
 
 
 def parse_enum(column_type: Column) -> Column:
     """Values of a type text like ``enum('a','b')``; an empty array for any other type."""
     inner = F.regexp_extract(column_type, r"(?i)^enum\((.+)\)\n?\z", 1)
-    return F.regexp_extract_all(inner, _QUOTED, F.lit(1))
+    return quoted_values(inner)
 
 
 def check_values(checks: DataFrame) -> DataFrame:
@@ -241,7 +243,7 @@ def check_values(checks: DataFrame) -> DataFrame:
     Constraints without a quoted value are left out. Where several constraints cover a column the
     last one by name counts.
     """
-    values = F.regexp_extract_all("definition", _QUOTED, F.lit(1))
+    values = quoted_values(F.col("definition"))
     found = checks.select(*_COLUMN, "constraint_name", values.alias("check_values")).where(F.size("check_values") > 0)
     return found.groupBy(*_COLUMN).agg(F.max_by("check_values", "constraint_name").alias("check_values"))
 
