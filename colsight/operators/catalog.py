@@ -12,6 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsight.functions.rows import constant_rows
 from colsight.operators.cells import union_all
 
 _TABLE = ["table_schema", "table_name"]
@@ -311,7 +312,7 @@ def file_columns(df: DataFrame, table: str) -> DataFrame:
         (table, i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, start=1)
     ]
     schema = "table_name string, ordinal_position int, column_name string, data_type string, is_nullable boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return constant_rows(df.sparkSession, rows, schema)
 
 
 def first_by_position(frame: DataFrame, limit: int, position: str = "ordinal_position") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions import types as kinds
+from colsight.functions.rows import constant_rows
 from colsight.functions.values import grouping_key, quoted
 
 
@@ -60,8 +61,7 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.range(0).selectExpr(*[f"cast(null as {f.dataType.simpleString()}) as {f.name}"
-                                       for f in T._parse_datatype_string(schema).fields])
+    return constant_rows(spark, [], schema)
 
 
 def column_frame(data: Dataset) -> DataFrame:
@@ -70,7 +70,7 @@ def column_frame(data: Dataset) -> DataFrame:
         (r.cid, r.table, r.ordinal, r.name, r.data_type.simpleString(), r.category) for r in data.columns
     ]
     schema = "cid int, table_name string, ordinal int, column_name string, data_type string, category string"
-    return data.spark.createDataFrame(rows, schema)
+    return constant_rows(data.spark, rows, schema)
 
 
 def typed_cells(data: Dataset, refs: Iterable[ColumnRef], keyed: bool) -> dict[T.DataType, DataFrame]:

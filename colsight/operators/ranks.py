@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket_of(buckets: int) -> str:
-    """SQL text: number of ``bounds`` not above ``d``, by binary search over the sorted bounds."""
-    steps = ", ".join(str(2**i) for i in reversed(range((buckets - 1).bit_length())))
-    return (
-        f"aggregate(array({steps}), 0, (position, step) -> "
-        "if(element_at(bounds, position + step) <= d, position + step, position))"
-    )
+def _with_bucket(placed: DataFrame, buckets: int) -> DataFrame:
+    """Adds ``bucket``: the number of ``bounds`` not above ``d``, by binary search over the sorted bounds.
+
+    One projection per step: a lambda would do it in one, but runs outside the generated code and is
+    several times slower.
+    """
+    columns = placed.columns
+    frame, place, step = placed, "0", buckets // 2
+    while step:
+        frame = frame.selectExpr(*columns, f"{place} + if(bounds[{place} + {step - 1}] <= d, {step}, 0) as bucket")
+        place, step = "bucket", step // 2
+    return frame
 
 
 def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, str], buckets: int) -> DataFrame:
@@ -35,7 +40,7 @@ def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, str], buckets: int
         F.expr(f"percentile_approx(d, array({fractions}), {4 * buckets})").alias("bounds"), F.sum("n").alias("rows")
     )
     # One row per column of the schema: buckets - 1 doubles each.
-    placed = frequency.join(F.broadcast(bounds), "cid").selectExpr("*", f"{_bucket_of(buckets)} as bucket")
+    placed = _with_bucket(frequency.join(F.broadcast(bounds), "cid"), buckets)
     totals = (
         placed.selectExpr(
             "cid", "bucket", "n", "rows",
@@ -46,20 +51,31 @@ def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, str], buckets: int
         .agg(F.sum("n").alias("n"), F.max("rows").alias("rows"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
     )
 
-    # At most `buckets` rows per column enter this window.
+    # At most `buckets` rows per column enter this window. Bounds travel with the bucket, so that
+    # the range tested below is the very one that was counted here.
     running = F.sum("n").over(Window.partitionBy("cid").orderBy("bucket"))
     wanted = ", ".join(f"struct('{name}' as name, {rank} as rank)" for name, rank in ranks.items())
     located = (
         totals.withColumn("before", running - F.col("n"))
         .selectExpr("*", f"filter(array({wanted}), w -> w.rank >= before and w.rank < before + n) as wanted")
         .where("size(wanted) > 0")
-        .selectExpr("cid as t_cid", "bucket", "rows", "lower", "upper", "before", "wanted")
+        .selectExpr("cid", "rows", "struct(bucket, lower, upper, before, wanted) as range")
+        .groupBy("cid")
+        .agg(F.max("rows").alias("rows"), F.collect_list("range").alias("ranges"))
     )
 
-    # At most one row per wanted rank and column. Bounds travel with the row, so the buckets tested
-    # here are the very ones that were counted.
-    inside = F.expr("cid = t_cid and (lower is null or d >= lower) and (upper is null or d < upper)")
-    candidates = frequency.join(F.broadcast(located), inside)
+    # One row per column with at most one range per rank. The ranges are tested one by one in
+    # generated code; only the few values inside one of them go on to the lambda.
+    def inside(r: str) -> str:
+        return f"({r} is not null and ({r}.lower is null or d >= {r}.lower) and ({r}.upper is null or d < {r}.upper))"
+
+    any_range = " or ".join(inside(f"get(ranges, {i})") for i in range(len(ranks)))
+    candidates = (
+        frequency.join(F.broadcast(located), "cid")
+        .where(any_range)
+        .selectExpr("cid", "rows", "d", "n", f"filter(ranges, r -> {inside('r')})[0] as range")
+        .selectExpr("cid", "rows", "d", "n", "range.bucket as bucket", "range.before as before", "range.wanted as wanted")
+    )
     within = Window.partitionBy("cid", "bucket").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         candidates.withColumn("end", F.col("before") + F.sum("n").over(within))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colsight.functions.rows import constant_rows
 from colsight.functions.values import column, json_safe_text
 
 
@@ -17,34 +19,52 @@ def random_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(size)
 
 
-def random_file_rows(spark: SparkSession, path: str, size: int, seed: int) -> DataFrame:
-    """``size`` uniform rows of a Parquet source, reading data columns only where a row was drawn.
+_WHERE = {"_file": "_metadata.file_path", "_row": "_metadata.row_index"}
 
-    The draw sees row positions alone, which cost no column data; the rows are then fetched from
+
+def has_row_positions(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` can be addressed by file and position, as those of Parquet can."""
+    try:
+        df.selectExpr(*_WHERE.values())
+    except AnalysisException:
+        return False
+    return True
+
+
+def random_file_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
+    """``size`` uniform rows of a Parquet table with ``_draw``, reading only the files they lie in.
+
+    The draw sees row positions alone, which need no column data; then the rows are fetched from
     the at most ``size`` files that hold them.
     """
-    table = spark.read.parquet(path)
-    where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    drawn = random_rows(table.select(*where), size, seed).collect()  # at most 1000 positions
+    positions = df.selectExpr(*[f"{path} as {name}" for name, path in _WHERE.items()])
+    drawn = random_rows(positions, size, seed).collect()  # at most 1000 positions
+    rows = [(place, row["_file"], row["_row"]) for place, row in enumerate(drawn)]
+    wanted = constant_rows(df.sparkSession, rows, "_draw int, _file string, _row bigint")
     files = sorted({row["_file"] for row in drawn})
-    positions = spark.createDataFrame([tuple(row) for row in drawn], "_file string, _row bigint")
-    located = table.where(F.col("_metadata.file_path").isin(files)).select("*", *where)
-    return located.join(F.broadcast(positions), ["_file", "_row"], "left_semi").drop("_file", "_row")
+    located = df.where(F.col("_metadata.file_path").isin(files)).selectExpr(
+        "*", *[f"{path} as {name}" for name, path in _WHERE.items()]
+    )
+    return located.join(F.broadcast(wanted), ["_file", "_row"]).drop("_file", "_row")
+
 
+def draw(df: DataFrame, size: int, seed: int) -> DataFrame:
+    """``size`` random rows with ``_draw``, a number that orders them."""
+    if has_row_positions(df):
+        return random_file_rows(df, size, seed)
+    return df.select(F.rand(seed).alias("_draw"), "*").orderBy("_draw").limit(size)
 
-def column_values(rows: DataFrame, size: int, seed: int) -> DataFrame:
+
+def column_values(df: DataFrame, size: int, seed: int) -> DataFrame:
     """``(ordinal, column_name, sample_values)`` over one draw of rows: NULLs and row order kept."""
-    drawn = rows.select(F.rand(seed).alias("_draw"), "*").orderBy("_draw").limit(size)
     cells = []
-    for ordinal, field in enumerate(rows.schema.fields, start=1):
+    for ordinal, field in enumerate(df.schema.fields, start=1):
         cells += [F.lit(ordinal), F.lit(field.name), json_safe_text(column(field.name), field.dataType)]
-    long = drawn.select(
-        "_draw", F.stack(F.lit(len(rows.schema.fields)), *cells).alias("ordinal", "column_name", "value")
-    )
+    stacked = F.stack(F.lit(len(df.schema.fields)), *cells).alias("ordinal", "column_name", "value")
     # A struct keeps NULL values in the list; the list has at most `size` entries.
     ordered = F.array_sort(F.collect_list(F.struct("_draw", "value")))
     values = F.transform(ordered, lambda e: e["value"])
-    return long.groupBy("ordinal", "column_name").agg(values.alias("sample_values"))
+    return draw(df, size, seed).select("_draw", stacked).groupBy("ordinal", "column_name").agg(values.alias("sample_values"))
 
 
 def json_safe_rows(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsight.config import ProfileConfig
+from colsight.functions.rows import constant_rows
 from colsight.operators import sampling
 from colsight.operators.cells import union_all
 from colsight.plans.column_profile import column_profile
@@ -33,7 +34,8 @@ def table_profile(tables: Mapping[str, DataFrame], config: ProfileConfig | None
             for i, f in enumerate(df.schema.fields, start=1)
         ]
         spark = next(iter(tables.values())).sparkSession
-        profile = spark.createDataFrame(columns, "table_name string, ordinal int, column_name string, data_type string")
+        schema = "table_name string, ordinal int, column_name string, data_type string"
+        profile = constant_rows(spark, columns, schema)
     if not config.include_sample_data:
         return profile.withColumn("sample_values", F.lit(None).cast("array<string>"))
     samples = union_all(
@@ -65,7 +67,7 @@ def isolated_profile(readers: Mapping[str, Callable[[], DataFrame]], config: Pro
     if not failed:
         return profile
     spark = profile.sparkSession
-    lost = spark.createDataFrame([(name, True) for name in failed], "table_name string, failed boolean")
+    lost = constant_rows(spark, [(name, True) for name in failed], "table_name string, failed boolean")
     return profile.unionByName(lost, allowMissingColumns=True)
 
 

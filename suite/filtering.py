@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsight.config import ProfileConfig
+from colsight.functions.rows import constant_rows
 from colsight.operators import catalog, filters, summary, topvalues
 from colsight.operators.cells import Dataset, column_frame, frequencies
 from colsight.operators.distinct import distinct_counts
@@ -85,18 +86,19 @@ def measured(spark: SparkSession, sf_dir: str, top: bool = False) -> DataFrame:
 
 def _keys(spark: SparkSession) -> DataFrame:
     rows = [(t, c, True) for t, c in PRIMARY_KEYS]
-    keys = spark.createDataFrame(rows, "table_name string, column_name string, is_primary_key boolean")
+    keys = constant_rows(spark, rows, "table_name string, column_name string, is_primary_key boolean")
     return keys.withColumn("enum_values", F.lit(None).cast("array<string>"))
 
 
 def _relationships(spark: SparkSession) -> DataFrame:
     rows = [(t, f"fk_{t}_{to}", c, "main", to) for t, c, to in FOREIGN_KEYS]
-    return spark.createDataFrame(rows, "table_name string, constraint_name string, from_column string, to_schema string, to_table string")
+    return constant_rows(spark, rows, "table_name string, constraint_name string, from_column string, to_schema string, to_table string")
 
 
 def _indexes(spark: SparkSession) -> DataFrame:
-    rows = [(t, name, list(columns), unique, False) for t, name, columns, unique in INDEXES]
-    return spark.createDataFrame(rows, "table_name string, index_name string, columns array<string>, is_unique boolean, is_primary boolean")
+    rows = [(t, name, ",".join(columns), unique, False) for t, name, columns, unique in INDEXES]
+    flat = constant_rows(spark, rows, "table_name string, index_name string, columns string, is_unique boolean, is_primary boolean")
+    return flat.withColumn("columns", F.split("columns", ","))
 
 
 def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +107,8 @@ def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str, top: bool = False) -> DataFrame:
-    checks = spark.createDataFrame(list(CHECKS), "table_name string, column_name string")
-    estimates = spark.createDataFrame(list(ESTIMATES), "schema_name string, table_name string, row_count bigint")
+    checks = constant_rows(spark, CHECKS, "table_name string, column_name string")
+    estimates = constant_rows(spark, ESTIMATES, "schema_name string, table_name string, row_count bigint")
     profile = measured(spark, sf_dir, top).drop("row_count")
     return detect.candidates(
         profile, _keys(spark), _relationships(spark), _indexes(spark), _row_counts(spark, sf_dir), checks, estimates

@@ -135,7 +135,7 @@ def smp_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smp_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.random_file_rows(spark, f"{sf_dir}/lineitem.parquet", 10, 42)
+    return sampling.random_file_rows(load(spark, sf_dir, "lineitem"), 10, 42).drop("_draw")
 
 
 def smp_column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
