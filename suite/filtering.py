@@ -318,6 +318,15 @@ _TYPE = """case when data_type = 'timestamp_ntz' then 'temporal' when data_type
     when data_type in ('int', 'bigint', 'double') and bucket not in ('low_categorical', 'high_categorical') then 'range' else 'categorical' end"""
 _TRIAGE = "case when composite > 0.85 and schema_score > 0 then 'accept' when composite < 0.15 then 'reject' else 'review' end"
 
+_DECIDED = """case when diff < 0.2 then mean when diff <= 0.4 then case when schema_score > 0 then 0.7::double * composite + 0.3::double * judged
+    else 0.4::double * composite + 0.6::double * judged end else mean end"""
+
+
+def _rounded(score: str) -> str:
+    """Four decimals of the double as it is: round() on a double first scales it, which turns 0.22524999999999998 into a tie."""
+    return f"round(({score})::decimal(38, 20), 4)::double"
+
+
 _CTE = f"""with m as ({_measured_sql()}),
     k as {_values(PRIMARY_KEYS, 'table_name, column_name', 2)}, f as {_values(FOREIGN_KEYS, 'table_name, column_name, fk', 3)},
     i as {_values(_INDEX_ROWS, 'table_name, column_name, is_unique, partners', 4)}, c as {_values(CHECKS, 'table_name, column_name', 2)},
@@ -330,11 +339,10 @@ _CTE = f"""with m as ({_measured_sql()}),
         left join i using (table_name, column_name) left join c using (table_name, column_name)),
     s2 as (select *, {_CARDINALITY} as cardinality_score, {_DTYPE} as dtype_score, {_NAMING} as naming_score, {_PENALTY} as null_penalty,
         {_SCHEMA} as schema_score, {_TYPE} as filter_type, {_PATTERN_SCORE} as pattern_score from s1),
-    s3 as (select *, round((0.35::double * schema_score + 0.30::double * cardinality_score + 0.20::double * dtype_score + 0.15::double * naming_score) * null_penalty, 4) as composite from s2),
+    s3 as (select *, {_rounded('(0.35::double * schema_score + 0.30::double * cardinality_score + 0.20::double * dtype_score + 0.15::double * naming_score) * null_penalty')} as composite from s2),
     s4 as (select *, {_TRIAGE} as triage, case when ordinal % 2 = 1 then (distinct_count * 37 % 100) / 100.0::double end as judged from s3),
     s5 as (select *, abs(composite - judged) as diff, (composite + judged) / 2 as mean from s4),
-    s as (select *, round(case when diff < 0.2 then mean when diff <= 0.4 then case when schema_score > 0 then 0.7::double * composite + 0.3::double * judged
-        else 0.4::double * composite + 0.6::double * judged end else mean end, 4) as decided,
+    s as (select *, {_rounded(_DECIDED)} as decided,
         case when diff < 0.2 then 'llm_agreed' when diff <= 0.4 then 'llm_adjusted' else 'flagged_for_review' end as source from s5)
 """
 _C = "select table_name, column_name, "
