@@ -24,10 +24,34 @@ TABLE_PARTS = {
 }
 
 
-def table_structs(profile: DataFrame, parts: DataFrame | None = None, schema_name: str = "default") -> DataFrame:
+# Per column parts that may be added; what is not given is NULL, or False for the flags.
+COLUMN_PARTS = {
+    "is_nullable": "boolean", "column_default": "string", "character_maximum_length": "int", "numeric_precision": "int",
+    "numeric_scale": "int", "is_primary_key": "boolean", "description": "string", "enum_values": "array<string>",
+    "is_sensitive": "boolean", "sensitivity_type": "string", "sensitivity_level": "string",
+}
+_FLAGS = ("is_primary_key", "is_sensitive")
+
+
+def _fields(frame: DataFrame, parts: Mapping[str, str]) -> list[Column]:
+    fields = []
+    for name, sql_type in parts.items():
+        value = F.col(name) if name in frame.columns else F.lit(None)
+        value = F.coalesce(value, F.lit(False)) if name in _FLAGS else value
+        fields.append(value.cast(sql_type).alias(name))
+    return fields
+
+
+def table_structs(
+    profile: DataFrame,
+    parts: DataFrame | None = None,
+    column_parts: DataFrame | None = None,
+    schema_name: str = "default",
+) -> DataFrame:
     """One row per table: ``(schema_name, table_name, table)`` with its columns in order.
 
-    ``parts`` holds one row per ``table_name`` with any of :data:`TABLE_PARTS`.
+    ``parts`` holds one row per ``table_name`` with any of :data:`TABLE_PARTS`, ``column_parts`` one
+    row per ``table_name, column_name`` with any of :data:`COLUMN_PARTS`.
     """
     statistics = column_statistics(profile)
     samples = profile.select("table_name", "ordinal", "sample_values") if "sample_values" in profile.columns else None
@@ -35,10 +59,13 @@ def table_structs(profile: DataFrame, parts: DataFrame | None = None, schema_nam
         statistics = statistics.join(samples, ["table_name", "ordinal"])
     else:
         statistics = statistics.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    if column_parts is not None:
+        statistics = statistics.join(column_parts, ["table_name", "column_name"], "left")
     field = F.struct(
         F.col("ordinal").alias("ordinal_position"),
         F.col("column_name").alias("name"),
         "data_type",
+        *_fields(statistics, COLUMN_PARTS),
         "sample_values",
         "statistics",
     )
@@ -46,11 +73,9 @@ def table_structs(profile: DataFrame, parts: DataFrame | None = None, schema_nam
     tables = statistics.groupBy("table_name").agg(F.array_sort(F.collect_list(field)).alias("columns"))
     if parts is not None:
         tables = tables.join(parts, "table_name", "left")
-    given = {name: F.col(name) for name in tables.columns}
-    fields = [
-        given.get(name, F.lit(None)).cast(sql_type).alias(name) for name, sql_type in TABLE_PARTS.items()
-    ]
-    table = F.struct(F.col("table_name").alias("name"), F.lit(schema_name).alias("schema"), *fields, "columns")
+    table = F.struct(
+        F.col("table_name").alias("name"), F.lit(schema_name).alias("schema"), *_fields(tables, TABLE_PARTS), "columns"
+    )
     return tables.select(F.lit(schema_name).alias("schema_name"), "table_name", table.alias("table"))
 
 
@@ -62,15 +87,34 @@ def table_documents(tables: DataFrame) -> DataFrame:
 def response_document(
     tables: DataFrame,
     database: Mapping[str, str | int | None],
+    views: DataFrame | None = None,
     profiled_at: Column | None = None,
     kpis: Column | None = None,
     usage: Column | None = None,
 ) -> DataFrame:
-    """The whole profile as one document; its size follows the catalog, not the data."""
+    """The whole profile as one document; its size follows the catalog, not the data.
+
+    ``views`` holds ``table_schema, table_name, owner, definition``.
+    """
     schemas = tables.groupBy("schema_name").agg(F.array_sort(F.collect_list("table")).alias("tables"))
-    owner = F.coalesce(F.get("tables.owner", F.lit(0)), F.lit(""))
-    views = F.array().cast("array<struct<name:string,schema:string,owner:string,definition:string>>")
-    schema = F.struct(F.col("schema_name").alias("name"), owner.alias("owner"), "tables", views.alias("views"))
+    view_type = "array<struct<name:string,schema:string,owner:string,definition:string>>"
+    if views is None:
+        schemas = schemas.withColumn("views", F.lit(None).cast(view_type))
+    else:
+        view = F.struct(
+            F.col("table_name").alias("name"), F.col("table_schema").alias("schema"), "owner", "definition"
+        )
+        listed = views.groupBy(F.col("table_schema").alias("schema_name")).agg(
+            F.array_sort(F.collect_list(view)).cast(view_type).alias("views")
+        )
+        schemas = schemas.join(listed, "schema_name", "left")
+    first_table, first_view = F.get("tables.owner", F.lit(0)), F.get("views.owner", F.lit(0))
+    schema = F.struct(
+        F.col("schema_name").alias("name"),
+        F.coalesce(first_table, first_view, F.lit("")).alias("owner"),
+        "tables",
+        F.coalesce("views", F.array().cast(view_type)).alias("views"),
+    )
     gathered = schemas.agg(F.array_sort(F.collect_list(schema)).alias("schemas"))
     kpi_type = "array<struct<name:string,description:string,calculation:string,linked_columns:array<string>>>"
     response = F.struct(

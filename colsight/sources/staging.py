@@ -19,10 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def columnar(df: DataFrame) -> DataFrame:
-    """A Parquet copy of a CSV, JSON or JDBC source.
+    """A Parquet copy in the shared folder: of a CSV, JSON or JDBC source, or of a result used often.
 
     The profile reads a table in several column-pruned scans. That is one read of a columnar
-    source, but one full parse per scan of a row-oriented one; writing it once costs less.
+    source, but one full parse per scan of a row-oriented one; writing it once costs less. The copy
+    also ends the lineage, so a lost executor does not repeat the work behind it.
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)

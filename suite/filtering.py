@@ -10,7 +10,8 @@ from colsight.functions.rows import constant_rows
 from colsight.operators import catalog, filters, summary, topvalues
 from colsight.operators.cells import Dataset, column_frame, frequencies
 from colsight.operators.distinct import distinct_counts
-from colsight.plans import detect
+from colsight.plans import detect, document
+from colsight.plans.report import table_report
 from suite.derived import ctes, derived
 from suite.tables import load
 
@@ -244,12 +245,20 @@ def fd_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_columns(scored, judgments(scored))
 
 
+def prf_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole nested document: statistics, samples, roles, filter columns and sensitivity."""
+    tables = {t: df for t, df in views(spark, sf_dir).items() if t in ("customer", "orders", "part")}
+    structs = table_report(tables, _keys(spark), _relationships(spark), _indexes(spark), schema_name="main")
+    database = {"name": "files", "version": "", "encoding": "UTF-8", "size_bytes": 0}
+    return document.response_document(structs, database, profiled_at=F.lit(None).cast("timestamp"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fd_schema_signals, fd_fk_ref_rows, fd_schema_score, fd_table_role, fd_cardinality, fd_dtype_score,
         fd_null_penalty, fd_naming_score, fd_value_pattern, fd_stat_signals, fd_composite, fd_filter_type, fd_triage,
-        fd_judge_payload, fd_reconcile, fd_detect,
+        fd_judge_payload, fd_reconcile, fd_detect, prf_document,
     )
 }
 

@@ -160,13 +160,6 @@ def prf_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_profile(column_profile(all_tables(spark, sf_dir)))
 
 
-def prf_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {name: load(spark, sf_dir, name) for name in ("orders", "customer", "part")}
-    structs = document.table_structs(table_profile(tables))
-    database = {"name": "files", "version": "", "encoding": "UTF-8", "size_bytes": 0}
-    return document.response_document(structs, database)
-
-
 def prf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Parquet and a CSV source profiled together."""
     sources = [FileSource(f"{sf_dir}/events.parquet"), FileSource(_as_csv(spark, sf_dir, "customer"), name="customer")]
@@ -178,7 +171,7 @@ QUERIES = {
     for f in (
         src_parquet, src_csv, src_json, src_auto_format, src_multi_path, src_table_name, src_isolated_paths,
         src_probe, snk_profile_json, smp_random, smp_reservoir, smp_column_values, smp_json_safe,
-        prf_table, prf_dataset, prf_document, prf_files,
+        prf_table, prf_dataset, prf_files,
     )
 }
 

@@ -404,6 +404,21 @@ ORACLE = {
         || chr(10) || 'Description: ' || {_ABOUT} || chr(10) || 'Column:' || chr(10) || {_LINE} || chr(10) || 'Other columns:' || chr(10)
         || coalesce(array_to_string(list_transform(list_filter(cols, lambda e: e.o <> ordinal)[1:10], lambda e: e.l), chr(10)), '')
         || {_more('(width - 1)', 10, ' more columns (omitted)')} as prompt from w join n using (table_name) join t using (table_name)""",
+    "aug_glossary_prompt": _W
+    + f""" select table_name, 'Name up to 5 business terms that this table supports.' || chr(10) || chr(10) || 'Table: ' || table_name
+        || chr(10) || 'Description: ' || {_ABOUT} || chr(10) || 'Rows: ' || coalesce(row_count::varchar, 'unknown') || chr(10) || 'Columns:' || chr(10)
+        || {_block(20, ' more columns (omitted for brevity)')} || chr(10) || chr(10)
+        || 'Answer with JSON only: {{"terms": [{{"business_term": ..., "description": ..., "synonyms": [...]}}]}}' as prompt
+        from t where exists (select 1 from w where w.table_name = t.table_name)""",
+    "aug_kpi_prompt": _W
+    + f""", d as (select *, {_DOMAIN} as domain, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as rank,
+        count(*) over (partition by c_nationkey, c_mktsegment) as size, {_block(10, ' more columns')} as block,
+        (select string_agg('  - ' || split_part(w.table_name, '.', 2) || '.' || column_name, chr(10) order by ordinal) from w where w.table_name = t.table_name and ordinal <= 10) as names from t)
+        select domain, 'Propose up to 5 indicators worth a dashboard for this business domain; none is a valid answer.' || chr(10) || chr(10) || 'Domain: ' || domain || chr(10) || chr(10)
+        || string_agg('  Table: ' || table_name || ' (rows: ' || coalesce(row_count::varchar, 'unknown') || ', about: ' || {_ABOUT} || ')' || chr(10) || block, chr(10) || chr(10) order by rank)
+        || {_more('any_value(size)', 15, ' more tables (omitted)')} || chr(10) || chr(10) || 'linked_columns may only name these columns:' || chr(10) || string_agg(names, chr(10) order by rank)
+        || chr(10) || chr(10) || 'Answer with JSON only: {{"kpis": [{{"name": ..., "description": ..., "calculation": ..., "linked_columns": [...]}}]}}' as prompt
+        from d where rank <= 15 and block is not null group by domain""",
     "aug_extract_json": """select conv_id, turn, case turn % 3 when 0 then regexp_replace(text, '^\\s+|\\s+$', '', 'g') when 1 then role else '{}' end as content from conversations""",
     "aug_parse_glossary": _W
     + """ select table_name, case when c_custkey % 10 = 3 or c_custkey % 11 = 5 then '' else array_to_string(list_transform(range(1, 1 + least(5, 1 + c_custkey % 7)),
