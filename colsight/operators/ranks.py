@@ -59,23 +59,12 @@ def values_at_ranks(frequency: DataFrame, ranks: Mapping[str, str], buckets: int
         totals.withColumn("before", running - F.col("n"))
         .selectExpr("*", f"filter(array({wanted}), w -> w.rank >= before and w.rank < before + n) as wanted")
         .where("size(wanted) > 0")
-        .selectExpr("cid", "rows", "struct(bucket, lower, upper, before, wanted) as range")
-        .groupBy("cid")
-        .agg(F.max("rows").alias("rows"), F.collect_list("range").alias("ranges"))
+        .selectExpr("cid as t_cid", "bucket", "rows", "lower", "upper", "before", "wanted")
     )
 
-    # One row per column with at most one range per rank. The ranges are tested one by one in
-    # generated code; only the few values inside one of them go on to the lambda.
-    def inside(r: str) -> str:
-        return f"({r} is not null and ({r}.lower is null or d >= {r}.lower) and ({r}.upper is null or d < {r}.upper))"
-
-    any_range = " or ".join(inside(f"get(ranges, {i})") for i in range(len(ranks)))
-    candidates = (
-        frequency.join(F.broadcast(located), "cid")
-        .where(any_range)
-        .selectExpr("cid", "rows", "d", "n", f"filter(ranges, r -> {inside('r')})[0] as range")
-        .selectExpr("cid", "rows", "d", "n", "range.bucket as bucket", "range.before as before", "range.wanted as wanted")
-    )
+    # At most one row per rank and column; the ranges of a column do not overlap.
+    inside = F.expr("cid = t_cid and (lower is null or d >= lower) and (upper is null or d < upper)")
+    candidates = frequency.join(F.broadcast(located), inside)
     within = Window.partitionBy("cid", "bucket").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         candidates.withColumn("end", F.col("before") + F.sum("n").over(within))

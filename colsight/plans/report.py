@@ -38,7 +38,7 @@ def table_report(
         .agg(F.max("total_count").alias("row_count"))
         .select(F.lit(schema_name).alias("schema_name"), "table_name", "row_count")
     )
-    scored = detect.candidates(profile, keys, relationships, indexes, row_counts)
+    scored = columnar(detect.candidates(profile, keys, relationships, indexes, row_counts))
     chosen = filters.filter_column_lists(filters.filter_columns(scored, judgments))
     roles = filters.table_roles(profile, row_counts.drop("schema_name"), relationships)
     parts = row_counts.drop("schema_name").join(roles, "table_name").join(chosen, "table_name", "left")
