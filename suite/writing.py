@@ -21,7 +21,7 @@ COLUMNS = f"""select {_TABLE_NAME} as table_name, o_custkey, ord as ordinal, con
     l_returnflag, l_linestatus, l_partkey
     from (select *, cast(row_number() over (partition by o_custkey order by o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) as int) as ord
         from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey)"""
-TABLES = f"""select {_TABLE_NAME.replace('o_custkey', 'c_custkey')} as table_name, c_custkey, c_nationkey, c_mktsegment,
+TABLES = f"""select {_TABLE_NAME.replace('o_custkey', 'c_custkey')} as table_name, c_custkey, cast(floor(c_custkey / 100) as bigint) as part, c_nationkey, c_mktsegment,
     case c_nationkey % 3 when 0 then '' when 1 then null else c_mktsegment end as table_description,
     case when c_custkey % 2 = 0 then cast(floor(c_acctbal) as bigint) end as row_count from {{customer}}"""
 ENTRY = """concat('{"column_name":"', column_name, '","is_sensitive":', case l_returnflag when 'A' then 'true' when 'R' then '"True"' else 'false' end,
@@ -143,9 +143,9 @@ def aug_kpi_cluster_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A domain per nation and segment, its tables in order of the customer number."""
+    """Domains of up to 100 tables, by number range and segment, in order of the customer number."""
     return wide_tables(spark, sf_dir).selectExpr(
-        "concat(cast(c_nationkey as string), '_', c_mktsegment) as domain", "c_custkey as place", "table_name"
+        "concat(cast(part as string), '_', c_mktsegment) as domain", "c_custkey as place", "table_name"
     )
 
 
@@ -193,13 +193,13 @@ def aug_parse_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _domain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per nation, listing its segments, with an unknown table and an unusable entry."""
-    per_segment = wide_tables(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment").agg(
+    """One answer per 100 tables, listing their segments, with an unknown table and an unusable entry."""
+    per_segment = wide_tables(spark, sf_dir).groupBy("part", "c_mktsegment").agg(
         ordered_join("c_custkey", """concat('"', table_name, '"')""").alias("tables")
     )
     entry = """concat('{"domain":" ', c_mktsegment, '","tables":[', tables, ',"ghost.t"]}')"""
-    nations = per_segment.groupBy("c_nationkey").agg(ordered_join("c_mktsegment", entry).alias("entries"))
-    return nations.selectExpr("c_nationkey", """concat('{"domains":[{"domain":"","tables":["x"]},', entries, ',{"domain":"empty","tables":[]}]}') as response""")
+    parts = per_segment.groupBy("part").agg(ordered_join("c_mktsegment", entry).alias("entries"))
+    return parts.selectExpr("part", """concat('{"domains":[{"domain":"","tables":["x"]},', entries, ',{"domain":"empty","tables":[]}]}') as response""")
 
 
 def aug_parse_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ def _kpi_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aug_kpi_map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains from the answers, resolved against the known tables, then their KPIs in domain order."""
     resolved = answers.known_domains(answers.domains(_domain_answers(spark, sf_dir)), wide_tables(spark, sf_dir))
-    order = resolved.select(F.concat_ws("_", "c_nationkey", "domain").alias("domain"), "domain_place").distinct()
+    order = resolved.select(F.concat_ws("_", "part", "domain").alias("domain"), "domain_place").distinct()
     found = answers.kpis(_kpi_answers(spark, sf_dir), 15)
     return found.join(order, "domain").select("domain", "domain_place", "place", "name", F.size("linked_columns").alias("links"))
 
@@ -377,7 +377,7 @@ def _evidence_sql() -> str:
     return " union all ".join(parts)
 
 
-_DOMAIN = "c_nationkey || '_' || c_mktsegment"
+_DOMAIN = "part || '_' || c_mktsegment"
 _RUNS = f"with r as ({RUNS.format(orders='orders')})"
 
 ORACLE = {
@@ -411,8 +411,8 @@ ORACLE = {
         || 'Answer with JSON only: {{"terms": [{{"business_term": ..., "description": ..., "synonyms": [...]}}]}}' as prompt
         from t where exists (select 1 from w where w.table_name = t.table_name)""",
     "aug_kpi_prompt": _W
-    + f""", d as (select *, {_DOMAIN} as domain, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as rank,
-        count(*) over (partition by c_nationkey, c_mktsegment) as size, {_block(10, ' more columns')} as block,
+    + f""", d as (select *, {_DOMAIN} as domain, row_number() over (partition by part, c_mktsegment order by c_custkey) as rank,
+        count(*) over (partition by part, c_mktsegment) as size, {_block(10, ' more columns')} as block,
         (select string_agg('  - ' || split_part(w.table_name, '.', 2) || '.' || column_name, chr(10) order by ordinal) from w where w.table_name = t.table_name and ordinal <= 10) as names from t)
         select domain, 'Propose up to 5 indicators worth a dashboard for this business domain; none is a valid answer.' || chr(10) || chr(10) || 'Domain: ' || domain || chr(10) || chr(10)
         || string_agg('  Table: ' || table_name || ' (rows: ' || coalesce(row_count::varchar, 'unknown') || ', about: ' || {_ABOUT} || ')' || chr(10) || block, chr(10) || chr(10) order by rank)
@@ -428,15 +428,15 @@ ORACLE = {
         from orders where o_custkey % 5 <> 0
         union all select o_orderkey, 1, '', 'b', 1.0, 'range', true, 'None' from orders where o_custkey % 5 <> 0""",
     "aug_parse_domains": _W
-    + """, d as (select c_nationkey, c_mktsegment as domain, dense_rank() over (partition by c_nationkey order by c_mktsegment)::int as domain_place,
-        (row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) - 1)::int as place, table_name from t)
-        select * from d union all select c_nationkey, domain, any_value(domain_place), count(*)::int, 'ghost.t' from d group by c_nationkey, domain""",
+    + """, d as (select part, c_mktsegment as domain, dense_rank() over (partition by part order by c_mktsegment)::int as domain_place,
+        (row_number() over (partition by part, c_mktsegment order by c_custkey) - 1)::int as place, table_name from t)
+        select * from d union all select part, domain, any_value(domain_place), count(*)::int, 'ghost.t' from d group by part, domain""",
     "aug_kpi_map_reduce": _W
-    + f""", d as (select *, dense_rank() over (partition by c_nationkey order by c_mktsegment)::int as domain_place,
-        (row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) - 1)::int as place from t)
+    + f""", d as (select *, dense_rank() over (partition by part order by c_mktsegment)::int as domain_place,
+        (row_number() over (partition by part, c_mktsegment order by c_custkey) - 1)::int as place from t)
         select {_DOMAIN} as domain, domain_place, place, 'k' || c_custkey as name, 5 as links from d where place < 15""",
     "aug_valid_columns": _W
-    + f""", d as (select *, (row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) - 1)::int as place, split_part(table_name, '.', 2) as b,
+    + f""", d as (select *, (row_number() over (partition by part, c_mktsegment order by c_custkey) - 1)::int as place, split_part(table_name, '.', 2) as b,
         (select count(*) from w where w.table_name = t.table_name) as width from t)
         select {_DOMAIN} as domain, place, 'k' || c_custkey as name, case when place >= 15 or width = 0 then '' when width = 1 then b || '.c1,' || b || '.c1'
         else b || '.c1,' || b || '.c2,' || b || '.c1' end as linked_columns from d where place < 20""",

@@ -9,9 +9,12 @@ from colsight.config import ProfileConfig
 from colsight.operators import sampling
 from colsight.plans import document
 from colsight.plans.column_profile import column_profile
+from colsight.functions.rows import constant_rows
 from colsight.plans.dataset import file_profile, isolated_profile, table_profile, write_each
+from colsight.plans.report import table_report
 from colsight.sources import jdbc, readers, sinks
 from colsight.sources.readers import FileSource
+from colsight.sources.staging import columnar, shared_folder
 
 NAMES = {
     "data/orders.csv": "orders", "data.csv.gz": "data_csv", "my-orders.csv": "my_orders", "---.csv": "s3_file",
@@ -74,6 +77,13 @@ def test_unreadable_paths_are_skipped(spark, tmp_path):
         readers.read_all(spark, [])
 
 
+def test_copies_go_to_the_folder_of_the_session(spark):
+    folder = shared_folder(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and folder != shared_folder(spark)
+    copied = columnar(spark.range(5).toDF("n"))
+    assert copied.count() == 5 and spark.conf.get("spark.checkpoint.dir") in copied.inputFiles()[0]
+
+
 def test_equal_names_do_not_collide(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
@@ -142,6 +152,22 @@ def test_document_keeps_null_and_empty_apart(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).first().name == "t"
 
 
+def test_report(spark):
+    df = spark.range(100).selectExpr("id", "id % 3 as order_status", "concat('u', id, '@example.com') as contact")
+    none = "table_name string, constraint_name string, from_column string, to_schema string, to_table string"
+    keys = constant_rows(spark, [("t", "id", True)], "table_name string, column_name string, is_primary_key boolean")
+    keys = keys.withColumn("enum_values", F.lit(None).cast("array<string>"))
+    index = "table_name string, index_name string, columns array<string>, is_unique boolean, is_primary boolean"
+    report = table_report({"t": df}, keys, constant_rows(spark, [], none), constant_rows(spark, [], index))
+    doc = json.loads(document.table_documents(report).first().document)
+    columns = {c["name"]: c for c in doc["columns"]}
+    assert doc["table_role"] == "unknown" and doc["row_count"] == 100
+    assert [f["column_name"] for f in doc["filter_columns"]] == ["order_status"]
+    assert columns["id"]["is_primary_key"] and not columns["id"]["is_sensitive"]
+    assert (columns["contact"]["sensitivity_type"], columns["contact"]["sensitivity_level"]) == ("email", "high")
+    assert len(columns["contact"]["sample_values"]) == 10
+
+
 def test_jdbc_options():
     options = jdbc.options("postgres", "//host/db", table="s.t", split_by=("id", 0, 1000, 16))
     assert options["url"] == "jdbc:postgresql://host/db" and options["numPartitions"] == "16" and options["dbtable"] == "s.t"
