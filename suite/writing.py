@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from colsight.functions import text
 from colsight.operators import answers, filters, history, prompts, sensitivity
+from suite.filtering import COLUMNS as MEASURED
+from suite.filtering import ORACLE as FILTERING
 from suite.filtering import candidates, measured
 from suite.tables import load
 
@@ -154,7 +156,7 @@ def aug_kpi_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aug_filter_judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = candidates(spark, sf_dir)
+    scored = candidates(spark, sf_dir, top=True)
     roles = measured(spark, sf_dir).select("table_name").distinct().withColumn("table_role", F.lit("unknown"))
     return prompts.judge_prompts(filters.judge_payloads(scored), roles)
 
@@ -380,7 +382,27 @@ def _evidence_sql() -> str:
 _DOMAIN = "part || '_' || c_mktsegment"
 _RUNS = f"with r as ({RUNS.format(orders='orders')})"
 
+_PLACES = ", ".join(f"('{t}', '{c}', {i})" for t, columns in MEASURED.items() for i, c in enumerate(columns))
+
 ORACLE = {
+    "sn_prompt": _W
+    + f""" select table_name, ((ordinal - 1) // 20)::int as batch, 'Decide for every column below whether it holds personal or health information.' || chr(10) || chr(10) || 'Table: ' || table_name
+        || chr(10) || 'Description: ' || coalesce(nullif(any_value(table_description), ''), '(no description)') || chr(10) || 'Columns:' || chr(10) || '['
+        || string_agg('{{"name":"' || column_name || '","data_type":"' || data_type || '"' || case when description is not null then ',"description":"' || description || '"' else '' end
+            || ',"sample_values":["' || l_returnflag || '","null","' || l_partkey || '","' || l_linestatus || '"]}}', ',' || chr(10) order by ordinal)
+        || ']' || chr(10) || chr(10) || 'Allowed values of sensitivity_type: {", ".join(sensitivity.TYPES)}.' || chr(10)
+        || 'Record timestamps, keys of business objects, status flags and aggregates are not sensitive.' || chr(10)
+        || 'Answer with JSON only: {{"columns": [{{"column_name": ..., "is_sensitive": true or false, "sensitivity_type": ... or null}}]}} with one entry for every column.' as prompt
+        from w join t using (table_name) group by table_name, (ordinal - 1) // 20""",
+    "aug_kpi_cluster_prompt": _W
+    + """, p as (select table_name, (('0x' || md5(table_name)[1:8])::bigint % (select greatest(ceil(count(*) / 1000), 1)::bigint from t))::int as part from t)
+        select part, 'Sort these tables into 1 to 5 business domains, each table into exactly one.' || chr(10) || chr(10) || string_agg('  - ' || table_name, chr(10) order by table_name)
+        || chr(10) || chr(10) || 'Answer with JSON only: {"domains": [{"domain": ..., "tables": [...]}]}' as prompt from p group by part""",
+    "aug_filter_judge_prompt": f"""select table_name, 'Judge for each column whether analysts would filter by it. Be wary of audit columns, coded ids and mostly empty columns.' || chr(10) || chr(10)
+        || 'Table: ' || table_name || chr(10) || 'Role: unknown' || chr(10) || 'Columns:' || chr(10) || '[' || string_agg(payload, ',' || chr(10) order by place)
+        || ']' || chr(10) || chr(10) || 'Answer with JSON only: {{"columns": [{{"filter_name": ..., "column_name": ..., "llm_confidence": 0 to 1, '
+        || '"llm_filter_type": "temporal", "boolean", "categorical" or "range", "agrees_with_heuristic": ..., "reasoning": ...}}]}}' as prompt
+        from ({FILTERING["fd_judge_payload"]}) join (values {_PLACES}) v(table_name, column_name, place) using (table_name, column_name) group by table_name""",
     "sn_batches": _W + " select table_name, column_name, ((ordinal - 1) // 20)::int as batch from w",
     "sn_sample_text": "select doc_id, concat_ws('|', s, 'null', lang, source, s) as samples from (select *, case when len(text) > 50 then text[1:50] || '...' else text end as s from documents)",
     "sn_parse": _W + " " + _VERDICTS,
