@@ -181,3 +181,10 @@ def test_frequencies_are_shuffled_once(spark, tmp_path):
     final = plan.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Expand" not in plan
+
+
+def test_nan_counts_as_the_largest_value(spark):
+    df = spark.sql("select explode(array(3.0D, double('NaN'), 1.0D, 2.0D, double('NaN'), 0.0D, 5.0D, 4.0D, 6.0D)) as d")
+    row = profile_of(df)["d"]
+    assert (row.distinct_count, row.p25, row.median) == (8, 2.0, 4.0)
+    assert np.isnan(row.max) and np.isnan(row.p95)
