@@ -15,7 +15,7 @@ from colsight.operators.outliers import with_outlier_counts
 from colsight.operators.ranks import percentiles, upper_medians
 from colsight.plans.column_profile import column_profile, column_statistics
 from colsight.plans.dataset import isolated_profile
-from suite.tables import LINEITEM_GAPS, NAMES, gap_ctes, gap_views, load, per_column
+from suite.tables import NAMES, gap_ctes, gap_views, load, per_column
 
 BUCKETS = 1024
 
