@@ -140,7 +140,7 @@ def test_parts_that_are_switched_off_are_null(spark):
 def test_document_keeps_null_and_empty_apart(spark, tmp_path):
     profile = column_profile({"t": spark.range(2).toDF("n")})
     parts = spark.sql("select 't' as table_name, 'me' as owner, array() as indexes, 2L as row_count")
-    structs = document.table_structs(profile, parts, "main")
+    structs = document.table_structs(profile, parts, schema_name="main")
     doc = json.loads(document.table_documents(structs).first().document)
     assert doc["indexes"] == [] and doc["relationships"] is None and doc["owner"] == "me"
     assert doc["columns"][0]["statistics"]["numeric"]["max"] == 1.0
