@@ -72,7 +72,7 @@ def mix(
         id=F.col(quoted(id_column)),
         key=exponential_key(F.col(quoted(id_column)), weight, seed),
     )
-    ordered = stored(running_totals(sized, "origin", ["key", "id", "size"], F.col("size")))
+    ordered = stored(running_totals(sized, "origin", ["key", "id", "size"], before=F.col("size")))
     aims = targets(ordered.groupBy("origin").agg(F.sum("size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = stored(aims.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))

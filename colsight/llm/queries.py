@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsight.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup
+from colsight.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup
 from colsight.llm.shared import LOWER, UPPER
 
 _LOWER_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -29,6 +29,48 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", no_shard)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = lm_scoring.with_target_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = marked.select("row.doc_id", "row.text", "in_target")
+    return lm_scoring.score_documents(rows, F.col("in_target"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_format.swapped_endings(table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(pairs).withColumnRenamed("pair", "conv_id")
+
+
+OP4_SQL = r"""
+WITH n AS (SELECT *, lead(conv_id) OVER (ORDER BY conv_id) AS next FROM (SELECT DISTINCT conv_id FROM conversations)),
+z AS (SELECT conv_id, max({'turn': turn, 'role': role, 'text': text}) AS l FROM conversations GROUP BY conv_id),
+e AS (
+  SELECT n.conv_id, z.l, y.l.text AS ending FROM n JOIN z USING (conv_id)
+  JOIN z y ON y.conv_id = coalesce(n.next, (SELECT min(conv_id) FROM conversations))),
+s AS (
+  SELECT conv_id, 'chosen' AS side, turn, role, text FROM conversations UNION ALL
+  SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = l.turn AND role = l.role AND text = l.text THEN ending ELSE text END
+  FROM conversations JOIN e USING (conv_id)),
+p AS (
+  SELECT *, row_number() OVER side - 1 AS position, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+  FROM s WINDOW side AS (PARTITION BY conv_id, side ORDER BY turn, role, text)),
+b AS (
+  SELECT a.conv_id, min(a.position) FILTER (a.role IS DISTINCT FROM o.role OR a.text IS DISTINCT FROM o.text) AS differs, max(a.position) + 1 AS n
+  FROM p a LEFT JOIN p o ON a.conv_id = o.conv_id AND a.position = o.position AND o.side = 'rejected' WHERE a.side = 'chosen' GROUP BY a.conv_id),
+q AS (
+  SELECT p.*, CASE WHEN position < coalesce(differs, n) THEN 'prompt' ELSE side END AS part
+  FROM p JOIN b USING (conv_id) WHERE side = 'chosen' OR position >= coalesce(differs, n))
+SELECT conv_id, part, position, role, rendered,
+  coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|' || role || '|>') + 1 ELSE 0 END AS loss_start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) - length('<|' || role || '|>') - 1 ELSE 0 END AS loss_length
+FROM q
+"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = mixing.word_count(F.col("text"))
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", "text", size.alias("words"))
@@ -148,13 +190,16 @@ FROM m
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
+    "op3_lm": op3_lm,
+    "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
     "op6_mix": op6_mix,
     "op7_pack": op7_pack,
     "op8_lines": op8_lines,
     "op9_copies": op9_copies,
     "op10_rules": op10_rules,
 }
-ORACLE = {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL, "op9_copies": OP9_SQL, "op10_rules": OP10_SQL}
+ORACLE = {"op4_chat": OP4_SQL, "op6_mix": OP6_SQL, "op8_lines": OP8_SQL, "op9_copies": OP9_SQL, "op10_rules": OP10_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,13 +77,6 @@ def sorted_chunks(df: DataFrame, *order: Column | str) -> DataFrame:
     return stored(placed.drop("_tie"))
 
 
-def _chunk_offsets(chunks: DataFrame, *group: str, value: Column) -> DataFrame:
-    """Totals of the chunks before each: one row per chunk and group, so as many as tasks, not rows."""
-    sums = chunks.groupBy("chunk", *group).agg(F.sum(value).alias("subtotal"))
-    earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("chunk", *group, F.coalesce(F.sum("subtotal").over(earlier), F.lit(0)).alias("offset"))
-
-
 def row_numbers(df: DataFrame, *order: Column | str) -> DataFrame:
     """Adds ``number``: 0, 1, 2 ... over all rows in the given order."""
     chunks = sorted_chunks(df, *order)
@@ -94,15 +87,18 @@ def row_numbers(df: DataFrame, *order: Column | str) -> DataFrame:
     return numbered.select(*df.columns, (F.col("place") - F.col("first") + F.col("offset")).alias("number"))
 
 
-def running_totals(df: DataFrame, group: str, order: list[Column | str], value: Column) -> DataFrame:
-    """Adds ``before``: the total of ``value`` over the rows of the same group that come earlier.
+def running_totals(df: DataFrame, group: str, order: list[Column | str], **values: Column) -> DataFrame:
+    """Adds for each of ``values`` a column: its total over the rows of the same group that come earlier.
 
     ``group`` must not be null. A group of any size is spread over the sorted ranges: totals inside
-    a range and totals of the ranges before it are summed apart.
+    a range and totals of the ranges before it are summed apart. ``place`` tells the rows apart.
     """
     chunks = sorted_chunks(df, group, *order)
-    offsets = _chunk_offsets(chunks, group, value=value)
-    inside = Window.partitionBy("chunk", group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    summed = chunks.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    total = (F.col("offset") + F.col("inside")).alias("before")
-    return summed.join(offsets, ["chunk", group]).select(*df.columns, "place", total)
+    earlier = Window.unboundedPreceding, -1
+    sums = chunks.groupBy("chunk", group).agg(*[F.sum(value).alias(name) for name, value in values.items()])
+    ranges = Window.partitionBy(group).orderBy("chunk").rowsBetween(*earlier)
+    offsets = sums.select("chunk", group, *[F.coalesce(F.sum(name).over(ranges), F.lit(0)).alias(f"_{name}") for name in values])
+    inside = Window.partitionBy("chunk", group).orderBy("place").rowsBetween(*earlier)
+    summed = chunks.withColumns({name: F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in values.items()})
+    totals = [(F.col(name) + F.col(f"_{name}")).alias(name) for name in values]
+    return summed.join(offsets, ["chunk", group]).select(*df.columns, "place", *totals)
