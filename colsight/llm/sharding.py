@@ -47,17 +47,18 @@ def walk_length(spark: SparkSession, rows: int, seed: int = SEED) -> int:
     """The most passes that any position needs, in either direction, to come back below ``rows``.
 
     Only walks through the positions of the square beyond the last row take more than one pass. There are
-    at most ``2 * sqrt(rows)`` of those, whatever the table; they are followed until all are back.
+    at most ``2 * sqrt(rows)`` of those, whatever the table. Each is followed until it is back below ``rows``, or at
+    its own start: such a circle is entered by no row.
     """
     side = _sides(rows)
-    away = spark.range(rows, side * side, 1, 1).select(feistel(F.col("id"), rows, seed).alias("at"))
+    away = spark.range(rows, side * side, 1, 1).select(F.col("id").alias("start"), feistel(F.col("id"), rows, seed).alias("at"))
     passes = 1
     while True:
-        away = stored(away.where(F.col("at") >= rows))
+        away = stored(away.where((F.col("at") >= rows) & (F.col("at") != F.col("start"))))
         passes += 1
         if away.isEmpty():
             return passes
-        away = away.select(feistel(F.col("at"), rows, seed).alias("at"))
+        away = away.select("start", feistel(F.col("at"), rows, seed).alias("at"))
 
 
 def permuted(position: Column, rows: int, passes: int, seed: int = SEED, back: bool = False) -> Column:
