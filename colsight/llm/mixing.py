@@ -76,7 +76,7 @@ def mix(
     aims = targets(ordered.groupBy("origin").agg(F.sum("size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = stored(aims.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    fits = F.col("before") + F.col("size") <= F.col("rest")
+    fits = (F.col("rest") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))
     lined = ordered.join(aims, "origin").withColumn("fits", fits)
     left = lined.groupBy("origin").agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("left"))
     open_rows = lined.where(~F.col("fits")).select("origin", "place", "size").join(left, "origin")
