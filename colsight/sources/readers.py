@@ -1,4 +1,4 @@
-"""Reading files: format by name, separator and JSON layout by looking at the first lines."""
+"""Reading files: format by name, separator and JSON layout by looking at every file."""
 
 from __future__ import annotations
 
@@ -19,10 +19,8 @@ PARQUET_ENDINGS = (".parquet", ".parq")
 JSON_ENDINGS = (".json", ".jsonl", ".ndjson")
 NAME_ENDINGS = (".csv", ".parquet", ".parq", ".json", ".jsonl", ".ndjson", ".gz", ".zst", ".bz2", ".lz4")
 UNNAMED = "s3_file"
-MAX_PATHS = 50
 
 _SEPARATORS = (",", "\t", ";", "|")
-_SNIFF_LINES = 20
 
 
 @dataclass(frozen=True)
@@ -35,6 +33,7 @@ class FileSource:
     delimiter: str | None = None
     has_header: bool = True
     schema: str | None = None  # saves the pass that infers CSV and JSON types
+    multi_line: bool = True  # quoted CSV fields may hold line breaks; then a file is read in one piece
 
 
 def _last_segment(path: str) -> str:
@@ -70,39 +69,85 @@ def table_name_of(path: Column) -> Column:
     return F.when(name == "", UNNAMED).otherwise(name)
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The candidate that splits the first lines into the same, largest number of fields."""
-    lines = [row.value for row in spark.read.text(path).limit(_SNIFF_LINES).collect() if row.value]
-
-    def evenness(separator: str) -> tuple[bool, int]:
-        counts = [line.count(separator) for line in lines]
-        return bool(counts) and min(counts) == max(counts) > 0, min(counts, default=0)
-
-    return max(_SEPARATORS, key=evenness)
-
-
-def is_json_array(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0].value.lstrip().startswith("[")
+def matching_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files whose whole path fits a glob in which ``**`` stands for any number of folders."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern.partition("*")[0].rpartition("/")[0] or ".")
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rules = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", system.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)).toString())
+    fits = re.compile("".join(rules.get(part, re.escape(part)) for part in parts))
+    found, listing = [], system.listFiles(root, True)
+    while listing.hasNext():
+        path = listing.next().getPath().toString()
+        # a table may be a folder that fits, with part files in it
+        if fits.fullmatch(path) or fits.fullmatch(path.rpartition("/")[0]):
+            name = path.rpartition("/")[2]
+            found += [path] * (not name.startswith(("_", ".")))
+    if not found:
+        raise FileNotFoundError(pattern)
+    return sorted(found)
+
+
+def sniff_separator(spark: SparkSession, files: str | list[str]) -> str:
+    """The candidate that splits most lines of all files into the same number of fields; more fields win a tie.
+
+    Separators inside quotes do not count, and neither do lines whose quotes go on in the next line. A source
+    in which no candidate is usual has one column; one whose lines agree on nothing is refused.
+    """
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    lines = spark.read.text(files).where("value <> ''").select(bare.alias("bare")).where(~F.contains("bare", F.lit('"')))
+    fields = [F.struct(F.lit(s).alias("s"), (F.length("bare") - F.length(F.replace("bare", F.lit(s), F.lit("")))).alias("n")) for s in _SEPARATORS]
+    fields.append(F.struct(F.lit("any").alias("s"), F.length(F.regexp_replace("bare", r"[^,;|\t]", "")).alias("n")))
+    counts = lines.select(F.inline(F.array(*fields))).groupBy("s", "n").agg(F.count("*").alias("lines"))
+    usual = counts.groupBy("s").agg(F.max(F.struct("lines", "n")).alias("usual"), F.sum("lines").alias("all")).collect()
+    shares = {r.s: (r.usual.lines / r["all"], r.usual.n) for r in usual}
+    if shares.get("any", (1, 0))[1] == 0:
+        return _SEPARATORS[0]
+    splitting = [(*shares[s], -at, s) for at, s in enumerate(_SEPARATORS) if shares[s][1]]
+    share, _, _, best = max(splitting, default=(0, 0, 0, ""))
+    if share < 0.5:
+        raise ValueError(f"no separator splits the lines of {files} evenly; give delimiter")
+    return best
+
+
+def json_layouts(spark: SparkSession, files: str | list[str]) -> dict[str, bool]:
+    """The files that are not blank, and whether the first character is that of an array."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(files).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"))
+    return {r.file: r.array for r in first.select("file", F.ltrim("first").startswith("[").alias("array")).collect()}
+
+
+def _read_json(reader, spark: SparkSession, files: str | list[str]) -> DataFrame:  # noqa: ANN001
+    """Line files and array files apart, each in its own way; a broken record fails the read.
+
+    An array file is one record to the reader and cannot be split; lines can.
+    """
+    reader = reader.option("mode", "FAILFAST")
+    layouts = json_layouts(spark, files)
+    arrays, lines = (sorted(f for f, array in layouts.items() if array == wanted) for wanted in (True, False))
+    if not arrays:
+        return reader.json(files)
+    whole = reader.json(arrays, multiLine=True)
+    return whole.unionByName(reader.json(lines, multiLine=False), allowMissingColumns=True) if lines else whole
 
 
 def read(spark: SparkSession, source: FileSource) -> DataFrame:
-    """A file source as a DataFrame; ``**`` in a glob descends into every subfolder."""
-    reader, path = spark.read, source.path
-    if "**" in path:
-        root, _, pattern = path.partition("**")
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", _last_segment(pattern) or "*")
-        path = root
+    """A file source as a DataFrame; ``**`` in a glob stands for any number of folders."""
+    reader = spark.read
+    path: str | list[str] = matching_files(spark, source.path) if "**" in source.path else source.path
     if source.schema:
         reader = reader.schema(source.schema)
     kind = file_format(source)
     if kind == "parquet":
-        return reader.parquet(path)
+        return reader.parquet(*([path] if isinstance(path, str) else path))
     if kind == "json":
-        # An array file is one record to the reader and cannot be split; lines can.
-        return reader.json(path, multiLine=is_json_array(spark, path))
+        return _read_json(reader, spark, path)
     separator = source.delimiter or sniff_separator(spark, path)
-    return reader.csv(path, sep=separator, header=source.has_header, inferSchema=not source.schema)
+    # Quotes are doubled inside quotes, as spreadsheets and databases write them.
+    return reader.csv(
+        path, sep=separator, header=source.has_header, inferSchema=not source.schema, quote='"', escape='"', multiLine=source.multi_line
+    )
 
 
 def probe(spark: SparkSession, source: FileSource) -> DataFrame:
@@ -115,8 +160,8 @@ def read_all(spark: SparkSession, sources: Sequence[FileSource], stage: bool = F
 
     ``stage`` copies CSV and JSON to Parquet first, for work that scans a table more than once.
     """
-    if not 1 <= len(sources) <= MAX_PATHS:
-        raise ValueError(f"between 1 and {MAX_PATHS} paths are required, got {len(sources)}")
+    if not sources:
+        raise ValueError("no paths are given")
     tables: dict[str, DataFrame] = {}
     for source in sources:
         try:

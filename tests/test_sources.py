@@ -59,6 +59,41 @@ def test_json_lines_and_arrays(spark, tmp_path):
         assert {(r.a, r.b) for r in readers.read(spark, FileSource(str(tmp_path / name))).collect()} == {(1, "x"), (2, None)}
 
 
+def test_json_lines_and_arrays_in_one_glob(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('\n[\n {"a": 4},\n {"a": 5}\n]')
+    (tmp_path / "c.json").write_text('[{"a": 6},\n{"a": 7}]')
+    got = readers.read(spark, FileSource(f"{tmp_path}/*.json"))
+    assert got.columns == ["a"] and sorted(r.a for r in got.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    (tmp_path / "d.json").write_text('{"a": 8}\n{"a": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read(spark, FileSource(f"{tmp_path}/d.json")).collect()
+
+
+def test_csv_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,t\n1,"two\nlines, one; field"\n2,"He said ""hi"", bye"\n3,plain\n')
+    got = {(r.id, r.t) for r in readers.read(spark, FileSource(str(tmp_path / "q.csv"))).collect()}
+    assert got == {(1, "two\nlines, one; field"), (2, 'He said "hi", bye'), (3, "plain")}
+    (tmp_path / "s.csv").write_text('a;b\n"1,2";"x,y,z"\n"3,4";"u,v"\n')
+    assert readers.read(spark, FileSource(str(tmp_path / "s.csv"))).columns == ["a", "b"]
+    (tmp_path / "u.csv").write_text("a,b\nc;d;e\nf|g|h|i\nj\tk\tl\nm,n,o,p,q\n")
+    with pytest.raises(ValueError, match="separator"):
+        readers.read(spark, FileSource(str(tmp_path / "u.csv")))
+
+
+def test_folders_after_two_stars(spark, tmp_path):
+    for part, text in (("x/in", "a;b\n1;2\n"), ("y/z/in", "a;b\n3;4\n"), ("y/out", "a;b\n5;6\n")):
+        (tmp_path / part).mkdir(parents=True)
+        (tmp_path / part / "t.csv").write_text(text)
+    got = readers.read(spark, FileSource(f"{tmp_path}/**/in/*.csv"))
+    assert got.columns == ["a", "b"] and sorted(r.a for r in got.collect()) == [1, 3]
+
+
+def test_any_number_of_paths(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("n\n1\n")
+    assert len(readers.read_all(spark, [FileSource(str(tmp_path / "t.csv"))] * 60)) == 60
+
+
 def test_globs(spark, tmp_path):
     for part in ("x/1", "x/2", "y/1"):
         spark.range(5).write.parquet(str(tmp_path / part / "a.parquet"))
