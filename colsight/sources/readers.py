@@ -88,34 +88,41 @@ def matching_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(found)
 
 
+def _first_lines(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """``file, first``: the first line of each file that is not blank."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(files).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    return lines.groupBy("file").agg(F.min_by("value", "place").alias("first"))
+
+
+def _separators(line: str | Column) -> list[Column]:
+    """How often each candidate occurs outside quotes."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return [(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"n{at}") for at, s in enumerate(_SEPARATORS)]
+
+
 def sniff_separator(spark: SparkSession, files: str | list[str]) -> str:
-    """The candidate that splits most lines of all files into the same number of fields; more fields win a tie.
+    """The candidate found equally often, outside quotes, in the first line of every file.
 
-    Separators inside quotes do not count, and neither do lines whose quotes go on in the next line. A source
-    in which no candidate is usual has one column; one whose lines agree on nothing is refused.
+    Of several, the one that splits the most lines of all files in the same way as the first lines; more fields
+    win a tie. A source whose first lines hold no candidate has one column; one whose first lines disagree is refused.
     """
-    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
-    lines = spark.read.text(files).where("value <> ''").select(bare.alias("bare")).where(~F.contains("bare", F.lit('"')))
-    fields = [F.struct(F.lit(s).alias("s"), (F.length("bare") - F.length(F.replace("bare", F.lit(s), F.lit("")))).alias("n")) for s in _SEPARATORS]
-    fields.append(F.struct(F.lit("any").alias("s"), F.length(F.regexp_replace("bare", r"[^,;|\t]", "")).alias("n")))
-    counts = lines.select(F.inline(F.array(*fields))).groupBy("s", "n").agg(F.count("*").alias("lines"))
-    usual = counts.groupBy("s").agg(F.max(F.struct("lines", "n")).alias("usual"), F.sum("lines").alias("all")).collect()
-    shares = {r.s: (r.usual.lines / r["all"], r.usual.n) for r in usual}
-    if shares.get("any", (1, 0))[1] == 0:
+    counts = _first_lines(spark, files).select(*_separators("first"))
+    ends = counts.agg(*[F.struct(F.min(c), F.max(c)) for c in counts.columns]).first()
+    if not any(high for _, high in ends):
         return _SEPARATORS[0]
-    splitting = [(*shares[s], -at, s) for at, s in enumerate(_SEPARATORS) if shares[s][1]]
-    share, _, _, best = max(splitting, default=(0, 0, 0, ""))
-    if share < 0.5:
-        raise ValueError(f"no separator splits the lines of {files} evenly; give delimiter")
-    return best
+    fields = {at: low for at, (low, high) in enumerate(ends) if low == high and low}
+    if not fields:
+        raise ValueError(f"no separator splits the first lines of {files} evenly; give delimiter")
+    lines = spark.read.text(files).select(*_separators("value"))
+    agreeing = lines.agg(*[F.count_if(F.col(f"n{at}") == n) for at, n in fields.items()]).first()
+    return _SEPARATORS[max(zip(agreeing, fields.values(), [-at for at in fields], fields, strict=True))[3]]
 
 
 def json_layouts(spark: SparkSession, files: str | list[str]) -> dict[str, bool]:
     """The files that are not blank, and whether the first character is that of an array."""
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = spark.read.text(files).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
-    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"))
-    return {r.file: r.array for r in first.select("file", F.ltrim("first").startswith("[").alias("array")).collect()}
+    first = _first_lines(spark, files).select("file", F.ltrim("first").startswith("[").alias("array"))
+    return {r.file: r.array for r in first.collect()}
 
 
 def _read_json(reader, spark: SparkSession, files: str | list[str]) -> DataFrame:  # noqa: ANN001

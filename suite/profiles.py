@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,13 +68,20 @@ def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written with ``|`` and read back with the separator found from the first lines."""
-    orders = readers.read(spark, FileSource(_as_csv(spark, sf_dir, "orders", "|")))
-    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    """Documents written with ``|`` and quotes, so with line breaks inside fields, and read back; the separator is found."""
+    path = shared_folder(spark)
+    written = load(spark, sf_dir, "documents").write.option("escape", '"').option("quoteAll", True)
+    written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="|", header=True)
+    return readers.read(spark, FileSource(path))
 
 
 def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.read(spark, FileSource(_as_json(spark, sf_dir, "supplier")))
+    """One glob over a folder of line files and a folder whose file is an array."""
+    path, suppliers = shared_folder(spark), load(spark, sf_dir, "supplier")
+    suppliers.where("s_suppkey % 2 = 0").write.json(f"{path}/lines")
+    array = suppliers.where("s_suppkey % 2 = 1").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    array.write.text(f"{path}/array")
+    return readers.read(spark, FileSource(f"{path}/*/part-*", file_format="json"))
 
 
 def src_auto_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +101,15 @@ def src_auto_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_multi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several paths and a glob, each one table; its row count under the derived name."""
+    """Several paths, a glob, and a glob over nested folders, each one table; its row count under the derived name."""
+    path, events = shared_folder(spark), load(spark, sf_dir, "events")
+    for number, folder in enumerate(("a/in", "b/c/in", "b/out")):
+        events.where(f"event_id % 3 = {number}").write.parquet(f"{path}/{folder}")
     paths = ("orders.parquet", "lineitem.parquet", "custom*.parquet")
-    tables = readers.read_all(spark, [FileSource(f"{sf_dir}/{p}") for p in paths])
+    sources = [*[FileSource(f"{sf_dir}/{p}") for p in paths], FileSource(f"{path}/**/in/*.parquet", name="nested")]
+    tables = readers.read_all(spark, sources)
     counts = [df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, df in tables.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    return reduce(DataFrame.unionAll, counts)
 
 
 def src_table_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +125,12 @@ def src_isolated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.probe(spark, FileSource(f"{sf_dir}/orders.parquet"))
+    """Whether the probed row is a row of the table, and the schema it shows, column by column."""
+    orders = load(spark, sf_dir, "orders")
+    row = readers.probe(spark, FileSource(f"{sf_dir}/orders.parquet"))
+    found = row.join(orders, row.columns, "left_semi").agg(F.count("*").alias("rows"))
+    schema = [F.struct(F.lit(at).alias("place"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type")) for at, f in enumerate(row.schema)]
+    return found.select("rows", F.inline(F.array(*schema)))
 
 
 def snk_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,12 +266,15 @@ _PART = "count(*) as parts, sum(p_size)::bigint as sizes, count(distinct p_name)
 
 ORACLE = {
     "src_parquet": "select * from customer",
-    "src_csv": "select * replace (strftime(o_orderdate, '%Y-%m-%d') as o_orderdate) from orders",
+    "src_csv": "select * from documents",
     "src_json": "select * from supplier",
+    "src_probe": """select 1 as rows, place, column_name, data_type from (values (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'),
+        (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string'))
+        t(place, column_name, data_type) where exists (select * from orders)""",
     "src_auto_format": " union all ".join(f"select '{f}' as format, {_PART}" for f in ("parquet", "json", "csv")),
     "src_multi_path": " union all ".join(
         f"select '{name}' as table_name, count(*) as row_count from {table}"
-        for name, table in {"orders": "orders", "lineitem": "lineitem", "custom": "customer"}.items()
+        for name, table in {"orders": "orders", "lineitem": "lineitem", "custom": "customer", "nested": "events where event_id % 3 < 2"}.items()
     ),
     "src_table_name": _table_name_sql(),
     "src_isolated_paths": _counts_sql("nation", "supplier"),

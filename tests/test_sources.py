@@ -76,9 +76,11 @@ def test_csv_quotes(spark, tmp_path):
     assert got == {(1, "two\nlines, one; field"), (2, 'He said "hi", bye'), (3, "plain")}
     (tmp_path / "s.csv").write_text('a;b\n"1,2";"x,y,z"\n"3,4";"u,v"\n')
     assert readers.read(spark, FileSource(str(tmp_path / "s.csv"))).columns == ["a", "b"]
-    (tmp_path / "u.csv").write_text("a,b\nc;d;e\nf|g|h|i\nj\tk\tl\nm,n,o,p,q\n")
+    (tmp_path / "u").mkdir()
+    for name, text in (("1.csv", "a,b\n1,2\n"), ("2.csv", "a;b\n1;2\n")):
+        (tmp_path / "u" / name).write_text(text)
     with pytest.raises(ValueError, match="separator"):
-        readers.read(spark, FileSource(str(tmp_path / "u.csv")))
+        readers.read(spark, FileSource(str(tmp_path / "u")))
 
 
 def test_folders_after_two_stars(spark, tmp_path):
