@@ -49,9 +49,9 @@ DEFAULT_EXCLUDED_SCHEMAS = {
 }
 
 
-def _between(name: str, value: int, low: int, high: int) -> None:
-    if not low <= value <= high:
-        raise ValueError(f"{name} must be between {low} and {high}, got {value}")
+def _positive(name: str, value: int) -> None:
+    if value < 1:
+        raise ValueError(f"{name} must be at least 1, got {value}")
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,11 @@ class ProfileConfig:
     rank_buckets: int = 1024
 
     def __post_init__(self) -> None:
-        _between("sample_size", self.sample_size, 1, 1000)
-        _between("top_values_limit", self.top_values_limit, 1, 50)
-        _between("top_values_cardinality_threshold", self.top_values_cardinality_threshold, 1, 10_000)
-        _between("max_concurrent_tables", self.max_concurrent_tables, 1, 50)
-        _between("sensitivity_batch_size", self.sensitivity_batch_size, 1, 100)
+        _positive("sample_size", self.sample_size)
+        _positive("top_values_limit", self.top_values_limit)
+        _positive("top_values_cardinality_threshold", self.top_values_cardinality_threshold)
+        _positive("max_concurrent_tables", self.max_concurrent_tables)
+        _positive("sensitivity_batch_size", self.sensitivity_batch_size)
         if self.rank_buckets < 2 or self.rank_buckets & (self.rank_buckets - 1):
             raise ValueError("rank_buckets must be a power of two")
 

@@ -151,8 +151,8 @@ def keep_valid_links(found: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def apply_descriptions(rows: DataFrame, answers: DataFrame, key: list[str], field: str = "description") -> DataFrame:
-    """A non-empty answer replaces ``field``; otherwise the old text stays."""
-    new = answers.select(*key, F.expr("nullif(response, '')").alias("_new"))
+    """A non-empty answer replaces ``field``; otherwise the old text stays. Of several answers the largest text wins."""
+    new = answers.groupBy(*key).agg(F.max(F.expr("nullif(response, '')")).alias("_new"))
     return rows.join(new, key, "left").withColumn(field, F.coalesce("_new", field)).drop("_new")
 
 

@@ -41,10 +41,16 @@ def insert(runs: DataFrame, added: DataFrame) -> DataFrame:
     return runs.unionByName(added, allowMissingColumns=True)
 
 
-def update(runs: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Each change row replaces the fields it gives; a NULL field is not given."""
-    fields = [name for name in changes.columns if name != key]
-    renamed = changes.select(key, *[F.col(name).alias(f"_{name}") for name in fields])
+def update(runs: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Each change replaces the fields it gives; a NULL field is not given.
+
+    Of several changes of one key the last that gives a field wins, by the column ``order`` of ``changes``, which is
+    not a field itself; without it, and where it is equal, the largest value wins.
+    """
+    fields = [name for name in changes.columns if name not in (key, order)]
+    last = F.col(order) if order else F.lit(0)
+    given = [F.max(F.when(F.col(name).isNotNull(), F.struct(last.alias("at"), F.col(name).alias("value"))))["value"].alias(f"_{name}") for name in fields]
+    renamed = changes.groupBy(key).agg(*given)
     joined = runs.join(renamed, key, "left")
     return joined.select(*[F.coalesce(f"_{n}", n).alias(n) if n in fields else F.col(n) for n in runs.columns])
 
@@ -64,8 +70,8 @@ def running_count(runs: DataFrame, with_detecting: bool = False) -> DataFrame:
 
 def retained(runs: DataFrame, hours: int, now: Column) -> DataFrame:
     """Runs that are not finished, or not older than ``hours``."""
-    if not 1 <= hours <= 720:
-        raise ValueError(f"hours must be between 1 and 720, got {hours}")
+    if hours < 1:
+        raise ValueError(f"hours must be at least 1, got {hours}")
     cutoff = now - F.make_dt_interval(hours=F.lit(hours))
     expired = F.col("status").isin(*TERMINAL) & (F.col("created_at") < cutoff)
     return runs.where(~F.coalesce(expired, F.lit(False)))

@@ -22,8 +22,24 @@ def random_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
 _WHERE = {"_file": "_metadata.file_path", "_row": "_metadata.row_index"}
 
 
+_ROW_FOR_ROW = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation"}
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether the plan only projects and filters one source, so that a row of it is a row of a file."""
+    waiting = [df._jdf.queryExecution().analyzed()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().split(" ")[0] not in _ROW_FOR_ROW or node.children().size() > 1:
+            return False
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
 def has_row_positions(df: DataFrame) -> bool:
     """Whether the rows of ``df`` can be addressed by file and position, as those of Parquet can."""
+    if not _is_plain_scan(df):
+        return False
     try:
         df.selectExpr(*_WHERE.values())
     except AnalysisException:

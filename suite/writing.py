@@ -141,7 +141,7 @@ def aug_glossary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aug_kpi_cluster_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.domain_prompts(wide_tables(spark, sf_dir), 5)
+    return prompts.domain_prompts(wide_tables(spark, sf_dir), 5, "part")
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,9 +395,8 @@ ORACLE = {
         || 'Answer with JSON only: {{"columns": [{{"column_name": ..., "is_sensitive": true or false, "sensitivity_type": ... or null}}]}} with one entry for every column.' as prompt
         from w join t using (table_name) group by table_name, (ordinal - 1) // 20""",
     "aug_kpi_cluster_prompt": _W
-    + """, p as (select table_name, (('0x' || md5(table_name)[1:8])::bigint % (select greatest(ceil(count(*) / 1000), 1)::bigint from t))::int as part from t)
-        select part, 'Sort these tables into 1 to 5 business domains, each table into exactly one.' || chr(10) || chr(10) || string_agg('  - ' || table_name, chr(10) order by table_name)
-        || chr(10) || chr(10) || 'Answer with JSON only: {"domains": [{"domain": ..., "tables": [...]}]}' as prompt from p group by part""",
+    + """ select part, 'Sort these tables into 1 to 5 business domains, each table into exactly one.' || chr(10) || chr(10) || string_agg('  - ' || table_name, chr(10) order by table_name)
+        || chr(10) || chr(10) || 'Answer with JSON only: {"domains": [{"domain": ..., "tables": [...]}]}' as prompt from t group by part""",
     "aug_filter_judge_prompt": f"""select table_name, 'Judge for each column whether analysts would filter by it. Be wary of audit columns, coded ids and mostly empty columns.' || chr(10) || chr(10)
         || 'Table: ' || table_name || chr(10) || 'Role: unknown' || chr(10) || 'Columns:' || chr(10) || '[' || string_agg(payload, ',' || chr(10) order by place)
         || ']' || chr(10) || chr(10) || 'Answer with JSON only: {{"columns": [{{"filter_name": ..., "column_name": ..., "llm_confidence": 0 to 1, '

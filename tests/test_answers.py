@@ -116,6 +116,20 @@ def test_update_keeps_fields_that_are_not_given(spark):
     assert history.existing(changes.select("id"), runs, "id").where("present").count() == 1
 
 
+def test_update_has_one_winner_for_each_key(spark):
+    runs = spark.createDataFrame([("a", "old", 1), ("b", "old", 2)], "id string, status string, n int")
+    changes = spark.createDataFrame([("a", "first", None, 1), ("a", "second", 5, 2), ("a", None, None, 3)], "id string, status string, n int, at int")
+    assert sorted(tuple(r) for r in history.update(runs, changes, "id", "at").collect()) == [("a", "second", 5), ("b", "old", 2)]
+    assert history.update(runs, changes.drop("at"), "id").count() == 2
+
+
+def test_long_words_are_searched_once(spark):
+    frame = spark.createDataFrame([("x" * 500_000,), ("a@b.com",)], "s string")
+    row = sensitivity.value_evidence({"t": frame}).first()
+    assert row.email_share == 0.5
+    assert sensitivity.value_evidence({"t": spark.range(3)}).collect() == []
+
+
 def test_interrupted_runs(spark):
     runs = constant_rows(
         spark,

@@ -151,6 +151,15 @@ def test_samples(spark, tmp_path):
     assert all(s == (None if int(i) % 2 == 0 else i) for i, s in zip(values["id"], values["s"], strict=True))
 
 
+def test_samples_of_rows_that_are_not_file_rows(spark, tmp_path):
+    spark.range(40).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    exploded = df.selectExpr("id", "explode(array(1, 2, 3)) AS n")
+    assert sampling.has_row_positions(df.where("id > 3").select("id")) and not sampling.has_row_positions(exploded)
+    rows = sampling.draw(exploded, 10, 1).collect()
+    assert len(rows) == len({(r.id, r.n) for r in rows}) == 10
+
+
 def test_sample_of_a_small_table_is_the_table(spark):
     assert sampling.random_rows(spark.range(3), 10, 1).count() == 3
 
