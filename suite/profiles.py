@@ -14,7 +14,7 @@ from colsight.plans.column_profile import column_profile
 from colsight.plans.dataset import file_profile, table_profile
 from colsight.sources import readers, sinks
 from colsight.sources.readers import FileSource
-from colsight.sources.staging import shared_folder
+from colsight.sources.staging import columnar, shared_folder
 from suite.statistics import flat_profile
 from suite.tables import NAMES, load
 
@@ -148,16 +148,31 @@ def snk_profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _membership(drawn: DataFrame, table: DataFrame) -> DataFrame:
+    """Size of a sample, how many different rows it has, and how many of them are rows of the table."""
+    drawn = columnar(drawn)
+    rows = drawn.agg(F.count("*").alias("rows"), F.countDistinct(F.struct("*")).alias("distinct_rows"))
+    return rows.select("*", F.lit(table.join(drawn.distinct(), drawn.columns, "left_semi").distinct().count()).alias("members"))
+
+
 def smp_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.random_rows(load(spark, sf_dir, "lineitem"), 10, 42)
+    lines = load(spark, sf_dir, "lineitem")
+    return _membership(sampling.random_rows(lines, 10, 42), lines)
 
 
 def smp_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.random_file_rows(load(spark, sf_dir, "lineitem"), 10, 42).drop("_draw")
+    lines = load(spark, sf_dir, "lineitem")
+    return _membership(sampling.random_file_rows(lines, 10, 42).drop("_draw"), lines)
 
 
 def smp_column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.column_values(load(spark, sf_dir, "orders"), 10, 42)
+    """For each column the number of values and of rows of the table that the values, side by side, make up."""
+    orders = load(spark, sf_dir, "orders")
+    values = columnar(sampling.column_values(orders, 10, 42))
+    cells = values.select("column_name", F.posexplode("sample_values").alias("place", "value"))
+    rows = cells.groupBy("place").pivot("column_name", orders.columns).agg(F.first("value"))
+    known = sampling.json_safe_rows(orders).join(rows, orders.columns, "left_semi").distinct().count()
+    return values.select("ordinal", "column_name", F.size("sample_values").alias("size"), F.lit(known).alias("members"))
 
 
 def smp_json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +282,11 @@ _PART = "count(*) as parts, sum(p_size)::bigint as sizes, count(distinct p_name)
 ORACLE = {
     "src_parquet": "select * from customer",
     "src_csv": "select * from documents",
+    "smp_random": "select 10 as rows, 10 as distinct_rows, 10 as members from (select 1 from lineitem having count(*) >= 10)",
+    "smp_reservoir": "select 10 as rows, 10 as distinct_rows, 10 as members from (select 1 from lineitem having count(*) >= 10)",
+    "smp_column_values": """select ordinal, column_name, 10 as size, 10 as members from (values (1, 'o_orderkey'), (2, 'o_custkey'),
+        (3, 'o_orderstatus'), (4, 'o_totalprice'), (5, 'o_orderdate'), (6, 'o_orderpriority')) t(ordinal, column_name)
+        where (select count(*) from orders) >= 10""",
     "src_json": "select * from supplier",
     "src_probe": """select 1 as rows, place, column_name, data_type from (values (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'),
         (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string'))

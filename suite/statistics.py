@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from colsight.config import ProfileConfig, dialect
@@ -100,6 +100,22 @@ def st_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(data, approximate_percentiles(data, 10_000), "p5", "p25", "median", "p75", "p95")
 
 
+def st_percentiles_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate percentiles of every numeric column, checked: is the share of values below each within 1/1000?"""
+    lines = load(spark, sf_dir, "lineitem")
+    data = Dataset.of({"lineitem": lines})
+    points = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    found = named(data, approximate_percentiles(data, 10_000), *points).collect()  # one row for each column
+
+    def near(row: Row, name: str) -> F.Column:
+        at, n = F.col(row.column_name), F.count(row.column_name)
+        below, upto = F.count_if(at < row[name]) / n, F.count_if(at <= row[name]) / n
+        return ((below <= points[name] + 0.001) & (upto >= points[name] - 0.001)).alias(name)
+
+    checks = [F.struct(F.lit(r.column_name).alias("column_name"), *[near(r, name) for name in points]) for r in found]
+    return lines.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+
+
 def st_median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
     return named(data, upper_medians(numbers(data), BUCKETS), "median")
@@ -214,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         st_row_count, st_classify, st_common, st_numeric_basic, st_zero_negative, st_percentiles,
-        st_percentiles_approx, st_median_upper, st_pop_dialect, st_string, st_boolean, st_temporal,
+        st_percentiles_approx, st_percentiles_rank_error, st_median_upper, st_pop_dialect, st_string, st_boolean, st_temporal,
         st_top_values, st_top_values_gate, st_outliers, st_column_statistics, st_failure_isolation,
         st_other_distinct,
     )
@@ -304,6 +320,8 @@ ORACLE = {
     "st_zero_negative": per_column(f"select {_WHO}, {_SIGNS}, 'full' as source from {{view}}", "numeric")
     + " union all select 'lineitem', 'l_quantity', 0, 0, 'postgres' union all select 'lineitem', 'l_quantity', null, null, 'redshift'",
     "st_percentiles": per_column(f"select {_WHO}, {_QUANTILES} from {{view}}", "numeric"),
+    "st_percentiles_rank_error": "select unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', "
+    "'l_discount', 'l_tax']) as column_name, true as p5, true as p25, true as median, true as p75, true as p95 from (select 1 from lineitem limit 1)",
     "st_percentiles_approx": " union all ".join(
         f"select 'lineitem' as table_name, '{c}' as column_name, "
         + ", ".join(

@@ -167,8 +167,8 @@ def aug_filter_judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aug_extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn: plain, or wrapped in a fence with text around it."""
     answer = F.expr(
-        "case turn % 3 when 0 then concat('  ', text, chr(10)) when 1 then concat('Here:', chr(10), '```json', chr(10), role, chr(10), '```', text)"
-        " else concat('```', chr(10), '  {}  ', chr(10), '```') end"
+        "case turn % 3 when 0 then concat('  ', text, chr(10)) when 1 then concat('Here:', chr(10), '```json', chr(10), text, chr(10), '```', role)"
+        " else concat('```', chr(10), '  ', text, '  ', chr(10), '```') end"
     )
     turns = load(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", text.extract_json(answer).alias("content"))
@@ -440,7 +440,7 @@ ORACLE = {
         || {_more('any_value(size)', 15, ' more tables (omitted)')} || chr(10) || chr(10) || 'linked_columns may only name these columns:' || chr(10) || string_agg(names, chr(10) order by rank)
         || chr(10) || chr(10) || 'Answer with JSON only: {{"kpis": [{{"name": ..., "description": ..., "calculation": ..., "linked_columns": [...]}}]}}' as prompt
         from d where rank <= 15 and block is not null group by domain""",
-    "aug_extract_json": """select conv_id, turn, case turn % 3 when 0 then regexp_replace(text, '^\\s+|\\s+$', '', 'g') when 1 then role else '{}' end as content from conversations""",
+    "aug_extract_json": """select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as content from conversations""",
     "aug_parse_glossary": _W
     + """ select table_name, case when c_custkey % 10 = 3 or c_custkey % 11 = 5 then '' else array_to_string(list_transform(range(1, 1 + least(5, 1 + c_custkey % 7)),
         lambda i: c_mktsegment || ' ' || i || '/' || case when i = 1 then 0 else 2 end), ',') end as terms from t""",
