@@ -81,4 +81,4 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     """WITH clause that defines the derived frames under the names ``d_<name>``."""
     bodies = {n: DERIVED[n].format(**{t: t for t in _SOURCES}) for n in names}
-    return "with " + ",\n".join(f"d_{n} as ({body})" for n, body in bodies.items()) + "\n"
+    return "with " + ",\n".join(f"d_{n} as materialized ({body})" for n, body in bodies.items()) + "\n"
