@@ -17,12 +17,13 @@ def _items(response: str, name: str) -> Column:
 
 
 def _strings(item: Column, name: str) -> Column:
-    """A list of strings; empty where the field is missing."""
-    return F.coalesce(F.try_variant_get(item, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+    """A list of strings; empty where the field is missing, NULL where it is something else."""
+    missing = text.field(item, name).isNull()
+    return F.when(missing, F.array().cast("array<string>")).otherwise(F.try_variant_get(item, f"$.{name}", "array<string>"))
 
 
 def glossaries(answers: DataFrame, response: str = "response") -> DataFrame:
-    """Adds ``terms``: the first terms of the answer; empty if any of them lacks its name or description."""
+    """Adds ``terms``: the first terms of the answer; empty if one of them has no name or description or wrong synonyms."""
 
     def term(item: Column) -> Column:
         return F.struct(
@@ -32,7 +33,7 @@ def glossaries(answers: DataFrame, response: str = "response") -> DataFrame:
         )
 
     read = F.transform(F.slice(_items(response, "terms"), 1, GLOSSARY_TERMS), term)
-    broken = F.exists("_terms", lambda t: t["business_term"].isNull() | t["description"].isNull())
+    broken = F.exists("_terms", lambda t: t["business_term"].isNull() | t["description"].isNull() | t["synonyms"].isNull())
     nothing = F.slice(F.array(F.struct(F.lit("").alias("business_term"), F.lit("").alias("description"), F.array(F.lit("")).alias("synonyms"))), 1, 0)
     usable = F.col("_terms").isNotNull() & ~broken
     return (
@@ -97,10 +98,12 @@ def last_judgments(judged: DataFrame) -> DataFrame:
 def domains(answers: DataFrame, response: str = "response") -> DataFrame:
     """``(…, domain, domain_place, place, table_name)``: the tables of every named, non-empty domain.
 
-    A domain named twice keeps its first position and its last list.
+    A domain named twice keeps its first position and its last list. An entry that is no object spoils its answer.
     """
     kept = [name for name in answers.columns if name != response]
-    exploded = answers.select(*kept, F.posexplode(_items(response, "domains")).alias("at", "item"))
+    read = answers.select(*kept, _items(response, "domains").alias("_items"))
+    usable = read.where(~F.exists("_items", lambda item: ~text.kind_of(item).startswith("OBJECT")))
+    exploded = usable.select(*kept, F.posexplode("_items").alias("at", "item"))
     item = F.col("item")
     named = exploded.select(
         *kept, "at", text.stripped(_printed(item, "domain", "")).alias("domain"), _strings(item, "tables").alias("tables")
@@ -117,7 +120,7 @@ def known_domains(named: DataFrame, tables: DataFrame) -> DataFrame:
 def kpis(answers: DataFrame, max_kpis: int, response: str = "response") -> DataFrame:
     """``(…, place, name, description, calculation, linked_columns)`` of every domain's answer.
 
-    A KPI without name or description spoils its whole answer.
+    A KPI without name or description, or with wrong links, spoils its whole answer.
     """
 
     def kpi(item: Column) -> Column:
@@ -130,7 +133,7 @@ def kpis(answers: DataFrame, max_kpis: int, response: str = "response") -> DataF
 
     kept = [name for name in answers.columns if name != response]
     read = answers.select(*kept, F.transform(F.slice(_items(response, "kpis"), 1, max_kpis), kpi).alias("_kpis"))
-    whole = read.where(~F.exists("_kpis", lambda k: k["name"].isNull() | k["description"].isNull()))
+    whole = read.where(~F.exists("_kpis", lambda k: k["name"].isNull() | k["description"].isNull() | k["linked_columns"].isNull()))
     return whole.select(*kept, F.posexplode("_kpis").alias("place", "kpi")).select(*kept, "place", "kpi.*")
 
 

@@ -56,7 +56,7 @@ def column_profile(
     gate = topvalues.passes_gate(data, config, enum_columns)
     values = topvalues.value_counts(data, frequency, distinct.where(gate))
     entries = topvalues.top_value_entries(topvalues.top_values(values, config.top_values_limit))
-    profile = profile.join(F.broadcast(entries), "cid", "left").withColumns(
+    profile = profile.join(entries, "cid", "left").withColumns(
         {
             "top_values": F.when(gate, topvalues.as_top_values(F.col("entries"), F.col("total_count"))),
             "true_percentage": true_percentage(),

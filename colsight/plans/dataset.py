@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from colsight.operators import sampling
 from colsight.operators.cells import union_all
 from colsight.plans.column_profile import column_profile
 from colsight.sources.readers import FileSource, read_all
+from colsight.sources.staging import columnar
 
 logger = logging.getLogger(__name__)
 
@@ -42,18 +44,25 @@ def table_profile(tables: Mapping[str, DataFrame], config: ProfileConfig | None
         sampling.column_values(df, config.sample_size, config.sample_seed).withColumn("table_name", F.lit(table))
         for table, df in tables.items()
     )
-    # One row per column with at most 1000 values.
     keys = ["table_name", "ordinal", "column_name"]
-    return profile.join(F.broadcast(samples.select(*keys, "sample_values")), keys, "left")
+    return profile.join(samples.select(*keys, "sample_values"), keys, "left")
 
 
 def file_profile(spark: SparkSession, sources: Sequence[FileSource], config: ProfileConfig | None = None) -> DataFrame:
-    """Column profile of file sources, one table per path; unreadable paths are skipped."""
-    return column_profile(read_all(spark, sources, stage=True), config)
+    """Column profile of file sources, one table per path; unreadable paths are skipped.
+
+    A table that fails while it is read keeps its columns, without statistics.
+    """
+    tables = read_all(spark, sources, stage=True)
+    return isolated_profile({name: lambda df=df: df for name, df in tables.items()}, config).drop("failed")
 
 
 def isolated_profile(readers: Mapping[str, Callable[[], DataFrame]], config: ProfileConfig | None = None) -> DataFrame:
-    """Profile of the tables that can be planned; the others are one row with ``failed`` set."""
+    """Profile of every table, written once; what fails loses only its own statistics.
+
+    All tables run as one job. If it fails, each runs as its own, and one that fails again keeps its columns, with NULL
+    statistics and ``failed`` set. A table that cannot be planned has no known columns and is one such row.
+    """
     tables, failed = {}, []
     for name, reader in readers.items():
         try:
@@ -63,12 +72,20 @@ def isolated_profile(readers: Mapping[str, Callable[[], DataFrame]], config: Pro
             failed.append(name)
     if not tables:
         raise RuntimeError("none of the tables could be read")
-    profile = column_profile(tables, config).withColumn("failed", F.lit(False))
-    if not failed:
-        return profile
-    spark = profile.sparkSession
-    lost = constant_rows(spark, [(name, True) for name in failed], "table_name string, failed boolean")
-    return profile.unionByName(lost, allowMissingColumns=True)
+    rows: list[tuple] = [(name, None, None, None, True) for name in failed]
+    done: list[DataFrame] = []
+    try:
+        done.append(columnar(column_profile(tables, config)))
+    except Exception:  # at least one table cannot be read to its end
+        for name, df in tables.items():
+            try:
+                done.append(columnar(column_profile({name: df}, config)))
+            except Exception as error:
+                logger.warning("no statistics for %s: %s", name, str(error).splitlines()[0])
+                rows += [(name, at, f.name, f.dataType.simpleString(), True) for at, f in enumerate(df.schema, start=1)]
+    spark = next(iter(tables.values())).sparkSession
+    lost = constant_rows(spark, rows, "table_name string, ordinal int, column_name string, data_type string, failed boolean")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*[d.withColumn("failed", F.lit(False)) for d in done], lost])
 
 
 def write_each(

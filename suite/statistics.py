@@ -207,9 +207,12 @@ def st_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table whose statistics cannot be planned keeps its columns and loses only its statistics."""
+    """A table that cannot be planned, and one that fails while it is read: the latter keeps its columns, the others all."""
     tables = {name: load(spark, sf_dir, name) for name in ("orders", "customer")}
-    broken = {"lineitem": lambda: load(spark, sf_dir, "lineitem").select("no_such_column")}
+    broken = {
+        "lineitem": lambda: load(spark, sf_dir, "lineitem").select("no_such_column"),
+        "part": lambda: load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 0, F.raise_error("damaged")).alias("p_name")),
+    }
     return isolated_profile({**{n: (lambda df=df: df) for n, df in tables.items()}, **broken}).select(
         "table_name", "column_name", "total_count", "distinct_count", "failed"
     )
@@ -371,7 +374,7 @@ ORACLE = {
         }.items()
         for c in columns.split()
     )
-    + " union all select 'lineitem', null, null, null, true",
+    + " union all select 'lineitem', null, null, null, true union all select 'part', unnest(['p_partkey', 'p_name']), null, null, true",
     "st_other_distinct": "select 'embeddings' as table_name, 'embedding' as column_name, count(distinct embedding) as distinct_count from embeddings"
     " union all select 'events', 'props', count(distinct props::json::varchar) from events",
 }

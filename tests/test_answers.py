@@ -91,6 +91,18 @@ def test_judgment_defaults(spark):
     ]
 
 
+def test_wrong_types_spoil_an_answer(spark):
+    texts = ['{"terms": [{"business_term": "a", "description": "b", "synonyms": "x"}]}', '{"terms": [{"business_term": "a", "description": "b"}]}']
+    frame = spark.createDataFrame([(t,) for t in texts], "response string")
+    assert [len(r.terms) for r in answers.glossaries(frame).collect()] == [0, 1]
+    texts = ['{"domains": [{"domain": "d", "tables": ["t"]}, "odd"]}', '{"domains": [{"domain": "e", "tables": ["t"]}]}']
+    frame = spark.createDataFrame([(t,) for t in texts], "response string")
+    assert [r.domain for r in answers.domains(frame).collect()] == ["e"]
+    texts = ['{"kpis": [{"name": "a", "description": "b", "linked_columns": 3}]}', '{"kpis": [{"name": "c", "description": "b", "linked_columns": ["t.c"]}]}']
+    frame = spark.createDataFrame([(t,) for t in texts], "response string")
+    assert [r["name"] for r in answers.kpis(frame, 5).collect()] == ["c"]
+
+
 def test_repeated_domain_keeps_its_last_list(spark):
     response = '{"domains": [{"domain": "A", "tables": ["x"]}, {"domain": "B", "tables": ["y", "z"]}, {"domain": "A ", "tables": ["w"]}, {"domain": " ", "tables": ["v"]}]}'
     df = spark.createDataFrame([(response,)], "response string")

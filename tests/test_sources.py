@@ -134,6 +134,8 @@ def test_one_failing_table_keeps_the_others(spark, tmp_path):
     profile = isolated_profile({"good": lambda: good, "bad": lambda: good.select("nothing")})
     assert {(r.table_name, r.total_count, r.failed) for r in profile.collect()} == {("good", 3, False), ("bad", None, True)}
     broken = good.selectExpr("raise_error('boom') as x")
+    read = isolated_profile({"good": lambda: good, "bad": lambda: broken})
+    assert {(r.table_name, r.column_name, r.total_count, r.failed) for r in read.collect()} == {("good", "id", 3, False), ("bad", "x", None, True)}
     errors = write_each({"good": lambda: good, "bad": lambda: broken}, str(tmp_path / "out"), ProfileConfig(max_concurrent_tables=2))
     assert list(errors) == ["bad"]
     assert spark.read.parquet(str(tmp_path / "out" / "good")).count() == 1
