@@ -107,17 +107,17 @@ def cat_check_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cat_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timestamps of four engines under common names, and the last successful run of a fifth."""
+    """Timestamps of five engines under common names, one of which has all four, and the last successful run of a sixth."""
     tables, runs = _frames(spark, sf_dir, "tables", "runs")
     frames = {engine: catalog.freshness(tables, engine) for engine in ("mysql", "snowflake", "databricks", "bigquery")}
+    own_names = {"check_time": "last_analyze", "update_time": "last_autoanalyze", "last_altered": "last_vacuum", "created": "last_autovacuum"}
+    frames["postgres"] = catalog.freshness(tables.withColumnsRenamed(own_names), "postgres")
     frames["redshift"] = catalog.freshness_from_runs(runs, tables)
     parts = [frame.withColumn("engine", F.lit(engine)) for engine, frame in frames.items()]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result.withColumns({c: F.col(c).cast("string") for c in ("last_analyze", "last_vacuum")}).drop(
-        "last_autoanalyze", "last_autovacuum"
-    )
+    return result.withColumns({c: F.col(c).cast("string") for c in ("last_analyze", "last_autoanalyze", "last_vacuum", "last_autovacuum")})
 
 
 def cat_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def cat_file_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = parts[0]
     for part in parts[1:]:
         result = result.unionAll(part)
-    return result.drop("data_type", "is_nullable")
+    return result
 
 
 def cat_schema_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,18 +262,22 @@ ORACLE = {
         union all select {_T}, regexp_extract(definition, '`(\\w+)`', 1), array_to_string({_QUOTES.format('definition')}, ','), 'clause' from d_clauses where definition like '%`%'""",
     "cat_freshness": ctes("tables", "runs")
     + " union all ".join(
-        f"select {_T}, {a}::varchar as last_analyze, {v}::varchar as last_vacuum, '{e}' as engine from d_tables"
-        for e, a, v in (
-            ("mysql", "check_time", "update_time"), ("snowflake", "last_altered", "last_ddl"),
-            ("databricks", "last_altered", "created"), ("bigquery", "created", "null"),
+        f"select {_T}, {a}::varchar as last_analyze, {aa}::varchar as last_autoanalyze, {v}::varchar as last_vacuum, {av}::varchar as last_autovacuum,"
+        f" '{e}' as engine from d_tables"
+        for e, a, aa, v, av in (
+            ("mysql", "check_time", "null", "update_time", "null"), ("snowflake", "last_altered", "null", "last_ddl", "null"),
+            ("databricks", "last_altered", "null", "created", "null"), ("bigquery", "created", "null", "null", "null"),
+            ("postgres", "check_time", "update_time", "last_altered", "created"),
         )
     )
-    + f""" union all select {_T}, max(run_start_time)::varchar, null, 'redshift' from d_tables join d_runs using (table_id)
+    + f""" union all select {_T}, max(run_start_time)::varchar, null, null, null, 'redshift' from d_tables join d_runs using (table_id)
         where status = 0 group by {_T}""",
     "cat_row_count": ctes("tables")
     + f"""select {_T}, case when row_estimate >= 0 then row_estimate else (select count(*) from lineitem where l_orderkey = t.table_id) end as row_count from d_tables t""",
     "cat_file_columns": " union all ".join(
-        f"select '{t}' as table_name, {i} as ordinal_position, '{c}' as column_name, count(*) as row_count from {t}"
+        f"select '{t}' as table_name, {i} as ordinal_position, '{c}' as column_name, count(*) as row_count, true as is_nullable,"
+        f" case any_value(typeof({c})) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string'"
+        f" when 'FLOAT[]' then 'array<float>' else 'timestamp_ntz' end as data_type from {t}"
         for t, columns in SCHEMAS.items()
         for i, c in enumerate(columns, start=1)
     ),
