@@ -104,7 +104,9 @@ def sn_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVIDENCE_TABLES = {
     "documents": ("text", "lang", "source"), "conversations": ("role", "text"), "pages": ("url", "html"),
-    "customer": ("c_name", "c_mktsegment"),
+    "customer": ("c_name", "c_mktsegment"), "events": ("event_type", "props"), "part": ("p_name", "p_brand", "p_type"),
+    "supplier": ("s_name",), "nation": ("n_name",), "region": ("r_name",), "orders": ("o_orderstatus", "o_orderpriority"),
+    "lineitem": ("l_returnflag", "l_linestatus"), "benchmark": ("text",),
 }
 
 
