@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colsight.llm.shared import boxed, broadcast_if_small, quoted, running_totals, stored, unboxed, words
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, 42
+_SOURCE_BYTES = 128  # of a source's name and numbers
 _DIGITS = 13  # of a hexadecimal digest: 52 bits, exact in a double
 
 
@@ -77,12 +78,14 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = stored(aims.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     fits = (F.col("rest") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))
-    lined = ordered.join(aims, "origin").withColumn("fits", fits)
+    # Beside a broadcast of the sources, sums by source combine before the shuffle, and a hot source stays spread.
+    lined = ordered.join(broadcast_if_small(aims, _SOURCE_BYTES), "origin").withColumn("fits", fits)
     left = lined.groupBy("origin").agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("left"))
+    left = broadcast_if_small(stored(left), _SOURCE_BYTES)
     open_rows = lined.where(~F.col("fits")).select("origin", "place", "size").join(left, "origin")
     distance = F.abs(F.col("size") - F.col("left"))
     closest = open_rows.where(distance < F.col("left")).groupBy("origin").agg(F.min(F.struct(distance.alias("off"), "place"))["place"].alias("one_more"))
-    chosen = lined.join(closest, "origin", "left")
+    chosen = lined.join(broadcast_if_small(stored(closest), _SOURCE_BYTES), "origin", "left")
     copies = F.col("epochs") + (F.col("fits") | F.coalesce(F.col("place") == F.col("one_more"), F.lit(False))).cast("int")
     return unboxed(
         chosen,
