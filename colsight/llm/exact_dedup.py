@@ -115,7 +115,11 @@ def _groups(docs: DataFrame, number: Column, id_column: str, text: str, block_by
     box = F.struct("id", F.unhex(F.sha2("text", 256)).alias("sha")).alias("box")
     named = stored(identities(texts.select("doc", "text", box), block_bytes).select("doc", "level", "name", "box.id", "box.sha"))
     groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "doc")).alias("keep"))
-    return named.join(groups, ["level", "name"])
+    # Stored, the groups of two or more stand apart from their sums, so a join can split a large group's rows.
+    several = broadcast_if_small(stored(groups.where("group_size > 1")), 48)
+    joined = named.join(several, ["level", "name"], "left")
+    alone = {"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "keep": F.coalesce("keep", F.struct("id", "doc"))}
+    return joined.withColumns(alone)
 
 
 def find_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
