@@ -115,7 +115,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     has no words and breaks the length rule. Repeated rows are judged alike; columns of the caller
     with the names of added ones are replaced.
     """
-    counted = boxed(docs, counts=measures(F.col(quoted(text))))
+    # One-row explode: a filter on the verdict is not pushed below it, where it would compute the counts once per rule.
+    counted = boxed(docs, counts=F.explode(F.array(measures(F.col(quoted(text))))))
     names = F.array(*[F.when(broken(rule, F.col("counts")), F.lit(rule.name)) for rule in rules])
     return unboxed(counted, docs.columns, measures=F.col("counts"), broken=F.array_compact(names)).withColumn(
         "kept", F.size("broken") == 0
