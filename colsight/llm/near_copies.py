@@ -3,7 +3,8 @@
 Near copies at a similarity of 0.8 differ in up to twenty of 64 fingerprint bits, too many for shards cut
 from the fingerprint itself. Documents meet here in shards named by MinHash bands instead; a BK-tree
 of a shard's fingerprints gives the pairs within a wide radius, and a pair counts if the Jaccard
-similarity of its two shingle sets is high enough.
+similarity of its two shingle sets is high enough. A fingerprint is that of the set, each shingle once,
+so a passage that one copy repeats moves neither.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for text in batch.column("text"):
                 slices = list(shingle_hashes(text.as_py(), width))
                 hashes = np.unique(np.concatenate(slices)) if slices else np.zeros(0, np.uint64)
-                prints.append(signed(fingerprint(iter(slices))))
+                prints.append(signed(fingerprint(iter([hashes]))))
                 keys.append(bands(hashes))
                 sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
             made = [pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]

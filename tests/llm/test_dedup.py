@@ -163,3 +163,15 @@ def test_near_copies_in_blocks(spark):
     signatures = near_copies.stored(frame.mapInArrow(near_copies._signatures(5), "item long, fp long, bands array<long>, grams binary"))
     found = [connected(range(len(rows)), [tuple(r) for r in near_copies.near_links(signatures, shard_rows=n).collect()]) for n in (2, 4096)]
     assert found[0] == found[1]
+
+
+def test_near_copies_with_repeated_passages(spark):
+    """A passage that one copy repeats changes its shingle set little, however often it stands there."""
+    rng, rows = random.Random(8), []
+    for group in range(30):
+        words = [f"g{group}w{i}" for i in range(100 if group % 2 else 300)]
+        at = rng.randrange(40, 60)
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join(words[:at] + words[at - 5 : at] * 39 + words[at:]))]
+    assert near_want(rows) == [(False, 2 * group) for group in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id is None, r.doc_id) for r in near_copies.drop_near_copies(frame).collect()) == near_want(rows)
