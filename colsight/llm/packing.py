@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from colsight.llm.shared import quoted, stored
 
 LENGTH, OPEN_BINS, CHUNK_PIECES, BATCH_PIECES, END_ID = 2048, 8192, 1 << 17, 8192, 0
+SPECIAL_TOKENS = {"<|endoftext|>": 50256}
 
 
 class BestFit:
@@ -59,8 +60,8 @@ def piece_lengths(total: int, length: int) -> list[int]:
     return [head] * bool(head) + [length] * (total // length)
 
 
-def encoder(ranks: str, fallback: str) -> Callable[[str], list[int]]:
-    """Ids of a text without special tokens.
+def encoder(ranks: str, fallback: str, special_tokens: dict[str, int] | None = None) -> Callable[[str], list[int]]:
+    """Ids of a text to which no special tokens are added. What reads like one of ``special_tokens`` is that token's id.
 
     ``ranks`` and ``fallback`` are files of the same byte-level vocabulary. The first is read by the faster
     library; the second, by the reference library, takes over where the first one fails on a text.
@@ -71,27 +72,32 @@ def encoder(ranks: str, fallback: str) -> Callable[[str], list[int]]:
 
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=merges, special_tokens=special_tokens or {})
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode(text, allowed_special="all")
         except BaseException as error:  # its regular expressions give up on very long runs of white space
-            if type(error).__name__ != "PanicException":
+            if type(error).__name__ != "PanicException" and not str(error).startswith("Regex error"):
                 raise
             if not slow:
                 slow.append(Tokenizer.from_file(fallback))
-                slow[0].encode_special_tokens = True
+                slow[0].encode_special_tokens = not special_tokens
             return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
 
-def public_encoder() -> Callable[[str], list[int]]:
+def public_encoder(special_tokens: dict[str, int] | None = None) -> Callable[[str], list[int]]:
     from public_tokenizers import path
 
-    return encoder(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"))
+    return encoder(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), special_tokens)
+
+
+def file_encoder() -> Callable[[str], list[int]]:
+    """Ids as the reference library gives them with the vocabulary file as it is, its special tokens included."""
+    return public_encoder(SPECIAL_TOKENS)
 
 
 def _pieces(make_encoder: Callable[[], Callable[[str], list[int]]], length: int, with_ids: bool) -> Callable:
@@ -123,7 +129,7 @@ def tokenize(
     carry: list[str],
     text: str = "text",
     length: int = LENGTH,
-    make_encoder: Callable[[], Callable[[str], list[int]]] = public_encoder,
+    make_encoder: Callable[[], Callable[[str], list[int]]] = file_encoder,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: the columns ``carry`` of its document in a struct ``row``, ``piece``, ``start``, ``length`` and

@@ -136,6 +136,21 @@ def test_encoder_on_long_white_space():
     assert public_encoder()(" " * 1_000_000) == reference_ids([" " * 1_000_000])[0]
 
 
+def test_packed_ids_equal_the_unmodified_reference_library(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  {end}  x", f"<|{end}|>", end[:-1], end.upper(), f"é{end}漢 字", "plain text", f"{' ' * 1_000_000}{end} x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in packing.pack_documents(frame, ["doc_id"], with_ids=True).collect():
+        got[r.row.doc_id].append((r.start, list(r.ids)))
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = {n: [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for n, t in enumerate(texts)}
+    assert {n: [i for _, ids in sorted(pieces) for i in ids] for n, pieces in got.items()} == want
+
+
 def test_packing_round_trip(docs, no_docs, rows):
     packed = packing.pack_documents(docs, ["doc_id", "text"], with_ids=True).toPandas()
     sequences = defaultdict(dict)
