@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsight.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup
+from colsight.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, word_scoring
 from colsight.llm.shared import LOWER, UPPER
 
 _LOWER_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -32,7 +32,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = lm_scoring.with_target_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     rows = marked.select("row.doc_id", "row.text", "in_target")
-    return lm_scoring.score_documents(rows, F.col("in_target"))
+    return word_scoring.score_by_words(rows, F.col("in_target"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from colsight.llm import line_dedup, lm_scoring, quality_classifier, quality_rules
+from colsight.llm import line_dedup, lm_scoring, quality_classifier, quality_rules, queries, word_scoring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,3 +116,37 @@ def test_lm_scores(spark, docs, no_docs):
     odd = lm_scoring.score_documents(docs, F.col("source") == "a").collect()
     assert len(odd) == docs.count() and all(np.isfinite(r.score) for r in odd)
     assert lm_scoring.score_documents(no_docs, F.lit(True)).collect() == []
+
+
+def test_word_scores(spark, docs, no_docs, monkeypatch):
+    """Against brute force, with frequent pairs looked up (all, some or none) and the others joined."""
+    texts = [(1, "the cat sat on the mat", True), (2, "The cat ran", True), (3, "der über Öl", False), (4, None, False), (5, "", False), (5, "der ober Il", None), (None, "the " * 50, False)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, target boolean").repartition(3)
+    split = lambda text: ["", *[w.lower() for w in (text or "").split()], ""]
+    pairs = {text: list(zip(split(text), split(text)[1:])) for _, text, _ in texts}
+    seen = [Counter(p for _, text, target in texts if target or every for p in pairs[text]) for every in (False, True)]
+    vocabulary = len({after for _, after in seen[1]})
+
+    def bits(c, before, after, prior=word_scoring.PRIOR):
+        alone = (sum(v for p, v in c.items() if p[1] == after) + 1) / (sum(c.values()) + vocabulary)
+        return -np.log2((c[before, after] + prior * alone) / (sum(v for p, v in c.items() if p[0] == before) + prior))
+
+    want = sorted((str(n), len(pairs[t]), *(np.mean([bits(c, *p) for p in pairs[t]]) for c in seen)) for n, t, _ in texts)
+    for frequent in (1, 20, 1 << 16):
+        monkeypatch.setattr(word_scoring, "FREQUENT", frequent)
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in word_scoring.score_by_words(frame, F.col("target")).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
+    odd = word_scoring.score_by_words(docs, F.col("source") == "a").collect()
+    assert len(odd) == docs.count() and all(np.isfinite(r.score) for r in odd)
+    assert len({round(r.target_loss, 9) for r in word_scoring.score_by_words(frame, F.lit(False)).collect()}) == 1
+    assert word_scoring.score_by_words(no_docs, F.lit(True)).collect() == []
+
+
+def test_lm_query_tells_words_and_letters_apart(spark, tmp_path):
+    """Anagrams of the same letters, and letters beyond ASCII, are different words to the registered query."""
+    texts = [(n, "größe über alles" if n % 2 else "gräße ober alles") for n in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, n % 2) for n in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r.doc_id: (r.n_tokens, r.score) for r in queries.op3_lm(spark, str(tmp_path)).collect()}
+    assert all(n == 4 for n, _ in scores.values())
+    assert max(s for n, (_, s) in scores.items() if n % 2) < min(s for n, (_, s) in scores.items() if not n % 2)
