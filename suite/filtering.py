@@ -246,9 +246,8 @@ def fd_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole nested document: statistics, samples, roles, filter columns and sensitivity."""
-    tables = {t: df for t, df in views(spark, sf_dir).items() if t in ("customer", "orders", "part")}
-    structs = table_report(tables, _keys(spark), _relationships(spark), _indexes(spark), schema_name="main")
+    """The whole nested document of all views: statistics, samples, roles, filter columns and sensitivity."""
+    structs = table_report(views(spark, sf_dir), _keys(spark), _relationships(spark), _indexes(spark), schema_name="main")
     database = {"name": "files", "version": "", "encoding": "UTF-8", "size_bytes": 0}
     return document.response_document(structs, database, profiled_at=F.lit(None).cast("timestamp"))
 

@@ -26,6 +26,9 @@ LINEITEM_GAPS = {
     "is_returned": "case when l_returnflag = 'N' then null else l_returnflag = 'R' end",
     "l_shipdate": "l_shipdate",
     "nothing": "cast(null as varchar(10))",
+    "l_partkey": "l_partkey",
+    "l_suppkey": "l_suppkey",
+    "l_tax": "l_tax",
 }
 ORDERS_GAPS = {
     "o_orderkey": "o_orderkey",
@@ -43,7 +46,7 @@ CATEGORIES = {
     "lineitem": dict(
         l_orderkey="numeric", line_gap="numeric", quantity_shift="numeric", l_extendedprice="numeric",
         l_discount="numeric", l_returnflag="string", status_gap="string", is_returned="boolean",
-        l_shipdate="temporal", nothing="string",
+        l_shipdate="temporal", nothing="string", l_partkey="numeric", l_suppkey="numeric", l_tax="numeric",
     ),
     "orders": dict(
         o_orderkey="numeric", o_custkey="numeric", o_orderstatus="string", o_totalprice="numeric",

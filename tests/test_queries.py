@@ -1,9 +1,13 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import json
+
 import pytest
 
 import __spark_entry__ as entry
-from suite.compare import differences
+from suite.compare import differences, oracle_connection
+from suite.filtering import COLUMNS, prf_document
+from suite.tables import LINEITEM_GAPS
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -25,3 +29,25 @@ def test_query(spark, name):
     else:
         rows = len(entry.queries()[name](spark, SF_DIR).collect())
     assert rows > 0
+
+
+def test_document_covers_all_views(spark):
+    """The document, taken apart by table and column, against SQL."""
+    (row,) = prf_document(spark, SF_DIR).collect()
+    (schema,) = json.loads(row.document)["schemas"]
+    got = {
+        (t["name"], c["name"]): (t["row_count"], *(c["statistics"][k] for k in ("total_count", "null_count", "distinct_count")))
+        for t in schema["tables"]
+        for c in t["columns"]
+    }
+    con, want = oracle_connection(SF_DIR), {}
+    for table, columns in COLUMNS.items():
+        for name, (sql, _) in columns.items():
+            n, nulls, distinct = con.execute(f"select count(*), count(*) - count(({sql})), count(distinct ({sql})) from {table}").fetchone()
+            want[table, name] = (n, n, nulls, distinct)
+    assert got == want
+
+
+def test_statistics_read_all_columns_of_lineitem(spark):
+    columns = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").columns
+    assert [c for c in columns if not any(c in sql for sql in LINEITEM_GAPS.values())] == []
