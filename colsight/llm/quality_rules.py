@@ -30,7 +30,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", "n_words", low=50, high=1_000_000),
+    Rule("n_words", "n_words", low=50),
     Rule("repeated_words", "n_repeat_words", "n_words", high=0.5),
     Rule("mean_word_length", "word_chars", "n_words", low=2.0, high=15.0),
     Rule("symbols_per_word", "n_symbols", "n_words", high=0.1),

@@ -40,6 +40,14 @@ def test_repeated_windows(spark):
     assert {r.text: r.m.n_repeat_words for r in frame.collect()} == {t: counts(t)[4] for t in texts}
 
 
+def test_size_alone_breaks_no_rule(spark):
+    """Counts of clean texts of fifty words and of a billion."""
+    counts_of = "n AS n_words, 5 * n AS word_chars, 0L AS n_repeat_words, n / 4 AS n_stop_words, n / 100 AS n_symbols, n / 10 AS n_lines, 0L AS n_dup_lines"
+    frame = spark.range(1).selectExpr("explode(array(50L, 1000000L, 1000001L, 1000000000L)) AS n").selectExpr(f"struct({counts_of}) AS counts")
+    failed = frame.select(*[quality_rules.broken(rule, F.col("counts")).alias(rule.name) for rule in quality_rules.RULES]).collect()
+    assert len(failed) == 4 and not any(any(r) for r in failed)
+
+
 def key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
 
