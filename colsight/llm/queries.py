@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsight.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, word_scoring
-from colsight.llm.shared import LOWER, UPPER
+from colsight.llm import (
+    chat_format,
+    doc_sketches,
+    exact_dedup,
+    lexical_search,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    vector_codes,
+    word_scoring,
+)
+from colsight.llm.shared import LOWER, UPPER, stored
 
 _LOWER_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -187,6 +202,76 @@ FROM m
 """
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = vector_codes.fit_codebooks(vectors, "vec_id", "embedding")
+    coded = stored(vector_codes.compress(vectors, books, "embedding").select("vec_id", "label", "code", "error"))
+    summed = vector_codes.with_group_errors(coded, "label")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def _rounds_sql() -> str:
+    """Assignments ``a0, a1 ...`` to the codebooks ``b0, b1 ...`` that each round makes of the one before."""
+    rounds = []
+    for r in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT id, label, part, x, min(d * {vector_codes.ENTRIES} + entry) AS best FROM (
+    SELECT p.*, entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS d
+    FROM p JOIN b{r} b USING (part))
+  GROUP BY id, label, part, x)""")
+        rounds.append(f"""
+s{r} AS (
+  SELECT part, best % {vector_codes.ENTRIES} AS entry, i, sum(x[i])::BIGINT AS total, count(*) AS n
+  FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT part, entry, list((total - (total % n + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY part, entry) m USING (part, entry))""")
+    return ",".join(rounds[:-1])
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS id, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS z
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (
+  SELECT id, label, part, z[part * w + 1 : part * w + w] AS x
+  FROM v, (SELECT unnest(range({vector_codes.PARTS})) AS part), (SELECT max(len(z)) // {vector_codes.PARTS} AS w FROM v)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x FROM p WHERE id <= {vector_codes.ENTRIES}),{_rounds_sql()},
+c AS (
+  SELECT id, string_agg(lower(printf('%02x', best % {vector_codes.ENTRIES})), '' ORDER BY part) AS code, sum(best // {vector_codes.ENTRIES})::BIGINT AS error
+  FROM a{vector_codes.ROUNDS} GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM v JOIN c USING (id)
+"""
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+t AS MATERIALIZED (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, big_n),
+m AS (SELECT row, doc_id, 75 + (25 * len(terms) * big_n) // l AS m FROM d, s),
+i AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part FROM t JOIN w USING (term) JOIN m USING (row)),
+r AS (SELECT item_id, row, doc_id, sum(times * part)::BIGINT AS score FROM i JOIN q USING (term) GROUP BY ALL HAVING sum(times * part) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM r QUALIFY rank <= {lexical_search.BEST}
+"""
+
+
+def op13_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_sketches.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
@@ -198,8 +283,19 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_copies": op9_copies,
     "op10_rules": op10_rules,
+    "op11_codes": op11_codes,
+    "op12_search": op12_search,
+    "op13_sketches": op13_sketches,
+}
+ORACLE = {
+    "op4_chat": OP4_SQL,
+    "op6_mix": OP6_SQL,
+    "op8_lines": OP8_SQL,
+    "op9_copies": OP9_SQL,
+    "op10_rules": OP10_SQL,
+    "op11_codes": OP11_SQL,
+    "op12_search": OP12_SQL,
 }
-ORACLE = {"op4_chat": OP4_SQL, "op6_mix": OP6_SQL, "op8_lines": OP8_SQL, "op9_copies": OP9_SQL, "op10_rules": OP10_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
