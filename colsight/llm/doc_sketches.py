@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsight.llm.shared import quoted, stored
+from colsight.llm.shared import quoted, row_numbers, stored
 from colsight.llm.simhash_dedup import shingle_hashes
 
 WIDTH, PART = 5, 4  # five words; every fourth hash is below the bound
+RANGE_BYTES, RANGES = 4 << 20, 1 << 16
 _BYTES, _DIGITS = 6, 8  # of a hash its upper 48 bits are kept, eight characters of base64
 
 
@@ -102,62 +104,78 @@ _KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4
 _NAMES = [column.split()[0] for column in _JUDGED.split(", ")]
 
 
-def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, part: int = PART) -> DataFrame:
-    """How near fingerprints find a document to an edited copy of itself, and to the next document.
+def _dealt(bounds: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the range they belong to; the first row of a range goes to the end of the range before it as well."""
 
-    Documents stand by descending id, null ids last, ties by a hash of the text; the first one follows the last. The edited text has its last
-    third replaced by the beginning of the next one. One row per document: id, ``n_chars``, ``edited_sha256``, ``fingerprint``,
-    ``edited_fingerprint``, ``near_edited`` and ``near_next`` (estimated Jaccard similarity), ``in_edited`` and ``in_next`` (estimated share of the
-    smaller text held by the larger). Null texts are empty; a single document follows itself; repeated rows stay; an empty table gives no rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, after = [], [], []
+            keys = zip(batch.column("id").to_pylist(), batch.column("hash").to_pylist(), strict=True)
+            for row, (number, digest) in enumerate(keys):
+                key = _key(number, digest)
+                part = bisect_left(bounds, key)
+                firsts = [False, True] if bounds[part] == key else [False]
+                for is_next in firsts:
+                    rows.append(row)
+                    parts.append((part + 1) % len(bounds) if is_next else part)
+                    after.append(is_next)
+            columns = [*batch.take(pa.array(rows, pa.int64())).columns, pa.array(parts, pa.int64()), pa.array(after)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "is_next"])
 
-    Whole texts move once, into sorted ranges, and neighbours meet while a range is read. Only the two ends of each range are left
-    over, and are joined with the ends of the ranges beside it.
-    """
-    columns = docs.select(F.col(quoted(id_column)).alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
-    kind = columns.schema["id"].dataType.simpleString()
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("tie")]
-    ranged = columns.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        chunk, held, is_first = TaskContext.get().partitionId(), None, True
+def _key(number: object, digest: int) -> tuple:
+    return (False, digest) if number is None else (True, number, digest)
+
+
+def _compared(width: int, part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row beside the one that follows it in its range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             rows = []
-            for number, value in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                value = value.as_py()  # noqa: PLW2901
-                found = sketch(value, width, part)
+            columns = (batch.column(c).to_pylist() for c in ("part", "is_next", "id"))
+            for place, is_next, number, value in zip(*columns, batch.column("text"), strict=True):
+                if is_next and held is None:
+                    continue  # a copy of the row that has closed the range
+                text = value.as_py()
+                found = sketch(text, width, part)
                 if held:
-                    rows.append((*held[:1], *_judged(*held[1:3], value, found, width, part), chunk, held[3], False, held[1] if held[3] else None))
-                    is_first = False
-                held = (number, value, found, is_first)
-            if rows:
-                yield _batch(rows, batch.schema.field("id").type)
-        if held:
-            unknown = (len(held[1]), None, packed(held[2]), *[None] * 5)
-            yield _batch([(held[0], *unknown, chunk, held[3], True, held[1])], batch.schema.field("id").type)
-
-    ends = "chunk int, is_first boolean, is_last boolean, text string"
-    read = stored(ranged.select("id", "text").mapInArrow(run, f"id {kind}, {_JUDGED}, {ends}"))
-    firsts = read.where("is_first").select(F.col("chunk").alias("next_chunk"), F.col("text").alias("next_text"))
-    chunks = read.where("is_first").select("chunk")  # one row for each range
-    following = F.coalesce(F.lead("chunk").over(Window.orderBy("chunk")), F.min("chunk").over(Window.partitionBy()))
-    lasts = read.where("is_last").select("id", "text", "chunk").join(chunks.withColumn("next_chunk", following), "chunk").join(firsts, "next_chunk")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for number, value, after in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "next_text")), strict=True):
-                rows.append((number, *_judged(value, sketch(value, width, part), after, sketch(after, width, part), width, part), 0, False, False, None))
+                    rows.append((held[0], *_judged(*held[1:], text, found, width, part)))
+                held = None if is_next else (number, text, found)
             if rows:
-                yield _batch(rows, batch.schema.field("id").type).select(["id", *_NAMES])
+                kinds = [batch.schema.field("id").type, *_KINDS]
+                made = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(made, names=["id", *_NAMES])
 
-    finished = lasts.select("id", "text", "next_text").mapInArrow(finish, f"id {kind}, {_JUDGED}")
-    whole = read.where(~F.col("is_last")).select("id", *_NAMES).unionByName(finished)
-    return whole.withColumnRenamed("id", id_column)
+    return run
+
+
+def compare_with_edits(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, part: int = PART, range_bytes: int | None = None
+) -> DataFrame:
+    """How near fingerprints find a document to an edited copy of itself, and to the next document.
 
+    Documents stand by descending id, null ids last, ties by a hash of the text; the first one follows the last. The edited text has its last
+    third replaced by the beginning of the next one. One row per document: id, ``n_chars``, ``edited_sha256``, ``fingerprint``,
+    ``edited_fingerprint``, ``near_edited`` and ``near_next`` (estimated Jaccard similarity), ``in_edited`` and ``in_next`` (estimated share of the
+    smaller text held by the larger). Null texts are empty; a single document follows itself; repeated rows stay; an empty table gives no rows.
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = [kind, *_KINDS, pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-    columns = [pa.array(column, t) for column, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["id", *_NAMES, "chunk", "is_first", "is_last", "text"])
+    Ids and hashes are numbered first and give the bounds of ranges of about ``range_bytes`` of text (4 MB, or 1/65,536 of all text if that is
+    more); only the bounds come to the driver. Whole texts then move once, each to its range, and the first text of a range also to the one before it.
+    """
+    columns = docs.select(F.col(quoted(id_column)).alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
+    keyed = columns.withColumn("hash", F.xxhash64("text"))
+    order = [F.col("id").desc_nulls_last(), F.col("hash").desc()]
+    numbered = stored(row_numbers(keyed.select("id", "hash", F.octet_length("text").cast("long").alias("size")), *order))
+    rows, size = numbered.agg(F.count("*"), F.sum("size")).first()
+    length = range_bytes or max(RANGE_BYTES, (size or 0) // RANGES)
+    step = max(1, rows * length // max(size or 0, length))
+    firsts = numbered.where(F.col("number") % step == 0).select("id", "hash").distinct().collect()  # one row for each range
+    bounds = sorted(_key(*first) for first in firsts)
+    kind = columns.schema["id"].dataType.simpleString()
+    moved = keyed.mapInArrow(_dealt(bounds), f"id {kind}, text string, hash long, part long, is_next boolean").repartition("part")
+    compared = moved.sortWithinPartitions("part", "is_next", *order).mapInArrow(_compared(width, part), f"id {kind}, {_JUDGED}")
+    return compared.withColumnRenamed("id", id_column)

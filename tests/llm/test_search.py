@@ -130,17 +130,13 @@ def edits(rows, order):
     return Counter(made)
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 40])
-def test_edits(spark, docs, rows, ranges):
-    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+@pytest.mark.parametrize("range_bytes", [1, 3000, 1 << 25])
+def test_edits(docs, rows, range_bytes):
     known = [r for r in rows if r[0] not in (None, 13)] + [next(r for r in rows if r[0] == 13)] * 3
     order = sorted(known, key=lambda r: -r[0])
-    try:
-        got = doc_sketches.compare_with_edits(docs.where("doc_id is not null")).drop("in_edited", "in_next").collect()
-        everything = doc_sketches.compare_with_edits(docs).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    got = doc_sketches.compare_with_edits(docs.where("doc_id is not null"), range_bytes=range_bytes).drop("in_edited", "in_next").collect()
     assert Counter(map(tuple, got)) == edits(rows, order)
+    everything = doc_sketches.compare_with_edits(docs, range_bytes=range_bytes).collect()
     assert len(everything) == len(rows) and sum(r.doc_id is None for r in everything) == 2
 
 
