@@ -1,14 +1,19 @@
 """Cross-entropy difference of two matched word models.
 
-Both models are interpolated bigrams over one vocabulary, the words of all documents. Words are whole UTF-8
-byte strings with A-Z lower-cased, named by their XXH64; a pair of words is named by a 64-bit combination of
-both. Pairs and words are counted by Spark, so the two count tables grow with the corpus. Of a document's pairs the
-most frequent of the corpus (65,536 at most, whatever its size) are looked up in a broadcast; all others are joined.
+Both models are interpolated bigrams over one vocabulary, the words of all documents. Words are whole UTF-8 byte strings with A-Z
+lower-cased; words and pairs of words are named by 64-bit hashes, and all of them are counted.
+
+Documents are dealt to chunks. A chunk counts its own names and sends them, sorted and packed, one row for each bucket of names; a
+bucket adds up what the chunks hold and answers each with the counts of the whole corpus, in the order of the question. A name is
+one number for each chunk that holds it, so no word or pair makes a hot key, however frequent it is, and no table of counts is
+written or broadcast. The losses are computed where the texts are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,111 +22,136 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsight.llm.lm_scoring import PRIOR
-from colsight.llm.shared import broadcast_if_small, quoted, stored
+from colsight.llm.shared import quoted
 
-FREQUENT = 1 << 16  # a pair is frequent if it is more than this part of all pairs, so there are no more of them
-_BATCH_WORDS = 1 << 21
+CHUNK_BYTES = 8 << 20
+_GROWTH = 64
 _BEFORE, _AFTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ONE = np.uint64(1)
+_HALF = np.uint64(32)
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """The words of a text between two zeros, which stand for what is before and after it."""
-    found = (text or "").encode().lower().split()
+    """The words of a text and a zero for its end, each an even number."""
     digest = xxhash.xxh64_intdigest
-    return np.array([0, *[digest(w) for w in found], 0], np.uint64)
-
-
-def pair_ids(ids: np.ndarray) -> np.ndarray:
-    """A name for each word of a text and its end, with the word before it."""
-    return ids[:-1] * _BEFORE + ids[1:] * _AFTER
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of word pairs: in all documents and in the target's."""
-    waiting: list[tuple[np.ndarray, bool]] = []
-    held = 0
-
-    def counts() -> pa.RecordBatch:
-        before, after = (np.concatenate([ids[side] for ids, _ in waiting]) for side in (slice(None, -1), slice(1, None)))
-        target = np.concatenate([np.full(len(ids) - 1, chosen) for ids, chosen in waiting])
-        pairs, first, place, n = np.unique(before * _BEFORE + after * _AFTER, return_index=True, return_inverse=True, return_counts=True)
-        near = np.bincount(place[target], minlength=len(pairs))
-        columns = [pairs.view(np.int64), before[first].view(np.int64), after[first].view(np.int64), n.astype(np.int64), near.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "before", "after", "background", "target"])
-
-    for batch in batches:
-        for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-            waiting.append((word_ids(text.as_py()), target))
-            held += len(waiting[-1][0])
-            if held > _BATCH_WORDS:
-                yield counts()
-                waiting.clear()
-                held = 0
-    if waiting:
-        yield counts()
-
-
-def pair_counts(docs: DataFrame, is_target: Column, text: str = "text") -> DataFrame:
-    """``pair, before, after, background, target``: how often each pair of words occurs. Pairs are combined before the shuffle."""
-    columns = docs.select(F.col(quoted(text)).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
-    parts = columns.mapInArrow(_counted, "pair long, before long, after long, background long, target long")
-    return parts.groupBy("pair", "before", "after").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def pair_losses(pairs: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """``pair, background, target_loss, background_loss`` (bits) of stored ``pairs``, for a word after the one before it.
-
-    A pair is interpolated with its word, which weighs as ``prior`` counts, and a word with all words alike. Each word
-    but the last is followed by one, and each text begins and ends once, so one table counts words and contexts.
+    return np.array([*[digest(w) for w in (text or "").encode().lower().split()], 0], np.uint64) & ~_ONE
+
+
+@dataclass
+class Chunk:
+    """The tokens of some documents: ``names`` sorted, and for each token the places of its pair, its word and the word before it."""
+
+    starts: np.ndarray
+    pair: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    names: np.ndarray
+    background: np.ndarray
+    target: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Table) -> Chunk:
+        ids = [word_ids(text.as_py()) for text in docs.column("text")]
+        lengths = np.array([len(found) for found in ids])
+        starts = np.cumsum(lengths) - lengths
+        words = np.concatenate(ids)
+        before = np.roll(words, 1)
+        before[starts] = 0
+        names, place = np.unique(np.concatenate([words, before * _BEFORE + words * _AFTER | _ONE]), return_inverse=True)
+        word, pair = place[: len(words)], place[len(words) :]
+        earlier = np.roll(word, 1)
+        earlier[starts] = 0  # zero is the least of all names, and every text ends in it
+        chosen = np.tile(np.repeat(docs.column("target").to_numpy(), lengths).astype(bool), 2)
+        counts = [np.bincount(held, minlength=len(names)).astype(np.uint64) for held in (place, place[chosen])]
+        return cls(starts, pair, word, earlier, names, *counts)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers byte by byte, all lowest bytes first, so that small ones end in zeros which compress to nothing."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _questions(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """The names and counts of a chunk, one row for each bucket."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        chunk = Chunk.of(docs)
+        ends = np.searchsorted((chunk.names >> _HALF) * np.uint64(buckets) >> _HALF, np.arange(buckets + 1, dtype=np.uint64))
+        rows = []
+        for bucket, (at, to) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            steps = np.diff(chunk.names[at:to], prepend=np.uint64(0))
+            rows.append((docs.column("chunk")[0].as_py(), bucket, packed(steps), packed(chunk.background[at:to]), packed(chunk.target[at:to])))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "bucket", "names", "background", "target"])
+
+    return run
+
+
+def _answers(asked: pa.Table) -> pa.Table:
+    """The counts of a bucket's names in all chunks, for each chunk in its own order, and the bucket's words in all."""
+    names = [np.cumsum(unpacked(data), dtype=np.uint64) for data in asked.column("names").to_pylist()]
+    ends = np.cumsum([len(n) for n in names])[:-1]
+    known, place = np.unique(np.concatenate(names), return_inverse=True)
+    is_word = known & _ONE == 0
+    columns = {"chunk": asked.column("chunk"), "bucket": asked.column("bucket")}
+    for model in ("background", "target"):
+        held = np.concatenate([unpacked(data) for data in asked.column(model).to_pylist()])
+        total = np.bincount(place, weights=held, minlength=len(known))  # whole numbers below 2^53
+        columns[model] = pa.array([packed(part) for part in np.split(total[place].astype(np.uint64), ends)], pa.binary())
+        columns[f"all_{model}"] = pa.array([int(total[is_word].sum())] * asked.num_rows, pa.int64())
+    columns["words"] = pa.array([int(is_word.sum())] * asked.num_rows, pa.int64())
+    return pa.table(columns)
+
+
+def _losses(prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The mean losses of a chunk's documents.
+
+    A pair is interpolated with its word, which weighs as ``prior`` counts, and a word with all words alike.
     """
-    words = stored(pairs.groupBy(F.col("after").alias("word")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-    all_words = words.agg(F.count("*").alias("n"), F.sum("background").alias("background"), F.sum("target").alias("target")).first()
-    small = broadcast_if_small(words, 24)
-    ends = [small.select(F.col("word").alias(side), F.struct("background", "target").alias(f"of_{side}")) for side in ("before", "after")]
-    joined = pairs.join(ends[0], "before").join(ends[1], "after")
 
-    def loss(model: str) -> Column:
-        alone = (F.col(f"of_after.{model}") + 1) / F.lit(float((all_words[model] or 0) + all_words["n"]))
-        return (-F.log2((F.col(model) + prior * alone) / (F.col(f"of_before.{model}") + prior))).alias(f"{model}_loss")
-
-    return joined.select("pair", "background", loss("target"), loss("background"))
-
-
-def score_by_words(docs: DataFrame, is_target: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk, answers = Chunk.of(docs), answers.sort_by("bucket")
+        words = sum(answers.column("words").to_pylist())
+        n = np.diff([*chunk.starts, len(chunk.word)])
+        means = []
+        for model in ("target", "background"):
+            counts = np.concatenate([unpacked(data) for data in answers.column(model).to_pylist()]).astype(np.float64)
+            alone = (counts[chunk.word] + 1) / (sum(answers.column(f"all_{model}").to_pylist()) + words)
+            loss = -np.log2((counts[chunk.pair] + prior * alone) / (counts[chunk.before] + prior))
+            means.append(np.add.reduceat(loss, chunk.starts) / n)
+        columns = [docs.column("id"), pa.array(n, pa.int64()), *map(pa.array, means), pa.array(means[0] - means[1])]
+        return pa.table(columns, names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return run
+
+
+def score_by_words(
+    docs: DataFrame, is_target: Column, id_column: str = "doc_id", text: str = "text", prior: float = PRIOR, chunk_bytes: int | None = None
+) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``target_loss``, ``background_loss`` (bits per token) and ``score``.
 
     Tokens are the words of a text and its end. The background is all of ``docs``, the target the rows where ``is_target``
-    is true. A null text counts as empty. Without target rows its model knows nothing and is the same for all.
+    is true. A null text counts as empty; repeated rows are documents of their own; other columns are not read; an empty table gives no
+    rows. Without target rows its model knows nothing and is the same for all.
+
+    ``chunk_bytes`` of text are counted in one task, 8 MB by default and beyond 16 GB of text in proportion to the root of all of it, so that
+    a row between a chunk and a bucket keeps its size. A chunk is named by a hash of id and text.
     """
-    losses = stored(pair_losses(stored(pair_counts(docs, is_target, text))))
-    total = losses.agg(F.sum("background")).first()[0] or 0
-    often = F.col("background") * FREQUENT > total
-    known = losses.where(often).select("pair", "target_loss", "background_loss").toPandas().sort_values("pair")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy(t) for c, t in (("pair", np.int64), ("target_loss", float), ("background_loss", float))))
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, near, far = shared.value
-        for batch in batches:
-            sums, rest = np.zeros((batch.num_rows, 3)), []
-            for at, text_value in enumerate(batch.column("text")):
-                pairs = pair_ids(word_ids(text_value.as_py())).view(np.int64)
-                place = np.minimum(np.searchsorted(frequent, pairs), max(0, len(frequent) - 1))
-                hit = frequent[place] == pairs if len(frequent) else np.zeros(len(pairs), bool)
-                sums[at] = len(pairs), near[place[hit]].sum(), far[place[hit]].sum()
-                rest.append(pairs[~hit])
-            n, a, b = sums.T
-            offsets = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
-            pairs = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *rest])))
-            made = [pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("id"), *made], names=["item", "id", "n", "a", "b", "pairs"])
-
-    columns = docs.select(F.monotonically_increasing_id().alias("item"), F.col(quoted(id_column)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
+    columns = docs.select(
+        F.col(quoted(id_column)).alias("id"), F.col(quoted(text)).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target")
+    )
+    size = columns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)).first()[0] or 1
+    chunks = ceil(size / (chunk_bytes or max(CHUNK_BYTES, _GROWTH * sqrt(size))))
+    dealt = columns.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
     kind = columns.schema["id"].dataType.simpleString()
-    known_sums = stored(columns.mapInArrow(looked_up, f"item long, id {kind}, n long, a double, b double, pairs array<long>"))
-    rare = known_sums.select("item", F.explode("pairs").alias("pair")).join(losses.where(~often), "pair")
-    added = rare.select("item", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("n"), F.col("target_loss").alias("a"), F.col("background_loss").alias("b"))
-    sums = known_sums.drop("pairs").unionByName(added).groupBy("item").agg(F.first("id", True).alias("id"), *[F.sum(c).alias(c) for c in "nab"])
-    return sums.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_tokens"), (F.col("a") / F.col("n")).alias("target_loss"),
-        (F.col("b") / F.col("n")).alias("background_loss"), ((F.col("a") - F.col("b")) / F.col("n")).alias("score"),
-    )
+    asked = dealt.groupBy("chunk").applyInArrow(_questions(chunks), "chunk long, bucket long, names binary, background binary, target binary")
+    answers = asked.groupBy("bucket").applyInArrow(
+        _answers, "chunk long, bucket long, background binary, all_background long, target binary, all_target long, words long"
+    )
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    losses = scored.applyInArrow(_losses(prior), f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return losses.withColumnRenamed("id", id_column)
