@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsight.llm.shared import let, row_numbers, stored
+from colsight.llm.shared import boxed, let, quoted, row_numbers, stored, unboxed
 
 ROUNDS, SEED = 4, 42
 
@@ -69,21 +69,20 @@ def permuted(position: Column, rows: int, passes: int, seed: int = SEED, back: b
 
 
 def shuffle_shards(docs: DataFrame, shards: int, order: list[str], seed: int = SEED) -> DataFrame:
-    """Adds ``number`` (in the given order), ``shard`` and ``slot`` to a frame without columns of these names.
+    """Adds ``number`` (in the given order), ``shard`` and ``slot``, which replace columns of these names; all other columns stay.
 
     The row at place p of the shuffle is slot ``p // shards`` of shard ``p % shards``: shards differ by one row at
     most, and slots have no gaps. The result depends on the rows and the seed alone: rows that agree in
     ``order`` share their places in any way. Nulls come first. Pass the columns that a shard plan needs; texts
     need not be moved for it.
     """
-    keys = [F.col(c) for c in order]
-    numbered = stored(row_numbers(docs, *keys))
+    keys = {f"key{at}": F.col(quoted(c)) for at, c in enumerate(order)}
+    numbered = stored(row_numbers(boxed(docs, **keys), *keys).drop(*keys))
     rows = numbered.count()
-    if not rows:
-        return numbered.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    place = numbered.withColumn("place", permuted(F.col("number"), rows, walk_length(docs.sparkSession, rows, seed), seed))
-    shard = F.pmod("place", F.lit(shards)).cast("int")
-    return place.withColumns({"shard": shard, "slot": F.floor(F.col("place") / shards).cast("long")}).drop("place")
+    passes = walk_length(docs.sparkSession, rows, seed) if rows else 0
+    placed = numbered.withColumn("at", permuted(F.col("number"), rows, passes, seed) if rows else F.col("number"))
+    shard, slot = F.pmod("at", F.lit(shards)).cast("int"), F.floor(F.col("at") / shards).cast("long")
+    return unboxed(placed, docs.columns, number=F.col("number"), shard=shard, slot=slot)
 
 
 def row_at(shard: Column, slot: Column, shards: int, rows: int, passes: int, seed: int = SEED) -> Column:
