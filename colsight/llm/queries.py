@@ -51,29 +51,33 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat_format.swapped_endings(table(spark, sf_dir, "conversations"))
-    return chat_format.format_preferences(pairs).withColumnRenamed("pair", "conv_id")
+    conversations = table(spark, sf_dir, "conversations")
+    keys = stored(chat_format.branched_keys(conversations))
+    texts = conversations.select(chat_format.text_key(F.col("text")).alias("text_key"), "text")
+    return chat_format.format_keys(keys, texts).withColumnRenamed("pair", "conv_id")
 
 
 OP4_SQL = r"""
-WITH n AS (SELECT *, lead(conv_id) OVER (ORDER BY conv_id) AS next FROM (SELECT DISTINCT conv_id FROM conversations)),
-z AS (SELECT conv_id, max({'turn': turn, 'role': role, 'text': text}) AS l FROM conversations GROUP BY conv_id),
-e AS (
-  SELECT n.conv_id, z.l, y.l.text AS ending FROM n JOIN z USING (conv_id)
-  JOIN z y ON y.conv_id = coalesce(n.next, (SELECT min(conv_id) FROM conversations))),
+WITH c AS (SELECT conv_id, max(coalesce(turn, -1)) AS last, ('0x' || md5(conv_id::VARCHAR)[1:8])::BIGINT AS h FROM conversations GROUP BY conv_id),
+n AS (
+  SELECT conv_id, CASE WHEN h % 8 > 0 THEN (h // 8) % (last + 2) END AS branch,
+    coalesce(lead(conv_id) OVER (ORDER BY conv_id), first_value(conv_id) OVER (ORDER BY conv_id)) AS next
+  FROM c),
 s AS (
   SELECT conv_id, 'chosen' AS side, turn, role, text FROM conversations UNION ALL
-  SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = l.turn AND role = l.role AND text = l.text THEN ending ELSE text END
-  FROM conversations JOIN e USING (conv_id)),
+  SELECT conv_id, 'rejected', turn, role, text FROM conversations JOIN n USING (conv_id) WHERE coalesce(turn, -1) < branch UNION ALL
+  SELECT n.conv_id, 'rejected', o.turn, o.role, o.text FROM n JOIN conversations o ON o.conv_id = n.next WHERE coalesce(o.turn, -1) >= branch),
 p AS (
   SELECT *, row_number() OVER side - 1 AS position, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
-  FROM s WINDOW side AS (PARTITION BY conv_id, side ORDER BY turn, role, text)),
+  FROM s WINDOW side AS (PARTITION BY conv_id, side ORDER BY turn, role, substr(text, 1, 32), sha256(text))),
 b AS (
-  SELECT a.conv_id, min(a.position) FILTER (a.role IS DISTINCT FROM o.role OR a.text IS DISTINCT FROM o.text) AS differs, max(a.position) + 1 AS n
-  FROM p a LEFT JOIN p o ON a.conv_id = o.conv_id AND a.position = o.position AND o.side = 'rejected' WHERE a.side = 'chosen' GROUP BY a.conv_id),
+  SELECT coalesce(a.conv_id, o.conv_id) AS conv_id, coalesce(a.position, o.position) AS position,
+    a.role IS NOT DISTINCT FROM o.role AND a.text IS NOT DISTINCT FROM o.text AND a.side IS NOT NULL AND o.side IS NOT NULL AS alike
+  FROM (SELECT * FROM p WHERE side = 'chosen') a FULL JOIN (SELECT * FROM p WHERE side = 'rejected') o ON a.conv_id = o.conv_id AND a.position = o.position),
+d AS (SELECT conv_id, coalesce(min(position) FILTER (NOT alike), max(position) + 1) AS prefix FROM b GROUP BY conv_id),
 q AS (
-  SELECT p.*, CASE WHEN position < coalesce(differs, n) THEN 'prompt' ELSE side END AS part
-  FROM p JOIN b USING (conv_id) WHERE side = 'chosen' OR position >= coalesce(differs, n))
+  SELECT p.*, CASE WHEN position < prefix THEN 'prompt' ELSE side END AS part
+  FROM p JOIN d USING (conv_id) WHERE side = 'chosen' OR position >= prefix)
 SELECT conv_id, part, position, role, rendered,
   coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
   CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|' || role || '|>') + 1 ELSE 0 END AS loss_start,
@@ -144,14 +148,14 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = rf"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
-  FROM documents),
+  FROM (SELECT row_number() OVER () AS row, * FROM documents)),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
-c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+FROM k LEFT JOIN c USING (key) GROUP BY row, doc_id
 """
 
 

@@ -47,17 +47,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def text_bytes(df: DataFrame) -> int:
-    """Size of a stored step on disk."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for file in df.inputFiles():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        total += path.getFileSystem(hadoop).getFileStatus(path).getLen()
-    return total
-
-
 def broadcast_if_small(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A stored step, marked for broadcast if its rows of ``width`` bytes stay within ``limit`` bytes.
 

@@ -1,5 +1,6 @@
 """Mixing, packing, sharding and chat formatting: totals, round trips and brute force."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -214,6 +215,17 @@ def test_shards(spark, docs):
     assert sharding.shuffle_shards(plain.where("1 = 0"), 4, ["doc_id", "size"]).collect() == []
 
 
+def test_shards_keep_columns(docs, no_docs):
+    """Columns named like inner ones come back as they were; ``number``, ``shard`` and ``slot`` are replaced."""
+    added = ("number", "shard", "slot")
+    for frame in (docs, no_docs):
+        got = sharding.shuffle_shards(frame, 4, ["doc_id", "key"])
+        rest = [c for c in frame.columns if c not in added]
+        assert got.columns == [*rest, *added]
+        assert sorted(map(str, got.select(rest).collect())) == sorted(map(str, frame.select(rest).collect()))
+        assert sorted(r.number for r in got.collect()) == list(range(frame.count()))
+
+
 def formatted(turns):
     sides = defaultdict(lambda: {"chosen": [], "rejected": []})
     for pair, side, turn, role, text in turns:
@@ -245,18 +257,42 @@ def test_preferences(spark):
     turns += [(1, "rejected", 4, "user", "more"), (3, "chosen", 0, "assistant", "alone"), (5, "rejected", 0, "assistant", "alone")]
     turns += [(6, "chosen", 0, "user", "twice"), (6, "chosen", 0, "user", "twice"), (6, "rejected", 0, "user", "twice")]
     frame = spark.createDataFrame(turns, "pair long, side string, turn int, role string, text string").withColumn("position", F.lit(5)).repartition(4)
-    got = chat_format.format_preferences(frame)
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, formatted(turns)))
+    for large in (2, 4096):
+        got = chat_format.format_preferences(frame, large)
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, formatted(turns)))
     assert chat_format.format_preferences(frame.where("1 = 0")).collect() == []
 
 
-def test_swapped_endings(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (None, 0, "user", "d"), (2, 0, "user", "c")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    got = sorted(map(str, (tuple(r) for r in chat_format.swapped_endings(frame).collect())))
-    want = [(p, t, r, x, "chosen") for p, t, r, x in rows]
-    ending = {None: "b", 1: "c", 2: "d"}
-    last = {1: (1, "assistant", "b"), 2: (0, "user", "c"), None: (0, "user", "d")}
-    want += [(p, t, r, ending[p] if (t, r, x) == last[p] else x, "rejected") for p, t, r, x in rows]
-    assert got == sorted(map(str, want))
-    assert chat_format.swapped_endings(frame.where("1 = 0")).collect() == []
+def branch_of(number, last):
+    digest = int(hashlib.md5(("" if number is None else str(number)).encode()).hexdigest()[:8], 16)
+    return digest // 8 % (last + 2) if digest % 8 else None
+
+
+def test_branched_pairs(spark):
+    """Sides that part early, late and not at all, and pairs without a rejected side, against brute force."""
+    rows = [(n, t, "assistant" if t % 2 else "user", f"text {n if t > 2 else 0} {t}") for n in range(60) for t in range(1 + n % 7)]
+    rows += [(None, 0, "user", "d"), (None, None, None, None), (100, 0, "user", "c"), (100, 0, "user", "c"), (101, 3, "user", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    ids = sorted({r[0] for r in rows}, key=lambda n: (n is not None, n or 0))
+    turn = lambda r: -1 if r[1] is None else r[1]
+    pairs = [(n, "chosen", t, r, x) for n, t, r, x in rows]
+    for number, following in zip(ids, [*ids[1:], ids[0]], strict=True):
+        branch = branch_of(number, max(turn(r) for r in rows if r[0] == number))
+        if branch is not None:
+            pairs += [(number, "rejected", *r[1:]) for r in rows if r[0] == number and turn(r) < branch]
+            pairs += [(number, "rejected", *r[1:]) for r in rows if r[0] == following and turn(r) >= branch]
+    want = formatted(pairs)
+    prefixes = {p: sum(r[0] == p and r[1] == "prompt" for r in want) for p in ids}
+    assert len(set(prefixes.values())) > 4 and any(sum(r[0] == p and r[1] == "rejected" for r in want) == 0 for p in ids)
+    texts = frame.select(chat_format.text_key(F.col("text")).alias("text_key"), "text")
+    for large in (3, 4096):
+        got = chat_format.format_keys(chat_format.stored(chat_format.branched_keys(frame)), texts, large)
+        assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in want)
+    assert chat_format.branched_keys(frame.where("1 = 0")).collect() == []
+
+
+def test_a_common_turn(spark):
+    """A text that stands in a third of all turns is dealt over copies and found at every place."""
+    turns = [(n, side, t, "user", "hello" if t == 0 else f"{n} {side if t == 2 else ''}") for n in range(300) for side in ("chosen", "rejected") for t in range(3)]
+    got = chat_format.format_preferences(spark.createDataFrame(turns, "pair long, side string, turn int, role string, text string").repartition(5))
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in formatted(turns))

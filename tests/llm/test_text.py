@@ -1,9 +1,12 @@
 """Quality rules, line dedup, classifier and LM scores against brute force."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colsight.llm import line_dedup, lm_scoring, quality_classifier, quality_rules, queries, word_scoring
@@ -82,6 +85,43 @@ def test_classifier(spark, docs, no_docs):
     assert {r.score for r in quality_classifier.classify(docs, labels.where("1 = 0")).collect()} == {0.5}
 
 
+def test_classifier_against_numpy(spark):
+    """The same features, ridge system and calibration over collected rows, solved as least squares and by the min-max formula."""
+    q = quality_classifier
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = {r.id: np.array(r.x) for r in q.measured(documents).collect()}
+    rows = [(x[r.doc_id], float(r.quality), zlib.crc32(str(r.doc_id).encode()) % q.FOLDS) for r in labels.collect() if r.quality is not None]
+    fitting = [(v, y) for v, y, f in rows if f not in (q.HELD_OUT, q.CALIBRATION)]
+    a, y = np.array([v for v, _ in fitting]), np.array([y for _, y in fitting])
+    mean, deviation = a.mean(axis=0), a.std(axis=0)
+    scale = np.where(deviation > 1e-9, deviation, 1.0)
+    rng = np.random.default_rng(q.SEED)
+    waves, phases = rng.normal(0, 1 / q.WIDTH, (a.shape[1], q.FEATURES)), rng.uniform(0, 2 * np.pi, q.FEATURES)
+
+    def features(v):
+        turned = np.cos(np.clip((v - mean) / scale, -8, 8) @ waves + phases) * np.sqrt(2 / q.FEATURES)
+        return np.concatenate([turned, np.ones((len(v), 1))], axis=1)
+
+    z = features(a)
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(q.RIDGE) * np.eye(z.shape[1])]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+
+    def raw(v):
+        return np.clip(np.round(features(v) @ weights, 4), -1, 2)
+
+    held = [(v, y) for v, y, f in rows if f == q.CALIBRATION]
+    at, inverse = np.unique(raw(np.array([v for v, _ in held])), return_inverse=True)
+    n, hits = np.bincount(inverse), np.bincount(inverse, weights=[y for _, y in held])
+    total = lambda s, i, j: s[i : j + 1].sum()
+    level = [max(min(total(hits, i, j) / total(n, i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    blocks = [np.flatnonzero(np.isclose(level, value)) for value in np.unique(np.round(level, 12))]
+    centres, heights = [(at[b] * n[b]).sum() / n[b].sum() for b in blocks], [level[b[0]] for b in blocks]
+    got = {r.doc_id: r.score for r in q.classify(documents, labels).collect()}
+    ids = sorted(got)
+    want = np.interp(raw(np.array([x[i] for i in ids])), centres, heights)
+    near = np.abs(want - [got[i] for i in ids]) < 1e-3  # a raw score on the edge of its fourth decimal may round the other way
+    assert near.mean() > 0.99
+
+
 def test_classifier_never_learns_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -126,8 +166,8 @@ def test_lm_scores(spark, docs, no_docs):
     assert lm_scoring.score_documents(no_docs, F.lit(True)).collect() == []
 
 
-def test_word_scores(spark, docs, no_docs, monkeypatch):
-    """Against brute force, with frequent pairs looked up (all, some or none) and the others joined."""
+def test_word_scores(spark, docs, no_docs):
+    """Against brute force, with one chunk, some, and many."""
     texts = [(1, "the cat sat on the mat", True), (2, "The cat ran", True), (3, "der über Öl", False), (4, None, False), (5, "", False), (5, "der ober Il", None), (None, "the " * 50, False)]
     frame = spark.createDataFrame(texts, "doc_id long, text string, target boolean").repartition(3)
     split = lambda text: ["", *[w.lower() for w in (text or "").split()], ""]
@@ -140,9 +180,9 @@ def test_word_scores(spark, docs, no_docs, monkeypatch):
         return -np.log2((c[before, after] + prior * alone) / (sum(v for p, v in c.items() if p[0] == before) + prior))
 
     want = sorted((str(n), len(pairs[t]), *(np.mean([bits(c, *p) for p in pairs[t]]) for c in seen)) for n, t, _ in texts)
-    for frequent in (1, 20, 1 << 16):
-        monkeypatch.setattr(word_scoring, "FREQUENT", frequent)
-        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in word_scoring.score_by_words(frame, F.col("target")).collect())
+    for chunk_bytes in (None, 100, 5):
+        scored = word_scoring.score_by_words(frame, F.col("target"), chunk_bytes=chunk_bytes).collect()
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in scored)
         assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
     odd = word_scoring.score_by_words(docs, F.col("source") == "a").collect()
     assert len(odd) == docs.count() and all(np.isfinite(r.score) for r in odd)
@@ -150,6 +190,11 @@ def test_word_scores(spark, docs, no_docs, monkeypatch):
     assert word_scoring.score_by_words(no_docs, F.lit(True)).collect() == []
 
 
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_packed_numbers(values):
+    assert word_scoring.unpacked(word_scoring.packed(np.array(values, np.uint64))).tolist() == values
+
+
 def test_lm_query_tells_words_and_letters_apart(spark, tmp_path):
     """Anagrams of the same letters, and letters beyond ASCII, are different words to the registered query."""
     texts = [(n, "größe über alles" if n % 2 else "gräße ober alles") for n in range(40)]
