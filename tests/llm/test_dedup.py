@@ -8,6 +8,7 @@ from itertools import combinations
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from colsight.llm import exact_dedup, near_copies, simhash_dedup
 from colsight.llm.components import components
@@ -139,7 +140,7 @@ def near_rows():
 
 def near_want(rows):
     sets = [set(shingles(text, 5)) for _, text in rows]
-    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) ** 2 >= 64 * len(sets[i]) * len(sets[j])]
     label = connected(range(len(rows)), links)
     groups = defaultdict(list)
     for i, (number, _) in enumerate(rows):
@@ -161,8 +162,27 @@ def test_near_copies_in_blocks(spark):
     rows = near_rows()
     frame = spark.createDataFrame(list(enumerate(t for _, t in rows)), "item long, text string")
     signatures = near_copies.stored(frame.mapInArrow(near_copies._signatures(5), "item long, fp long, bands array<long>, grams binary"))
-    found = [connected(range(len(rows)), [tuple(r) for r in near_copies.near_links(signatures, shard_rows=n).collect()]) for n in (2, 4096)]
-    assert found[0] == found[1]
+    found = [connected(range(len(rows)), [tuple(r) for r in near_copies.near_links(signatures, shard_rows=n).collect()]) for n in (2, 3, 4096)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_blocks_of_a_chain(spark):
+    """A shard whose first text is like few others: each text is like its neighbours only, so the rest meets in cells."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 200])) for i in range(40)] + [(40 + i, " ".join(f"x{i}y{k}" for k in range(60))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "item long, text string")
+    signatures = near_copies.stored(frame.mapInArrow(near_copies._signatures(5), "item long, fp long, bands array<long>, grams binary").withColumn("bands", F.array(F.lit(7).cast("long"))))
+    for shard_rows in (3, 16, 4096):
+        label = connected(range(70), [tuple(r) for r in near_copies.near_links(signatures, shard_rows=shard_rows).collect()])
+        assert [label[i] for i in range(70)] == [0] * 40 + list(range(40, 70))
+
+
+def test_equal_sets_are_one_node(spark):
+    """Texts of one shingle set, however many, and a near copy of them; texts without words stay apart."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, ("  " if i % 2 else " ").join(words) + " " * i) for i in range(50)] + [(50, " ".join(words[:97])), (51, ""), (52, None), (53, " ")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 51, 52, 53]
 
 
 def test_near_copies_with_repeated_passages(spark):

@@ -9,9 +9,10 @@ from colsight.llm.packing import public_encoder
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def jaccard(a, b):
+def likeness(a, b):
+    """The cosine of the sets of five-word shingles."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in (a, b))]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / (len(sets[0]) * len(sets[1])) ** 0.5
 
 
 def test_stages(spark, tmp_path):
@@ -30,8 +31,8 @@ def test_stages(spark, tmp_path):
             assert sorted(r.doc_id for r in held) == sorted({low(r.text): r.doc_id for r in sorted(before, key=lambda r: r.doc_id)}.values())
         if name == "near_dedup":
             stays = {r.doc_id for r in held}
-            assert all(jaccard(a.text, b.text) < 0.8 for i, a in enumerate(held) for b in held[:i])
-            assert all(any(jaccard(r.text, k.text) >= 0.8 for k in before if k.doc_id != r.doc_id) for r in before if r.doc_id not in stays)
+            assert all(likeness(a.text, b.text) < 0.8 for i, a in enumerate(held) for b in held[:i])
+            assert all(any(likeness(r.text, k.text) >= 0.8 for k in before if k.doc_id != r.doc_id) for r in before if r.doc_id not in stays)
         if name == "mixing":
             assert max(Counter(r.doc_id for r in held).values()) <= 2
         if name == "packing":
