@@ -74,10 +74,14 @@ class ProfileConfig:
     top_values_limit: int = 10
     top_values_cardinality_threshold: int = 100
     max_concurrent_tables: int = 3
+    timeout_seconds: float | None = 1000.0  # of a whole run; None: no limit
+    columns_per_job: int = 200  # tables are profiled together up to so many columns
+    bytes_per_job: int = 1 << 30  # and up to so many estimated bytes; a larger table is a job of its own
+    concurrent_bytes: int = 1 << 44  # estimated bytes of the tables that are profiled at the same time
     sensitivity_batch_size: int = 20
     approx_accuracy: int = 10_000
     aggregates_per_scan: int = 40
-    rank_buckets: int = 1024
+    rank_sketch: int = 4096  # size of the sketch that encloses ranks; each enclosed part holds about 1/300 of a column
 
     def __post_init__(self) -> None:
         _positive("sample_size", self.sample_size)
@@ -85,11 +89,23 @@ class ProfileConfig:
         _positive("top_values_cardinality_threshold", self.top_values_cardinality_threshold)
         _positive("max_concurrent_tables", self.max_concurrent_tables)
         _positive("sensitivity_batch_size", self.sensitivity_batch_size)
-        if self.rank_buckets < 2 or self.rank_buckets & (self.rank_buckets - 1):
-            raise ValueError("rank_buckets must be a power of two")
+        _positive("columns_per_job", self.columns_per_job)
+        if self.timeout_seconds is not None and self.timeout_seconds <= 0:
+            raise ValueError(f"timeout_seconds must be above 0, got {self.timeout_seconds}")
+        if not 8 <= self.rank_sketch <= 65_535:
+            raise ValueError(f"rank_sketch must be between 8 and 65535, got {self.rank_sketch}")
 
     @property
     def excluded_schemas(self) -> tuple[str, ...]:
         if self.exclude_schemas is not None:
             return self.exclude_schemas
         return DEFAULT_EXCLUDED_SCHEMAS[self.dialect.name]
+
+    def selects(self, schema: str, table: str) -> bool:
+        """Whether the include and exclude lists let a table take part; an exclude list wins."""
+        return (
+            (self.include_schemas is None or schema in self.include_schemas)
+            and schema not in self.excluded_schemas
+            and (self.include_tables is None or table in self.include_tables)
+            and table not in self.exclude_tables
+        )

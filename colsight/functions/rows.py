@@ -18,6 +18,12 @@ def _literal(value: object) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def table_key(*frames: DataFrame, column: bool = False) -> list[str]:
+    """The columns that name a table in all of ``frames``: with its schema where every one of them carries it."""
+    schema = ["schema_name"] if all("schema_name" in frame.columns for frame in frames) else []
+    return [*schema, "table_name", *["column_name"] * column]
+
+
 def constant_rows(spark: SparkSession, rows: Sequence[Sequence[object]], schema: str) -> DataFrame:
     """A frame written into the plan itself.
 

@@ -133,7 +133,12 @@ def numbered_comments(attributes: DataFrame, descriptions: DataFrame) -> DataFra
 
 
 def foreign_keys(referential: DataFrame, key_usage: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Child and parent column pairs of every foreign key, matched by constraint and position."""
+    """Child and parent column pairs of every foreign key, matched by constraint and position.
+
+    Where ``referential`` names the schema of the parent's constraint (``unique_constraint_schema``), that counts too, so a
+    constraint name may be used in several schemas.
+    """
+    schema = ["to_schema"] if "unique_constraint_schema" in referential.columns else []
     child = key_usage.select(
         F.col("table_schema").alias("constraint_schema"), "constraint_name", F.col("column_name").alias("from_column"),
         "ordinal_position",
@@ -145,12 +150,12 @@ def foreign_keys(referential: DataFrame, key_usage: DataFrame, constraints: Data
     owner = constraints.select(F.col("table_schema").alias("constraint_schema"), "table_name", "constraint_name")
     rules = referential.select(
         "constraint_schema", "constraint_name", "unique_constraint_name", F.col("update_rule").alias("on_update"),
-        F.col("delete_rule").alias("on_delete"),
+        F.col("delete_rule").alias("on_delete"), *[F.col("unique_constraint_schema").alias(name) for name in schema],
     )
     return (
         rules.join(child, ["constraint_schema", "constraint_name"])
         .join(owner, ["constraint_schema", "constraint_name"])
-        .join(parent, ["unique_constraint_name", "ordinal_position"])
+        .join(parent, ["unique_constraint_name", "ordinal_position", *schema])
         .select(
             F.col("constraint_schema").alias("table_schema"), "table_name", "constraint_name", "ordinal_position",
             "from_column", "to_schema", "to_table", "to_column", "on_update", "on_delete",

@@ -1,6 +1,7 @@
 """Which columns make good analytical filters: signals, scores, triage, and the judge's verdicts.
 
-Every function takes and returns one row per (table, column); nothing here touches table data.
+Every function takes and returns one row per (table, column); nothing here touches table data. Frames that carry
+``schema_name`` beside ``table_name`` are matched by both.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions import types as kinds
+from colsight.functions.rows import table_key
 
 # Thresholds, weights, type lists and name patterns of the scoring rules.
 SMALL_REFERENCED_TABLE = 500
@@ -51,9 +53,6 @@ CODE_VALUE = r"^[A-Z0-9_\-]{2,5}\n?\z"
 IDENTIFIER_VALUE = r"(?i)^[A-Z]{2,5}[-_]\p{Nd}"
 LONG_VALUE, SHORT_AVERAGE = 30, 25
 
-_KEY = ["table_name", "column_name"]
-
-
 # ── Schema signals ────────────────────────────────────────────────────────────
 
 
@@ -63,12 +62,13 @@ def index_signals(indexes: DataFrame) -> DataFrame:
     ``indexes`` holds ``table_name, index_name, columns, is_unique, is_primary``. Partners are the
     other columns of the same index, in first-seen order over the indexes by name.
     """
+    key = table_key(indexes)
     member = indexes.where(~F.col("is_primary")).select(
-        "table_name", "index_name", (~F.col("is_unique")).alias("non_unique"), "columns", F.explode("columns").alias("column_name")
+        *key, "index_name", (~F.col("is_unique")).alias("non_unique"), "columns", F.explode("columns").alias("column_name")
     )
     partners = F.expr("filter(columns, c -> c <> column_name)")
     ordered = F.array_sort(F.collect_list(F.struct("index_name", partners.alias("partners"))))
-    return member.groupBy(*_KEY).agg(
+    return member.groupBy(*key, "column_name").agg(
         F.max("non_unique").alias("is_non_unique_index"),
         F.array_distinct(F.flatten(F.transform(ordered, lambda e: e["partners"]))).alias("composite_partners"),
     )
@@ -80,16 +80,16 @@ def schema_signals(columns: DataFrame, relationships: DataFrame, indexes: DataFr
     ``relationships`` holds ``table_name, constraint_name, from_column, to_schema, to_table``; of
     several on one column the last constraint by name counts.
     """
-    keys = columns.where("is_primary_key").groupBy("table_name").agg(F.count(F.lit(1)).cast("int").alias("pk_size"))
+    keys = columns.where("is_primary_key").groupBy(*table_key(columns)).agg(F.count(F.lit(1)).cast("int").alias("pk_size"))
     target = F.concat_ws(".", "to_schema", "to_table")
-    foreign = relationships.groupBy("table_name", F.col("from_column").alias("column_name")).agg(
+    foreign = relationships.groupBy(*table_key(relationships), F.col("from_column").alias("column_name")).agg(
         F.max_by(target, "constraint_name").alias("fk_referenced_table")
     )
     pk_size = F.when(F.col("is_primary_key"), F.col("pk_size")).otherwise(0)
     return (
-        columns.join(keys, "table_name", "left")
-        .join(foreign, _KEY, "left")
-        .join(index_signals(indexes), _KEY, "left")
+        columns.join(keys, table_key(columns), "left")
+        .join(foreign, table_key(columns, foreign, column=True), "left")
+        .join(index_signals(indexes), table_key(columns, indexes, column=True), "left")
         .withColumns(
             {
                 "pk_column_count": pk_size,
@@ -143,18 +143,18 @@ def schema_score() -> Column:
 def table_roles(columns: DataFrame, row_counts: DataFrame, relationships: DataFrame) -> DataFrame:
     """``(table_name, table_role)``: fact, dimension or unknown."""
     category = kinds.category_of_name(F.col("data_type"))
-    shapes = columns.groupBy("table_name").agg(
+    shapes = columns.groupBy(*table_key(columns)).agg(
         F.count_if(category == kinds.NUMERIC).alias("numbers"), F.count_if(category == kinds.STRING).alias("texts")
     )
-    links = relationships.groupBy("table_name").agg(F.count(F.lit(1)).alias("links"))
-    joined = shapes.join(row_counts, "table_name", "left").join(links, "table_name", "left")
+    links = relationships.groupBy(*table_key(relationships)).agg(F.count(F.lit(1)).alias("links"))
+    joined = shapes.join(row_counts, table_key(shapes, row_counts), "left").join(links, table_key(shapes, links), "left")
     rows, fks = F.coalesce("row_count", F.lit(0)), F.coalesce("links", F.lit(0))
     role = (
         F.when((rows > FACT_ROWS) & (fks >= 2) & (F.col("numbers") >= 2), "fact")
         .when((rows < DIMENSION_ROWS) & (fks == 0) & (F.col("texts") >= 2), "dimension")
         .otherwise("unknown")
     )
-    return joined.select("table_name", role.alias("table_role"))
+    return joined.select(*table_key(shapes), role.alias("table_role"))
 
 
 # ── Statistical signals ───────────────────────────────────────────────────────
@@ -326,7 +326,7 @@ def judge_payloads(candidates: DataFrame) -> DataFrame:
         pattern.alias("value_pattern"),
     )
     review = candidates.where("triage = 'review'")
-    return review.select("table_name", "ordinal", "column_name", F.to_json(evidence).alias("payload"))
+    return review.select(*table_key(candidates), "ordinal", "column_name", F.to_json(evidence).alias("payload"))
 
 
 def reconcile(heuristic: Column, judged: Column, has_schema: Column) -> Column:
@@ -359,17 +359,17 @@ def filter_columns(candidates: DataFrame, judgments: DataFrame | None = None) ->
         empty = [f"cast(null as {part.split()[1]}) as {part.split()[0]}" for part in verdicts.split(", ")]
         joined = candidates.selectExpr("*", *empty)
     else:
-        joined = candidates.join(judgments, _KEY, "left")
+        joined = candidates.join(judgments, table_key(candidates, judgments, column=True), "left")
     judged = (F.col("triage") == "review") & F.col("llm_confidence").isNotNull()
     decided = reconcile(F.col("composite_score"), F.col("llm_confidence"), F.col("schema_score") > 0)
     heuristic = F.struct(F.col("composite_score").alias("score"), F.lit("heuristic_only").alias("source"))
     scored = joined.where("triage <> 'reject'").withColumn("_verdict", F.when(judged, decided).otherwise(heuristic))
     kept = scored.where((F.col("triage") == "accept") | (F.col("_verdict.score") >= INCLUDE_FROM))
-    order = Window.partitionBy("table_name").orderBy(
+    order = Window.partitionBy(*table_key(candidates)).orderBy(
         F.desc("_verdict.score"), F.when(F.col("triage") == "accept", 0).otherwise(1), "ordinal"
     )
     return kept.select(
-        "table_name",
+        *table_key(candidates),
         F.when(judged, F.coalesce("filter_name", F.lit(""))).otherwise(F.col("column_name")).alias("filter_name"),
         "column_name",
         F.col("_verdict.score").alias("confidence"),
@@ -387,4 +387,4 @@ def filter_column_lists(chosen: DataFrame) -> DataFrame:
     )
     # Bounded by the number of columns of a table.
     ordered = F.array_sort(F.collect_list(entry))
-    return chosen.groupBy("table_name").agg(F.transform(ordered, lambda e: e.dropFields("position")).alias("filter_columns"))
+    return chosen.groupBy(*table_key(chosen)).agg(F.transform(ordered, lambda e: e.dropFields("position")).alias("filter_columns"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colsight.functions import text
 from colsight.functions import types as kinds
+from colsight.functions.rows import table_key
 from colsight.functions.values import quoted
 from colsight.operators.cells import Dataset, column_frame, empty, union_all
 
@@ -132,7 +133,8 @@ def parse_responses(responses: DataFrame, columns: DataFrame) -> DataFrame:
 
 def apply_verdicts(columns: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Columns with verdict and risk level; those without a verdict are not sensitive."""
-    joined = columns.join(verdicts.select(*_KEY, "is_sensitive", "sensitivity_type"), _KEY, "left")
+    key = table_key(columns, verdicts, column=True)
+    joined = columns.join(verdicts.select(*key, "is_sensitive", "sensitivity_type"), key, "left")
     kind = F.col("sensitivity_type")
     return joined.withColumns({"is_sensitive": F.coalesce("is_sensitive", F.lit(False)), "sensitivity_level": level_of(kind)})
 
@@ -200,7 +202,8 @@ def classify(columns: DataFrame, evidence: DataFrame | None = None) -> DataFrame
     """Verdicts from column names, and from values where at least half of them show one shape."""
     suggested = type_from_name(F.col("column_name"))
     if evidence is not None:
-        columns = columns.join(evidence, _KEY, "left")
+        columns = columns.join(evidence, table_key(columns, evidence, column=True), "left")
         shown = F.coalesce(*[F.when(F.col(f"{kind}_share") >= EVIDENCE_SHARE, kind) for kind in EVIDENCE])
         suggested = F.coalesce(suggested, shown)
-    return columns.select(*_KEY, suggested.isNotNull().alias("is_sensitive"), suggested.alias("sensitivity_type"))
+    key = table_key(columns, column=True)
+    return columns.select(*key, suggested.isNotNull().alias("is_sensitive"), suggested.alias("sensitivity_type"))

@@ -20,8 +20,9 @@ _FIELDS = {
     "sum": "double", "zero_count": "bigint", "negative_count": "bigint",
     "min_length": "int", "max_length": "int", "avg_length": "double", "empty_count": "bigint",
     "true_count": "bigint", "false_count": "bigint",
-    "min_text": "string", "max_text": "string",
+    "min_text": "string", "max_text": "string", "approx_distinct": "bigint",
 }
+SKETCH_ERROR = 0.02  # one deviation of approx_distinct
 
 
 def _aggregates(ref: ColumnRef, config: ProfileConfig) -> dict[str, str]:
@@ -48,6 +49,7 @@ def _aggregates(ref: ColumnRef, config: ProfileConfig) -> dict[str, str]:
             "max_length": f"max(length({c}))",
             "avg_length": f"avg(length({c}))",
             "empty_count": count_if.format(f"{c} = ''"),
+            "approx_distinct": f"approx_count_distinct({c}, {SKETCH_ERROR})",
         }
     elif ref.category == kinds.BOOLEAN:
         out |= {"true_count": f"count_if({c})", "false_count": f"count_if(not {c})"}
@@ -74,7 +76,13 @@ def _scan(df: DataFrame, refs: list[ColumnRef], config: ProfileConfig, fields: C
 
 
 def _slices(refs: list[ColumnRef], config: ProfileConfig, fields: Collection[str]) -> list[list[ColumnRef]]:
-    """Consecutive columns whose aggregates together stay within ``aggregates_per_scan``."""
+    """Consecutive columns whose aggregates together stay within ``aggregates_per_scan``.
+
+    Columns with a sketch are kept apart: it is not compiled, nor are the aggregates beside it.
+    """
+    sketched = [ref for ref in refs if "approx_distinct" in _wanted(ref, config, fields)]
+    if sketched and len(sketched) < len(refs):
+        return _slices([ref for ref in refs if ref not in sketched], config, fields) + _slices(sketched, config, fields)
     slices: list[list[ColumnRef]] = []
     used = config.aggregates_per_scan
     for ref in refs:

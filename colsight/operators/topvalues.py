@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from colsight.config import ProfileConfig
 from colsight.functions import types as kinds
 from colsight.functions.numbers import percentage
-from colsight.operators.cells import Dataset, empty, side_by_side, typed_cells, union_all
+from colsight.operators.cells import ColumnRef, Dataset, empty, side_by_side, typed_cells, union_all
 
 
 def passes_gate(data: Dataset, config: ProfileConfig, enum_columns: Collection[tuple[str, str]] = ()) -> Column:
@@ -34,15 +34,26 @@ def passes_gate(data: Dataset, config: ProfileConfig, enum_columns: Collection[t
     return F.col("distinct_count") <= limit
 
 
-def value_counts(data: Dataset, frequency: Mapping[T.DataType, DataFrame], gated: DataFrame) -> DataFrame:
+def text_candidates(data: Dataset, sketched: Mapping[int, int], config: ProfileConfig, enum_columns: Collection[tuple[str, str]] = ()) -> list[ColumnRef]:
+    """The text columns that may pass the gate, by the ``approx_distinct`` of their ``cid``; the others need not be read again.
+
+    A column is ruled out at twice the threshold, fifty deviations of the sketch away; what is left is counted exactly.
+    """
+    named = set(enum_columns) if config.dialect.has_enum else set()
+    most = 2 * config.top_values_cardinality_threshold
+    return [r for r in data.of_category(kinds.STRING) if (r.table, r.name) in named or (sketched.get(r.cid) or 0) <= most]
+
+
+def value_counts(data: Dataset, frequency: Mapping[T.DataType, DataFrame], gated: DataFrame, texts: Collection[ColumnRef] | None = None) -> DataFrame:
     """``(cid, value, n)`` of the gated columns, the value as text.
 
     Numbers and booleans reuse the frequency shuffle. Text is grouped again from the source,
     because the frequency holds digests of long text; only gated columns survive the broadcast
-    join, so the many distinct values of the other columns never reach this shuffle.
+    join, so the many distinct values of the other columns never reach this shuffle. ``texts`` are the text columns
+    that a sketch has not ruled out (:func:`text_candidates`); without it all are read.
     """
     plain = {t: df for t, df in frequency.items() if isinstance(t, (T.NumericType, T.BooleanType))}
-    texts = typed_cells(data, data.of_category(kinds.STRING), keyed=False)
+    texts = typed_cells(data, data.of_category(kinds.STRING) if texts is None else texts, keyed=False)
     branches = []
     slots = [f"v{i}" for i in range(len(plain))]
     if plain:

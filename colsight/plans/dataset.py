@@ -1,91 +1,35 @@
-"""Profiles of many tables: one combined plan, or one isolated job per table."""
+"""Profiles of many tables, in which a broken table loses only itself."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colsight.config import ProfileConfig
-from colsight.functions.rows import constant_rows
-from colsight.operators import sampling
-from colsight.operators.cells import union_all
 from colsight.plans.column_profile import column_profile
-from colsight.sources.readers import FileSource, read_all
-from colsight.sources.staging import columnar
+from colsight.plans.files import file_profile
+from colsight.plans.run import profile_run
+from colsight.plans.tables import table_profile
 
+__all__ = ["file_profile", "isolated_profile", "table_profile", "write_each"]
 logger = logging.getLogger(__name__)
 
 
-def table_profile(tables: Mapping[str, DataFrame], config: ProfileConfig | None = None) -> DataFrame:
-    """Column profile with the parts the configuration asks for: statistics and sample values.
-
-    Parts that are switched off are NULL.
-    """
-    config = config or ProfileConfig()
-    if config.include_column_stats:
-        profile = column_profile(tables, config)
-    else:
-        columns = [
-            (table, i, f.name, f.dataType.simpleString())
-            for table, df in tables.items()
-            for i, f in enumerate(df.schema.fields, start=1)
-        ]
-        spark = next(iter(tables.values())).sparkSession
-        schema = "table_name string, ordinal int, column_name string, data_type string"
-        profile = constant_rows(spark, columns, schema)
-    if not config.include_sample_data:
-        return profile.withColumn("sample_values", F.lit(None).cast("array<string>"))
-    samples = union_all(
-        sampling.column_values(df, config.sample_size, config.sample_seed).withColumn("table_name", F.lit(table))
-        for table, df in tables.items()
-    )
-    keys = ["table_name", "ordinal", "column_name"]
-    return profile.join(samples.select(*keys, "sample_values"), keys, "left")
-
-
-def file_profile(spark: SparkSession, sources: Sequence[FileSource], config: ProfileConfig | None = None) -> DataFrame:
-    """Column profile of file sources, one table per path; unreadable paths are skipped.
-
-    A table that fails while it is read keeps its columns, without statistics.
-    """
-    tables = read_all(spark, sources, stage=True)
-    return isolated_profile({name: lambda df=df: df for name, df in tables.items()}, config).drop("failed")
-
-
 def isolated_profile(readers: Mapping[str, Callable[[], DataFrame]], config: ProfileConfig | None = None) -> DataFrame:
     """Profile of every table, written once; what fails loses only its own statistics.
 
-    All tables run as one job. If it fails, each runs as its own, and one that fails again keeps its columns, with NULL
+    Tables of a job that fails run again, each as its own; one that fails again keeps its columns, with NULL
     statistics and ``failed`` set. A table that cannot be planned has no known columns and is one such row.
     """
-    tables, failed = {}, []
-    for name, reader in readers.items():
-        try:
-            tables[name] = reader()
-        except Exception as error:  # a broken table must not lose the others
-            logger.warning("no statistics for %s: %s", name, str(error).splitlines()[0])
-            failed.append(name)
-    if not tables:
+    config = replace(config or ProfileConfig(), include_sample_data=False, include_schemas=None, exclude_schemas=())
+    run = profile_run(SparkSession.active(), {("", name): read for name, read in readers.items()}, config)
+    if run.where("column_name is not null").isEmpty():
         raise RuntimeError("none of the tables could be read")
-    rows: list[tuple] = [(name, None, None, None, True) for name in failed]
-    done: list[DataFrame] = []
-    try:
-        done.append(columnar(column_profile(tables, config)))
-    except Exception:  # at least one table cannot be read to its end
-        for name, df in tables.items():
-            try:
-                done.append(columnar(column_profile({name: df}, config)))
-            except Exception as error:
-                logger.warning("no statistics for %s: %s", name, str(error).splitlines()[0])
-                rows += [(name, at, f.name, f.dataType.simpleString(), True) for at, f in enumerate(df.schema, start=1)]
-    spark = next(iter(tables.values())).sparkSession
-    lost = constant_rows(spark, rows, "table_name string, ordinal int, column_name string, data_type string, failed boolean")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*[d.withColumn("failed", F.lit(False)) for d in done], lost])
+    return run.drop("schema_name", "sample_values", "reason")
 
 
 def write_each(

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsight.functions.rows import table_key
 from colsight.plans.column_profile import column_statistics
+from colsight.sources.staging import columnar
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -51,16 +53,22 @@ def table_structs(
     """One row per table: ``(schema_name, table_name, table)`` with its columns in order.
 
     ``parts`` holds one row per ``table_name`` with any of :data:`TABLE_PARTS`, ``column_parts`` one
-    row per ``table_name, column_name`` with any of :data:`COLUMN_PARTS`.
+    row per ``table_name, column_name`` with any of :data:`COLUMN_PARTS`. A profile of several schemas carries
+    ``schema_name``; it then replaces the argument, and frames that carry it too are matched by both names.
     """
+    if "schema_name" not in profile.columns:
+        profile = profile.withColumn("schema_name", F.lit(schema_name))
+    key = ["schema_name", "table_name"]
     statistics = column_statistics(profile)
-    samples = profile.select("table_name", "ordinal", "sample_values") if "sample_values" in profile.columns else None
-    if samples is not None:
-        statistics = statistics.join(samples, ["table_name", "ordinal"])
+    if "sample_values" in profile.columns:
+        # Null-safe: a table that could not be planned has one row without a column.
+        samples = profile.select(*[F.col(c).alias(f"_{c}") for c in (*key, "ordinal")], "sample_values")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "ordinal")]
+        statistics = statistics.join(samples, same).drop(*[f"_{c}" for c in (*key, "ordinal")])
     else:
         statistics = statistics.withColumn("sample_values", F.lit(None).cast("array<string>"))
     if column_parts is not None:
-        statistics = statistics.join(column_parts, ["table_name", "column_name"], "left")
+        statistics = statistics.join(column_parts, table_key(statistics, column_parts, column=True), "left")
     field = F.struct(
         F.col("ordinal").alias("ordinal_position"),
         F.col("column_name").alias("name"),
@@ -70,13 +78,14 @@ def table_structs(
         "statistics",
     )
     # A table's columns, not its rows, are gathered here.
-    tables = statistics.groupBy("table_name").agg(F.array_sort(F.collect_list(field)).alias("columns"))
+    listed = F.collect_list(F.when(F.col("column_name").isNotNull(), field))
+    tables = statistics.groupBy(*key).agg(F.array_sort(listed).alias("columns"))
     if parts is not None:
-        tables = tables.join(parts, "table_name", "left")
+        tables = tables.join(parts, table_key(tables, parts), "left")
     table = F.struct(
-        F.col("table_name").alias("name"), F.lit(schema_name).alias("schema"), *_fields(tables, TABLE_PARTS), "columns"
+        F.col("table_name").alias("name"), F.col("schema_name").alias("schema"), *_fields(tables, TABLE_PARTS), "columns"
     )
-    return tables.select(F.lit(schema_name).alias("schema_name"), "table_name", table.alias("table"))
+    return tables.select(*key, table.alias("table"))
 
 
 def table_documents(tables: DataFrame) -> DataFrame:
@@ -84,6 +93,18 @@ def table_documents(tables: DataFrame) -> DataFrame:
     return tables.select("schema_name", "table_name", F.to_json("table", _KEEP_NULLS).alias("document"))
 
 
+def write_report(tables: DataFrame, path: str) -> None:
+    """The documents of a report as JSON lines under ``documents``, one per table, and a list of them under ``manifest``.
+
+    The way to store a profile of any number of tables: no row holds more than one table. The manifest has
+    ``schema_name, table_name, row_count, columns, characters``.
+    """
+    documents = columnar(tables.select("schema_name", "table_name", "table.row_count", F.size("table.columns").alias("columns"), F.to_json("table", _KEEP_NULLS).alias("document")))
+    documents.select("document").write.text(f"{path}/documents")
+    listed = documents.select("schema_name", "table_name", "row_count", "columns", F.length("document").alias("characters"))
+    listed.write.parquet(f"{path}/manifest")
+
+
 def response_document(
     tables: DataFrame,
     database: Mapping[str, str | int | None],

@@ -20,7 +20,7 @@ JSON_ENDINGS = (".json", ".jsonl", ".ndjson")
 NAME_ENDINGS = (".csv", ".parquet", ".parq", ".json", ".jsonl", ".ndjson", ".gz", ".zst", ".bz2", ".lz4")
 UNNAMED = "s3_file"
 
-_SEPARATORS = (",", "\t", ";", "|")
+SEPARATORS = (",", "\t", ";", "|")
 
 
 @dataclass(frozen=True)
@@ -95,10 +95,10 @@ def _first_lines(spark: SparkSession, files: str | list[str]) -> DataFrame:
     return lines.groupBy("file").agg(F.min_by("value", "place").alias("first"))
 
 
-def _separators(line: str | Column) -> list[Column]:
+def separator_counts(line: str | Column) -> list[Column]:
     """How often each candidate occurs outside quotes."""
     bare = F.regexp_replace(line, '"[^"]*"', "")
-    return [(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"n{at}") for at, s in enumerate(_SEPARATORS)]
+    return [(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"n{at}") for at, s in enumerate(SEPARATORS)]
 
 
 def sniff_separator(spark: SparkSession, files: str | list[str]) -> str:
@@ -107,16 +107,16 @@ def sniff_separator(spark: SparkSession, files: str | list[str]) -> str:
     Of several, the one that splits the most lines of all files in the same way as the first lines; more fields
     win a tie. A source whose first lines hold no candidate has one column; one whose first lines disagree is refused.
     """
-    counts = _first_lines(spark, files).select(*_separators("first"))
+    counts = _first_lines(spark, files).select(*separator_counts("first"))
     ends = counts.agg(*[F.struct(F.min(c), F.max(c)) for c in counts.columns]).first()
     if not any(high for _, high in ends):
-        return _SEPARATORS[0]
+        return SEPARATORS[0]
     fields = {at: low for at, (low, high) in enumerate(ends) if low == high and low}
     if not fields:
         raise ValueError(f"no separator splits the first lines of {files} evenly; give delimiter")
-    lines = spark.read.text(files).select(*_separators("value"))
+    lines = spark.read.text(files).select(*separator_counts("value"))
     agreeing = lines.agg(*[F.count_if(F.col(f"n{at}") == n) for at, n in fields.items()]).first()
-    return _SEPARATORS[max(zip(agreeing, fields.values(), [-at for at in fields], fields, strict=True))[3]]
+    return SEPARATORS[max(zip(agreeing, fields.values(), [-at for at in fields], fields, strict=True))[3]]
 
 
 def json_layouts(spark: SparkSession, files: str | list[str]) -> dict[str, bool]:

@@ -18,6 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/colsight-{uuid.uuid4().hex}"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The size of a frame by the optimizer's estimate; nothing is read for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def columnar(df: DataFrame) -> DataFrame:
     """A Parquet copy in the shared folder: of a CSV, JSON or JDBC source, or of a result used often.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsight.operators import catalog, overview
+from colsight.operators.cells import union_all
+from colsight.sources import provider
+from colsight.sources.staging import columnar, shared_folder
 from suite.derived import ctes, derived
 from suite.profiles import SCHEMAS
 from suite.tables import NAMES, load
@@ -195,10 +200,49 @@ def ovr_no_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.schema_counts(schemata, objects)
 
 
+def cat_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables and a view saved in Spark's catalog: columns with comments, row estimates and view texts, as the catalog gives them."""
+    name = f"colsight_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_folder(spark)}'")
+    try:
+        for table in ("orders", "nation"):
+            load(spark, sf_dir, table).write.saveAsTable(f"{name}.{table}")
+        spark.sql(f"ALTER TABLE {name}.orders ALTER COLUMN o_custkey COMMENT 'who ordered'")
+        spark.sql(f"COMMENT ON TABLE {name}.orders IS 'all orders'")
+        spark.sql(f"CREATE VIEW {name}.finished AS SELECT o_orderkey, o_totalprice FROM {name}.orders WHERE o_orderstatus = 'F'")
+        spark.sql(f"ANALYZE TABLE {name}.orders COMPUTE STATISTICS")
+        found = provider.spark_catalog(spark, [name])
+        tables, columns, views = (columnar(found[part]) for part in ("tables", "columns", "views"))
+        base = tables.where("table_type = 'BASE TABLE'")
+        guessed = catalog.needs_exact_count(base).collect()  # tables without an estimate
+        exact = [spark.table(f"{name}.{r.table_name}").agg(F.count("*").alias("exact_count")).select(F.lit(name).alias("table_schema"), F.lit(r.table_name).alias("table_name"), "exact_count") for r in guessed]
+        counts = columnar(catalog.row_counts(base, union_all(exact)))
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    key = ["table_schema", "table_name"]
+    known = catalog.columns(columns, columns.where("1 = 0").select(*key, "column_name")).join(counts, key, "left").join(views.select(*key, "definition"), key, "left")
+    about = tables.select(*key, "table_type", F.col("description").alias("about"), (F.col("data_length") > 0).alias("has_size"), F.col("created").isNotNull().alias("has_time"))
+    plain = F.regexp_replace("definition", name, "live").alias("definition")
+    return known.join(about, key).select(
+        "table_name", "column_name", "ordinal_position", "data_type", "is_nullable", "description", "is_primary_key", "row_count", "table_type", "about", "has_size", "has_time", plain
+    )
+
+
+def cat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived catalog exported as CSV, JSON and Parquet, read back by the names of its parts, and its columns with their keys."""
+    path = shared_folder(spark)
+    columns, constraints, usage = _frames(spark, sf_dir, "columns", "constraints", "key_usage")
+    columns.drop("l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_quantity").write.option("quoteAll", True).option("escape", '"').csv(f"{path}/columns.csv", header=True)
+    constraints.write.json(f"{path}/constraints.json")
+    usage.write.parquet(f"{path}/key_usage.parquet")
+    found = provider.export_folder(spark, path)
+    return catalog.columns(found["columns"], catalog.primary_keys(found["constraints"], found["key_usage"]))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        cat_database, cat_schemas, cat_tables, cat_columns, cat_column_comments, cat_primary_keys, cat_foreign_keys,
+        cat_live, cat_export, cat_database, cat_schemas, cat_tables, cat_columns, cat_column_comments, cat_primary_keys, cat_foreign_keys,
         cat_indexes, cat_views, cat_enum_values, cat_check_values, cat_freshness, cat_row_count, cat_file_columns,
         cat_schema_owner, ovr_schema_counts, ovr_totals, ovr_distinct_counts, ovr_view_by_type, ovr_no_index,
     )
@@ -233,6 +277,10 @@ ORACLE = {
         from d_tables t join d_owners using (owner_id) left join (select table_id, count(*) as n from d_blocks group by table_id) b on b.table_id = t.table_id
         where table_type = 'BASE TABLE'""",
     "cat_columns": ctes("columns", "constraints", "key_usage")
+    + f"""select {_T}, column_name, ordinal_position, data_type, is_nullable = 'YES' as is_nullable, column_default, character_maximum_length,
+        numeric_precision, numeric_scale, description, exists (select 1 from d_key_usage k join d_constraints t using (constraint_name)
+        where t.constraint_type = 'PRIMARY KEY' and k.table_name = c.table_name and k.column_name = c.column_name) as is_primary_key from d_columns c""",
+    "cat_export": ctes("columns", "constraints", "key_usage")
     + f"""select {_T}, column_name, ordinal_position, data_type, is_nullable = 'YES' as is_nullable, column_default, character_maximum_length,
         numeric_precision, numeric_scale, description, exists (select 1 from d_key_usage k join d_constraints t using (constraint_name)
         where t.constraint_type = 'PRIMARY KEY' and k.table_name = c.table_name and k.column_name = c.column_name) as is_primary_key from d_columns c""",
@@ -241,12 +289,22 @@ ORACLE = {
         union all select {_T}, column_name, case when attribute_number % 2 = 0 then 'number ' || attribute_number end, 'number' from d_columns""",
     "cat_primary_keys": ctes("constraints", "key_usage")
     + f"select k.table_schema, k.table_name, column_name from d_key_usage k join d_constraints t using ({_T}, constraint_name) where constraint_type = 'PRIMARY KEY'",
-    "cat_foreign_keys": ctes("referential", "key_usage", "constraints")
-    + """select tc.table_schema, tc.table_name, rc.constraint_name, k.ordinal_position, k.column_name as from_column, p.table_schema as to_schema,
-        p.table_name as to_table, p.column_name as to_column, update_rule as on_update, delete_rule as on_delete
-        from d_referential rc join d_key_usage k on k.constraint_name = rc.constraint_name and k.table_schema = rc.constraint_schema
-        join d_key_usage p on p.constraint_name = rc.unique_constraint_name and p.ordinal_position = k.ordinal_position
-        join d_constraints tc on tc.constraint_name = rc.constraint_name and tc.table_schema = rc.constraint_schema""",
+    "cat_foreign_keys": ctes("referential", "key_usage", "constraints").rstrip()
+    + """,
+        r as materialized (select tc.table_schema, tc.table_name, rc.constraint_name, k.ordinal_position, k.column_name as from_column, update_rule, delete_rule,
+            concat_ws('#', rc.unique_constraint_schema, rc.unique_constraint_name, k.ordinal_position) as place
+            from d_referential rc join d_key_usage k on k.constraint_name = rc.constraint_name and k.table_schema = rc.constraint_schema
+            join d_constraints tc on tc.constraint_name = rc.constraint_name and tc.table_schema = rc.constraint_schema),
+        p as materialized (select *, concat_ws('#', table_schema, constraint_name, ordinal_position) as place from d_key_usage)
+        select r.table_schema, r.table_name, r.constraint_name, r.ordinal_position, from_column, p.table_schema as to_schema,
+        p.table_name as to_table, p.column_name as to_column, update_rule as on_update, delete_rule as on_delete from r join p using (place)""",
+    "cat_live": """select table_name, column_name, ordinal_position, data_type, true as is_nullable, case when column_name = 'o_custkey' and table_name = 'orders' then 'who ordered' end as description,
+        false as is_primary_key, case table_name when 'orders' then (select count(*) from orders) when 'nation' then (select count(*) from nation) end as row_count,
+        case table_name when 'finished' then 'VIEW' else 'BASE TABLE' end as table_type, case table_name when 'orders' then 'all orders' end as about,
+        table_name = 'orders' as has_size, true as has_time, case table_name when 'finished' then 'SELECT o_orderkey, o_totalprice FROM live.orders WHERE o_orderstatus = ' || chr(39) || 'F' || chr(39) end as definition
+        from (values ('orders', 'o_orderkey', 1, 'bigint'), ('orders', 'o_custkey', 2, 'bigint'), ('orders', 'o_orderstatus', 3, 'string'), ('orders', 'o_totalprice', 4, 'double'),
+        ('orders', 'o_orderdate', 5, 'timestamp_ntz'), ('orders', 'o_orderpriority', 6, 'string'), ('nation', 'n_nationkey', 1, 'int'), ('nation', 'n_name', 2, 'string'),
+        ('nation', 'n_regionkey', 3, 'int'), ('finished', 'o_orderkey', 1, 'bigint'), ('finished', 'o_totalprice', 2, 'double')) t(table_name, column_name, ordinal_position, data_type)""",
     "cat_indexes": ctes("statistics", "columns")
     + f"""select {_T}, index_name, bool_or(non_unique = 0) as is_unique, bool_or(index_name = 'PRIMARY') as is_primary, min(index_type) as index_type,
         string_agg(column_name, ',' order by seq_in_index) as columns from d_statistics group by {_T}, index_name

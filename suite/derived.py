@@ -45,10 +45,10 @@ DERIVED = {
         from ({_LINES}) where l_orderkey % 4 <> 0 and ord <= 1 + l_orderkey % 2
         union all select {_LINE_NAMES}, concat('fk_', cast(l_orderkey as varchar(20))), {_COLUMN_NAME}, ord - 1
         from ({_LINES}) where l_orderkey % 3 = 0 and ord in (2, 3)""",
-    "referential": """select concat('schema_', cast(o_custkey as varchar(20))) as constraint_schema, concat('fk_', cast(o_orderkey as varchar(20))) as constraint_name,
-        concat('pk_', cast(o_orderkey - o_orderkey % 4 + 1 as varchar(20))) as unique_constraint_name,
-        case when o_orderstatus = 'F' then 'CASCADE' else 'NO ACTION' end as update_rule, case when o_orderpriority = '5-LOW' then 'SET NULL' else 'NO ACTION' end as delete_rule
-        from {orders} where o_orderkey % 3 = 0""",
+    "referential": """select concat('schema_', cast(c.o_custkey as varchar(20))) as constraint_schema, concat('fk_', cast(c.o_orderkey as varchar(20))) as constraint_name,
+        concat('schema_', cast(p.o_custkey as varchar(20))) as unique_constraint_schema, concat('pk_', cast(c.o_orderkey - c.o_orderkey % 4 + 1 as varchar(20))) as unique_constraint_name,
+        case when c.o_orderstatus = 'F' then 'CASCADE' else 'NO ACTION' end as update_rule, case when c.o_orderpriority = '5-LOW' then 'SET NULL' else 'NO ACTION' end as delete_rule
+        from {orders} c left join {orders} p on p.o_orderkey = c.o_orderkey - c.o_orderkey % 4 + 1 where c.o_orderkey % 3 = 0""",
     "statistics": f"""select {_LINE_NAMES}, case when l_returnflag = 'N' then 'PRIMARY' else concat('ix_', lower(l_returnflag)) end as index_name,
         case when l_returnflag = 'A' then 1 else 0 end as non_unique, case when l_orderkey % 2 = 0 then 'BTREE' else 'HASH' end as index_type,
         cast(row_number() over (partition by l_orderkey, l_returnflag order by ord desc) as int) as seq_in_index, {_COLUMN_NAME} as column_name

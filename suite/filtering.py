@@ -11,7 +11,9 @@ from colsight.operators import catalog, filters, summary, topvalues
 from colsight.operators.cells import Dataset, column_frame, frequencies
 from colsight.operators.distinct import distinct_counts
 from colsight.plans import detect, document
-from colsight.plans.report import table_report
+from colsight.plans.report import CatalogFrames, run_report
+from colsight.plans.run import union_readers
+from colsight.sources.staging import columnar, shared_folder
 from suite.derived import ctes, derived
 from suite.tables import load
 
@@ -241,15 +243,35 @@ def fd_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fd_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = candidates(spark, sf_dir)
+    scored = columnar(candidates(spark, sf_dir))  # one row per column, read twice
     return filters.filter_columns(scored, judgments(scored))
 
 
 def prf_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole nested document of all views: statistics, samples, roles, filter columns and sensitivity."""
-    structs = table_report(views(spark, sf_dir), _keys(spark), _relationships(spark), _indexes(spark), schema_name="main")
-    database = {"name": "files", "version": "", "encoding": "UTF-8", "size_bytes": 0}
-    return document.response_document(structs, database, profiled_at=F.lit(None).cast("timestamp"))
+    """The documents of all views, written one per table with their manifest, read back and taken apart by column."""
+    path = shared_folder(spark)
+    document.write_report(report_structs(spark, sf_dir), path)
+    documents, manifest = spark.read.json(f"{path}/documents"), spark.read.parquet(f"{path}/manifest")
+    listed = F.array_join(F.transform("filter_columns", lambda f: F.concat_ws(":", f["column_name"], f["confidence"].cast("string"))), ",")
+    tables = documents.select(
+        F.col("schema").alias("schema_name"), F.col("name").alias("table_name"), "row_count", "table_role", listed.alias("filter_columns"), F.explode("columns").alias("c")
+    )
+    rows = tables.join(manifest.select("schema_name", "table_name", F.col("columns").alias("listed_columns")), ["schema_name", "table_name"])
+    s = "c.statistics."
+    return rows.select(
+        "schema_name", "table_name", F.col("c.name").alias("column_name"), F.col("c.ordinal_position").alias("ordinal"), "c.data_type", "row_count", "table_role",
+        "filter_columns", "listed_columns", F.col("c.is_primary_key").alias("is_primary_key"), F.col("c.is_sensitive").alias("is_sensitive"),
+        F.size("c.sample_values").alias("samples"), *[F.col(s + f).alias(f) for f in ("total_count", "null_percentage", "distinct_count", "distinct_percentage")],
+        F.col(s + "numeric.max").alias("numeric_max"), F.col(s + "string.max_length").alias("max_length"), F.size(s + "top_values").alias("top_values"),
+    )
+
+
+def report_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = constant_rows(spark, CHECKS, "table_name string, column_name string")
+    estimates = constant_rows(spark, ESTIMATES, "schema_name string, table_name string, row_count bigint")
+    catalog_frames = CatalogFrames(_keys(spark), _relationships(spark), _indexes(spark), checks, estimates)
+    readers = union_readers(("main", views(spark, sf_dir)))
+    return run_report(spark, readers, catalog_frames, ProfileConfig(columns_per_job=10, max_concurrent_tables=2))
 
 
 QUERIES = {
@@ -264,6 +286,8 @@ QUERIES = {
 
 # ── SQL ───────────────────────────────────────────────────────────────────────
 
+# The weights, thresholds and patterns below are fixed values of the scoring rules, as in colsight.operators.filters.
+
 
 def _measured_sql() -> str:
     """One row per column: counts, and the top values as a list."""
@@ -372,7 +396,30 @@ _SIGNAL_CTES = ctes("columns", "constraints", "key_usage", "referential", "stati
     t as (select table_schema || '.' || table_name as fk_referenced_table, case when table_id % 2 <> 0 then data_length when row_estimate > 0 then row_estimate end as fk_referenced_rows from d_tables)
 """
 
+
+
+def _shape_sql() -> str:
+    """Greatest number, longest text and number of top values of each column."""
+    parts = []
+    for table, columns in COLUMNS.items():
+        for name, (sql, kind) in columns.items():
+            most = f"max(({sql}))::double" if kind in ("int", "bigint", "double") else "max(null::double)"
+            longest = f"max(length(({sql})))" if kind == "string" else "max(null::bigint)"
+            parts.append(f"select '{table}' as table_name, '{name}' as column_name, {most} as numeric_max, {longest} as max_length from {table}")
+    return " union all ".join(parts)
+
+
 ORACLE = {
+    "prf_document": _CTE
+    + f""", x as ({_shape_sql()}), w as (select table_name, any_value(row_count) as n, count(*) filter (data_type in ('int', 'bigint', 'double')) as numbers,
+        count(*) filter (data_type = 'string') as texts, count(fk) as links, count(*) as listed_columns from s group by table_name),
+        o as (select table_name, string_agg(column_name || ':' || composite, ',' order by composite desc, triage <> 'accept', ordinal) as filter_columns
+            from s where triage = 'accept' or (triage = 'review' and composite >= 0.50) group by table_name)
+        select 'main' as schema_name, s.table_name, s.column_name, ordinal, data_type, row_count, filter_columns, listed_columns, pk as is_primary_key, false as is_sensitive,
+        case when n > 10000 and links >= 2 and numbers >= 2 then 'fact' when n < 5000 and links = 0 and texts >= 2 then 'dimension' else 'unknown' end as table_role,
+        least(row_count, 10) as samples, row_count as total_count, null_percentage, distinct_count, round(distinct_count * 100.0::double / row_count, 2) as distinct_percentage,
+        numeric_max, max_length, len(top) as top_values
+        from s join x using (table_name, column_name) join w using (table_name) left join o using (table_name)""",
     "fd_schema_signals": _SIGNAL_CTES
     + "select *, pk_column_count > 1 as is_composite_pk_member, fk_referenced_table is not null as is_foreign_key from g",
     "fd_fk_ref_rows": _SIGNAL_CTES

@@ -11,8 +11,9 @@ from colsight.config import ProfileConfig
 from colsight.operators import sampling
 from colsight.plans import document
 from colsight.plans.column_profile import column_profile
-from colsight.plans.dataset import file_profile, table_profile
-from colsight.sources import readers, sinks
+from colsight.plans.files import file_profile, file_run
+from colsight.plans.tables import table_profile
+from colsight.sources import readers, records, sinks
 from colsight.sources.readers import FileSource
 from colsight.sources.staging import columnar, shared_folder
 from suite.statistics import flat_profile
@@ -76,12 +77,74 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One glob over a folder of line files and a folder whose file is an array."""
+    """One glob over a folder of line files and a folder of array files, each with up to 200 suppliers."""
     path, suppliers = shared_folder(spark), load(spark, sf_dir, "supplier")
     suppliers.where("s_suppkey % 2 = 0").write.json(f"{path}/lines")
-    array = suppliers.where("s_suppkey % 2 = 1").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-    array.write.text(f"{path}/array")
-    return readers.read(spark, FileSource(f"{path}/*/part-*", file_format="json"))
+    grouped = suppliers.where("s_suppkey % 2 = 1").groupBy(F.floor(F.col("s_suppkey") / 400).alias("part"))
+    arrays = grouped.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    arrays.write.partitionBy("part").text(f"{path}/arrays")
+    return readers.read(spark, FileSource(f"{path}/**/part-*", file_format="json"))
+
+
+def _large_file(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as one CSV file, with line breaks and quotes inside fields."""
+    path = shared_folder(spark)
+    written = load(spark, sf_dir, "documents").coalesce(1).write.option("escape", '"').option("quoteAll", True)
+    written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="|", header=True)
+    return path
+
+
+def src_csv_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One large file, read once by several tasks: records are joined from lines, separator and types found on the copy."""
+    path, most = _large_file(spark, sf_dir), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 18)  # so that a small file is spread as a large one would be
+    try:
+        found = records.read_records(spark, FileSource(path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    return found.rows.unionByName(found.rejected.selectExpr("line as doc_id", "reason as text", "file as lang"), allowMissingColumns=True)
+
+
+def src_json_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pretty-printed arrays and line files, each read once; every 50th supplier is cut short and comes back as a rejected line."""
+    path, suppliers = shared_folder(spark), load(spark, sf_dir, "supplier")
+    text = F.to_json(F.struct("*"))
+    broken = F.when(F.col("s_suppkey") % 50 == 0, F.substring(text, 1, 20)).otherwise(text)
+    suppliers.where("s_suppkey % 2 = 0").select(broken.alias("value")).write.text(f"{path}/lines")
+    grouped = suppliers.where("s_suppkey % 2 = 1").groupBy(F.floor(F.col("s_suppkey") / 400).alias("part"))
+    pretty = F.concat(F.lit("[\n  "), F.array_join(F.collect_list(F.regexp_replace(text, ",", ",\n    ")), ",\n  "), F.lit("\n]\n"))
+    grouped.agg(pretty.alias("value")).write.partitionBy("part").text(f"{path}/arrays")
+    found = records.read_records(spark, FileSource(f"{path}/**/part-*", file_format="json"))
+    lost = found.rejected.select(F.regexp_extract("record", r'"s_suppkey":(\d+)', 1).cast("bigint").alias("s_suppkey"), F.col("reason").alias("s_name"))
+    return found.rows.unionByName(lost, allowMissingColumns=True)
+
+
+def _cut_short(spark: SparkSession, folder: str) -> None:
+    """Half of the first Parquet file of a folder, as another file beside it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = min((s for s in system.listStatus(path) if s.getPath().getName().endswith(".parquet")), key=lambda s: s.getPath().getName())
+    jvm = spark.sparkContext._jvm
+    half = jvm.org.apache.commons.io.input.BoundedInputStream(system.open(first.getPath()), first.getLen() // 2)
+    written = system.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-99999-cut.parquet"))
+    jvm.org.apache.commons.io.IOUtils.copy(half, written)
+    written.close()
+
+
+def src_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A truncated Parquet file, a CSV line with too many fields and broken JSON lines beside good ones: what is listed, and what is profiled."""
+    path, suppliers = shared_folder(spark), load(spark, sf_dir, "supplier")
+    load(spark, sf_dir, "events").write.parquet(f"{path}/events.parquet")
+    _cut_short(spark, f"{path}/events.parquet")
+    text = F.to_json(F.struct("*"))
+    suppliers.select(F.when(F.col("s_suppkey") % 50 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")).write.text(f"{path}/supplier.jsonl")
+    line = F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", F.when(F.col("n_nationkey") == 7, "too many"))
+    lines = load(spark, sf_dir, "nation").select(line.alias("value")).unionAll(spark.sql("select 'n_nationkey,n_name,n_regionkey'"))
+    lines.coalesce(1).sortWithinPartitions(~F.col("value").startswith("n_"), "value").write.text(f"{path}/nation.csv")
+    run = file_run(spark, [FileSource(f"{path}/{name}") for name in ("events.parquet", "supplier.jsonl", "nation.csv", "no_such_file.parquet")])
+    lost = run.rejected.groupBy("table_name", "reason").agg(F.count("*").alias("total_count"), F.countDistinct("line").alias("distinct_count"))
+    profiled = run.profile.select("table_name", "column_name", "total_count", "distinct_count", F.when(F.col("failed"), "cannot be read").alias("reason"))
+    return profiled.unionByName(lost, allowMissingColumns=True)
 
 
 def src_auto_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +181,9 @@ def src_table_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_isolated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A missing path is skipped; the others are profiled."""
+    """A missing path is skipped; the others are profiled, with all their statistics."""
     sources = [FileSource(f"{sf_dir}/{name}.parquet") for name in ("nation", "no_such_table", "supplier")]
-    profile = file_profile(spark, sources)
-    return profile.select("table_name", "column_name", "total_count", "distinct_count")
+    return flat_profile(file_profile(spark, sources))
 
 
 def src_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +256,19 @@ def prf_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Parquet and a CSV source profiled together."""
+    """A Parquet and a CSV source profiled together, with the bucket of a path as schema and the path as description."""
     sources = [FileSource(f"{sf_dir}/events.parquet"), FileSource(_as_csv(spark, sf_dir, "customer"), name="customer")]
-    return flat_profile(file_profile(spark, sources))
+    run = file_run(spark, sources, ProfileConfig(include_sample_data=False))
+    ending = F.regexp_extract("description", r"[^/]+$", 0).alias("description")
+    described = run.profile.join(run.tables.select("schema_name", "table_name", ending), ["schema_name", "table_name"])
+    return flat_profile(described.drop("sample_values", "failed", "reason"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        src_parquet, src_csv, src_json, src_auto_format, src_multi_path, src_table_name, src_isolated_paths,
-        src_probe, snk_profile_json, smp_random, smp_reservoir, smp_column_values, smp_json_safe,
+        src_parquet, src_csv, src_csv_one_pass, src_json, src_json_one_pass, src_quarantine, src_auto_format, src_multi_path,
+        src_table_name, src_isolated_paths, src_probe, snk_profile_json, smp_random, smp_reservoir, smp_column_values, smp_json_safe,
         prf_table, prf_dataset, prf_files,
     )
 }
@@ -288,6 +353,19 @@ ORACLE = {
         (3, 'o_orderstatus'), (4, 'o_totalprice'), (5, 'o_orderdate'), (6, 'o_orderpriority')) t(ordinal, column_name)
         where (select count(*) from orders) >= 10""",
     "src_json": "select * from supplier",
+    "src_csv_one_pass": "select * from documents",
+    "src_json_one_pass": """select case when s_suppkey % 50 = 0 then null else s_acctbal end as s_acctbal, case when s_suppkey % 50 = 0 then 'not valid JSON' else s_name end as s_name,
+        case when s_suppkey % 50 = 0 then null else s_nationkey end as s_nationkey, s_suppkey from supplier""",
+    "src_quarantine": "with s as (select * from supplier where s_suppkey % 50 <> 0), n as (select * from nation where n_nationkey <> 7)\n"
+    + " union all ".join(
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as total_count, count(distinct {c}) as distinct_count, null::varchar as reason from {view}"
+        for t, view in (("events", "events"), ("supplier", "s"), ("nation", "n"))
+        for c in SCHEMAS[t]
+    )
+    + """ union all select 'supplier', null, count(*), count(*), 'not valid JSON' from supplier where s_suppkey % 50 = 0 having count(*) > 0
+        union all select 'nation', null, count(*), count(*), 'not the fields that the header names' from nation where n_nationkey = 7
+        union all select 'events', null, 1, 0, 'no valid footer' from (select 1 from events limit 1)
+        union all select 'no_such_file', null, null, null, 'cannot be read'""",
     "src_probe": """select 1 as rows, place, column_name, data_type from (values (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'),
         (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string'))
         t(place, column_name, data_type) where exists (select * from orders)""",
@@ -297,7 +375,7 @@ ORACLE = {
         for name, table in {"orders": "orders", "lineitem": "lineitem", "custom": "customer", "nested": "events where event_id % 3 < 2"}.items()
     ),
     "src_table_name": _table_name_sql(),
-    "src_isolated_paths": _counts_sql("nation", "supplier"),
+    "src_isolated_paths": _profile_sql(("nation", "supplier")),
     "snk_profile_json": _counts_sql("orders", "customer"),
     "smp_json_safe": """select event_id::varchar as event_id,
         strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end as ts,
@@ -305,5 +383,6 @@ ORACLE = {
         round(value, 1)::decimal(12,1)::double::varchar as price, '[' || user_id || ',' || event_id || ']' as pair from events""",
     "prf_table": _profile_sql(("lineitem",)),
     "prf_dataset": _profile_sql(NAMES),
-    "prf_files": _profile_sql(("events", "customer")),
+    "prf_files": "select 'files' as schema_name, case table_name when 'events' then 'events.parquet' else 'customer.csv' end as description, *"
+    f" from ({_profile_sql(('events', 'customer'))})",
 }

@@ -10,14 +10,14 @@ from colsight.functions import types as kinds
 from colsight.operators import summary, topvalues
 from colsight.operators.approx import approximate_percentiles
 from colsight.operators.cells import Dataset, column_frame, frequencies, numeric_frequencies
-from colsight.operators.distinct import distinct_counts
+from colsight.operators.distinct import distinct_counts, distinct_counts_of
 from colsight.operators.outliers import with_outlier_counts
-from colsight.operators.ranks import percentiles, upper_medians
+from colsight.operators.ranks import MEDIAN, PERCENTILES, percentiles, rank_intervals, upper_medians
 from colsight.plans.column_profile import column_profile, column_statistics
 from colsight.plans.dataset import isolated_profile
 from suite.tables import NAMES, gap_ctes, gap_views, load, per_column
 
-BUCKETS = 1024
+SKETCH = ProfileConfig().rank_sketch
 
 
 def named(data: Dataset, frame: DataFrame, *columns: str | F.Column) -> DataFrame:
@@ -54,8 +54,7 @@ def st_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
     scanned = summary.summaries(data, ProfileConfig(), ["total_count", "non_null_count"])
-    distinct = distinct_counts(frequencies(data, data.columns), spark)
-    counts = summary.common_counts(scanned, distinct)
+    counts = summary.common_counts(scanned, distinct_counts_of(data))
     return named(data, counts, "total_count", "null_count", "null_percentage", "distinct_count", "distinct_percentage")
 
 
@@ -90,7 +89,7 @@ def st_zero_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
-    return named(data, percentiles(numbers(data), BUCKETS), *[rounded(p) for p in ("p5", "p25", "median", "p75", "p95")])
+    return named(data, percentiles(numbers(data), rank_intervals(data, PERCENTILES, SKETCH)), *[rounded(p) for p in ("p5", "p25", "median", "p75", "p95")])
 
 
 def st_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +117,7 @@ def st_percentiles_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st_median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
-    return named(data, upper_medians(numbers(data), BUCKETS), "median")
+    return named(data, upper_medians(numbers(data), rank_intervals(data, MEDIAN, SKETCH)), "median")
 
 
 def st_pop_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +167,17 @@ def st_top_values_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
     frequency = frequencies(data, data.columns)
     gated = distinct_counts(frequency, spark).where(topvalues.passes_gate(data, config))
-    top = topvalues.top_values(topvalues.value_counts(data, frequency, gated), config.top_values_limit)
+    sketched = summary.summaries(data, config, ["approx_distinct"]).where("approx_distinct is not null").collect()  # one row per column
+    texts = topvalues.text_candidates(data, {r.cid: r.approx_distinct for r in sketched}, config)
+    top = topvalues.top_values(topvalues.value_counts(data, frequency, gated, texts), config.top_values_limit)
     return named(data, top, "rank", "value", "n")
 
 
 def st_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = views(spark, sf_dir)
     values = numbers(data)
-    return named(data, with_outlier_counts(values, percentiles(values, BUCKETS)), "outlier_count")
+    ranked = percentiles(values, rank_intervals(data, PERCENTILES, SKETCH))
+    return named(data, with_outlier_counts(values, ranked), "outlier_count")
 
 
 def flat_profile(profile: DataFrame) -> DataFrame:

@@ -6,13 +6,21 @@ dozens of columns. Model answers are assembled from the same rows.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsight.functions import text
 from colsight.operators import answers, filters, history, prompts, sensitivity
+from colsight.plans.answering import AnswerLedger, text_stage
+from colsight.sources.runstore import RunStore
+from colsight.sources.staging import shared_folder
 from suite.filtering import COLUMNS as MEASURED
 from suite.filtering import ORACLE as FILTERING
+from suite.filtering import _CTE as SCORED
 from suite.filtering import candidates, measured
 from suite.tables import load
 
@@ -328,6 +336,66 @@ def rh_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).select("id", seconds.alias("duration"))
 
 
+def rh_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a stored table after three changes, and how many buckets a fourth one, of a single run, has rewritten."""
+    store = RunStore.create(spark, shared_folder(spark), runs(spark, sf_dir).select("id", "status", "created_at", "error_code"), buckets=16)
+    added = load(spark, sf_dir, "customer").selectExpr("-1 - c_custkey as id", "'pending' as status", "cast(null as string) as error_code")
+    store.upsert(_changes(spark, sf_dir).where("id > 0").unionByName(added))
+    store.delete(load(spark, sf_dir, "lineitem").where("l_quantity > 25").selectExpr("l_orderkey as id"))
+    store.retain(720, _now())
+    before, version = store.files(), store.version()
+    store.upsert(spark.sql("select -2L as id, 'cancelled' as status"))
+    after = store.files()
+    rewritten = sum(before.get(b) != after.get(b) for b in before.keys() | after.keys())
+    known = store.read().select("id", "status", F.col("created_at").cast("string").alias("created_at"), "error_code")
+    return known.withColumns({"version": F.lit(version), "rewritten": F.lit(rewritten)})
+
+
+# ── The whole text stage ──────────────────────────────────────────────────────
+
+
+def model(questions: pd.Series) -> pd.Series:
+    """A deterministic stand-in for a model: answers that follow from the text of the question."""
+
+    def answer(prompt: str) -> str:
+        table = re.search(r"^Table: (.*)$", prompt, re.M)
+        if prompt.startswith("Write one to three"):
+            return f"all about {table[1]}"
+        if prompt.startswith("Write one or two"):
+            return f"one of {table[1]}: " + re.search(r"^Column:\n  - (\S+)", prompt, re.M)[1]
+        if prompt.startswith("Name up to"):
+            return json.dumps({"terms": [{"business_term": f"term of {table[1]}", "description": "d", "synonyms": ["s"]}]})
+        if prompt.startswith("Sort these"):
+            return json.dumps({"domains": [{"domain": "everything", "tables": re.findall(r"^  - (.*)$", prompt, re.M)}]})
+        if prompt.startswith("Propose"):
+            named = prompt.partition("may only name these columns:\n")[2]
+            first = re.search(r"^  - (.*)$", named, re.M)[1]
+            return json.dumps({"kpis": [{"name": "first", "description": "d", "calculation": "count", "linked_columns": [first, "no.column"]}]})
+        if prompt.startswith("Judge"):
+            judged = re.findall(r'"column_name":"([^"]*)"', prompt)
+            return json.dumps({"columns": [{"column_name": c, "filter_name": f"by {c}", "llm_confidence": 0.91237, "llm_filter_type": "range", "reasoning": "because"} for c in judged]})
+        asked = re.findall(r'^\[?\{"name":"([^"]*)"', prompt, re.M)
+        return json.dumps({"columns": [{"column_name": c, "is_sensitive": c.endswith("1"), "sensitivity_type": "email"} for c in asked]})
+
+    return questions.map(answer)
+
+
+def aug_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer of the text stage merged into its place, from tables to descriptions, glossary, sensitivity, KPIs and judgments."""
+    tables = wide_tables(spark, sf_dir).withColumn("row_count", F.col("row_count").cast("bigint"))
+    scored = candidates(spark, sf_dir, top=True)
+    roles = scored.select("table_name").distinct().withColumn("table_role", F.lit("unknown"))
+    ledger = AnswerLedger(spark, shared_folder(spark), model, 100_000)
+    done = text_stage(ledger, tables, wide_columns(spark, sf_dir), scored, roles, domain_split="part")
+    none = F.lit(None).cast("string")
+    described = done.tables.select(F.lit("table").alias("kind"), "table_name", none.alias("name"), F.col("table_description").alias("value"))
+    terms = done.tables.select(F.lit("glossary").alias("kind"), "table_name", none.alias("name"), F.col("glossary")[0]["business_term"].alias("value"))
+    columns = done.columns.select(F.lit("column").alias("kind"), "table_name", F.col("column_name").alias("name"), F.concat_ws("|", "description", "sensitivity_type").alias("value"))
+    kpis = done.kpis.select(F.lit("kpi").alias("kind"), F.col("domain").alias("table_name"), "name", F.array_join("linked_columns", ",").alias("value"))
+    chosen = done.filters.select(F.lit("filter").alias("kind"), "table_name", F.col("filter_name").alias("name"), F.concat_ws("|", "confidence_source", F.col("confidence").cast("string")).alias("value"))
+    return described.unionAll(terms).unionAll(columns).unionAll(kpis).unionAll(chosen)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -335,7 +403,7 @@ QUERIES = {
         aug_column_summary, aug_table_prompt, aug_column_prompt, aug_glossary_prompt, aug_kpi_cluster_prompt,
         aug_kpi_prompt, aug_filter_judge_prompt, aug_extract_json, aug_parse_glossary, aug_parse_judgments,
         aug_parse_domains, aug_kpi_map_reduce, aug_valid_columns, aug_apply, aug_usage, rh_page, rh_count, rh_exists,
-        rh_upsert, rh_update_count, rh_delete, rh_running, rh_retention, rh_mark_stale, rh_duration,
+        rh_upsert, rh_update_count, rh_delete, rh_running, rh_retention, rh_mark_stale, rh_duration, rh_store, aug_stage,
     )
 }
 
@@ -351,7 +419,7 @@ _ABOUT = "case when coalesce(table_description, '') = '' then '(none)' else tabl
 
 
 def _more(count: str, limit: int, note: str) -> str:
-    return f"case when {count} > {limit} then chr(10) || '  ... and ' || ({count} - {limit}) || '{note}' else '' end"
+    return f"case when {count} > {limit} then chr(10) || '  (not shown: ' || ({count} - {limit}) || '{note})' else '' end"
 
 
 def _block(limit: int, note: str) -> str:
@@ -420,26 +488,26 @@ ORACLE = {
     "aug_table_prompt": _W
     + f""" select table_name, 'Write one to three sentences on what this table means to the business. Plain text only.' || chr(10) || chr(10) || 'Table: ' || table_name
         || chr(10) || 'Description: ' || {_ABOUT} || chr(10) || 'Rows: ' || coalesce(row_count::varchar, 'unknown') || chr(10) || 'Columns:' || chr(10)
-        || {_block(20, ' more columns (omitted for brevity)')} || chr(10) as prompt from t where exists (select 1 from w where w.table_name = t.table_name)""",
+        || {_block(20, ' further columns')} || chr(10) as prompt from t where exists (select 1 from w where w.table_name = t.table_name)""",
     "aug_column_prompt": _W
     + f""", n as (select table_name, count(*) as width, list(struct_pack(o := ordinal, l := '  - ' || column_name || ' (' || data_type || ')') order by ordinal) as cols from w group by table_name)
         select w.table_name, column_name, 'Write one or two sentences on what this column holds. Plain text only.' || chr(10) || chr(10) || 'Table: ' || w.table_name
         || chr(10) || 'Description: ' || {_ABOUT} || chr(10) || 'Column:' || chr(10) || {_LINE} || chr(10) || 'Other columns:' || chr(10)
         || coalesce(array_to_string(list_transform(list_filter(cols, lambda e: e.o <> ordinal)[1:10], lambda e: e.l), chr(10)), '')
-        || {_more('(width - 1)', 10, ' more columns (omitted)')} as prompt from w join n using (table_name) join t using (table_name)""",
+        || {_more('(width - 1)', 10, ' further columns')} as prompt from w join n using (table_name) join t using (table_name)""",
     "aug_glossary_prompt": _W
     + f""" select table_name, 'Name up to 5 business terms that this table supports.' || chr(10) || chr(10) || 'Table: ' || table_name
         || chr(10) || 'Description: ' || {_ABOUT} || chr(10) || 'Rows: ' || coalesce(row_count::varchar, 'unknown') || chr(10) || 'Columns:' || chr(10)
-        || {_block(20, ' more columns (omitted for brevity)')} || chr(10) || chr(10)
+        || {_block(20, ' further columns')} || chr(10) || chr(10)
         || 'Answer with JSON only: {{"terms": [{{"business_term": ..., "description": ..., "synonyms": [...]}}]}}' as prompt
         from t where exists (select 1 from w where w.table_name = t.table_name)""",
     "aug_kpi_prompt": _W
     + f""", d as (select *, {_DOMAIN} as domain, row_number() over (partition by part, c_mktsegment order by c_custkey) as rank,
-        count(*) over (partition by part, c_mktsegment) as size, {_block(10, ' more columns')} as block,
+        count(*) over (partition by part, c_mktsegment) as size, {_block(10, ' further columns')} as block,
         (select string_agg('  - ' || split_part(w.table_name, '.', 2) || '.' || column_name, chr(10) order by ordinal) from w where w.table_name = t.table_name and ordinal <= 10) as names from t)
         select domain, 'Propose up to 5 indicators worth a dashboard for this business domain; none is a valid answer.' || chr(10) || chr(10) || 'Domain: ' || domain || chr(10) || chr(10)
         || string_agg('  Table: ' || table_name || ' (rows: ' || coalesce(row_count::varchar, 'unknown') || ', about: ' || {_ABOUT} || ')' || chr(10) || block, chr(10) || chr(10) order by rank)
-        || {_more('any_value(size)', 15, ' more tables (omitted)')} || chr(10) || chr(10) || 'linked_columns may only name these columns:' || chr(10) || string_agg(names, chr(10) order by rank)
+        || {_more('any_value(size)', 15, ' further tables')} || chr(10) || chr(10) || 'linked_columns may only name these columns:' || chr(10) || string_agg(names, chr(10) order by rank)
         || chr(10) || chr(10) || 'Answer with JSON only: {{"kpis": [{{"name": ..., "description": ..., "calculation": ..., "linked_columns": [...]}}]}}' as prompt
         from d where rank <= 15 and block is not null group by domain""",
     "aug_extract_json": """select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as content from conversations""",
@@ -483,5 +551,28 @@ ORACLE = {
         select id, case when stale then 'failed' else status end as status, created_at::varchar as created_at, started_at::varchar as started_at,
         case when stale then {NOW} else completed_at end::varchar as completed_at, case when stale then 'SERVER_RESTART' end as error_code,
         case when stale then 'Task was interrupted by server restart' end as error_message from s""",
+    "rh_store": _RUNS
+    + f""", c as (select c_custkey * 3 as id, case when c_nationkey < 10 then 'cancelled' end as status, case when c_acctbal > 0 then c_mktsegment end as error_code from customer),
+        u as (select id, status, created_at, null::varchar as error_code from r
+            union all select id, null, null, null from c where id not in (select id from r)
+            union all select -1 - c_custkey, 'pending', null, null from customer),
+        g as (select id, coalesce(c.status, u.status) as status, created_at, coalesce(c.error_code, u.error_code) as error_code from u left join c using (id)),
+        k as (select * from g where id not in (select l_orderkey from lineitem where l_quantity > 25)
+            and not coalesce(status in ('completed', 'failed', 'cancelled') and created_at < {NOW} - interval 720 hour, false))
+        select id, case when id = -2 then 'cancelled' else status end as status, created_at::varchar as created_at, error_code, 3 as version, 1 as rewritten from k""",
+    "aug_stage": SCORED.replace("case when ordinal % 2 = 1 then (distinct_count * 37 % 100) / 100.0::double end as judged", "0.91237::double as judged")
+    + f""", w as ({COLUMNS.format(lineitem='lineitem', orders='orders')}), t as ({TABLES.format(customer='customer')}),
+        h as (select t.*, exists (select 1 from w where w.table_name = t.table_name) as asked from t),
+        f1 as (select *, triage = 'review' as by_judge from s where triage <> 'reject'),
+        f2 as (select *, case when by_judge then decided else composite end as confidence from f1),
+        dom as (select h.part, split_part(h.table_name, '.', 2) || '.' || column_name as ref, row_number() over (partition by h.part order by h.table_name, ordinal) as place
+            from h join w using (table_name) where ordinal = 1),
+        l as (select part, count(*) as tables from t group by part)
+        select 'table' as kind, table_name, null as name, case when asked then 'all about ' || table_name else table_description end as value from h
+        union all select 'glossary', table_name, null, case when asked then 'term of ' || table_name end from h
+        union all select 'column', table_name, column_name, 'one of ' || table_name || ': ' || column_name || case when column_name like '%1' then '|email' else '' end from w
+        union all select 'kpi', part || ' / everything', 'first', (select min(ref order by place) from dom where dom.part = l.part and place = 1) from l where part in (select part from dom)
+        union all select 'filter', table_name, case when by_judge then 'by ' || column_name else column_name end,
+            case when by_judge then source else 'heuristic_only' end || '|' || confidence from f2 where triage = 'accept' or confidence >= 0.50""",
     "rh_duration": _RUNS + f" select id, round(epoch_us(coalesce(completed_at, {NOW}) - started_at) / 1e6, 3) as duration from r",
 }

@@ -227,7 +227,7 @@ def test_jdbc_options():
 
 
 def test_limits_of_the_configuration():
-    for wrong in ({"sample_size": 0}, {"top_values_limit": 0}, {"max_concurrent_tables": -1}, {"rank_buckets": 100}):
+    for wrong in ({"sample_size": 0}, {"top_values_limit": 0}, {"max_concurrent_tables": -1}, {"rank_sketch": 7}):
         with pytest.raises(ValueError):
             ProfileConfig(**wrong)
     assert ProfileConfig(sample_size=5000, top_values_limit=500, max_concurrent_tables=200).sample_size == 5000

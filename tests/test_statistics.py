@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from colsight.config import ProfileConfig, dialect
 from colsight.functions import types as kinds
-from colsight.operators.ranks import percentiles, upper_medians
+from colsight.functions.rows import constant_rows
+from colsight.operators import topvalues
+from colsight.operators.cells import Dataset
+from colsight.operators.distinct import dense_columns, distinct_counts_of
+from colsight.operators.ranks import MEDIAN, PERCENTILES, percentiles, rank_intervals, upper_medians
+from colsight.operators.summary import summaries
 from colsight.plans.column_profile import column_profile, column_statistics
 
 PERCENTS = (5, 25, 50, 75, 95)
@@ -37,26 +42,70 @@ CASES = {
 }
 
 
+def intervals(spark, values, how, shares=PERCENTILES):
+    """One row of interval ends: of the sketch, none at all, or ends that hold no rank."""
+    if how == "sketch":
+        df = spark.createDataFrame([(float(v),) for v in values], "d double").repartition(3)
+        return rank_intervals(Dataset.of({"t": df}), shares, 64)
+    ends = {"none": [None, None], "below": [-1e301, -1e301], "turned": [float(max(values)), float(min(values))]}[how] * len(shares)
+    return constant_rows(spark, [(0, *ends)], "cid int, " + ", ".join(f"{name}_{end} double" for name in shares for end in ("from", "to")))
+
+
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("buckets", [2, 16, 1024])
-def test_percentiles_equal_linear_interpolation(spark, name, buckets):
+@pytest.mark.parametrize("how", ["sketch", "none", "below", "turned"])
+def test_percentiles_equal_linear_interpolation(spark, name, how):
     values = CASES[name]
-    row = percentiles(frequency(spark, values), buckets).first()
+    row = percentiles(frequency(spark, values), intervals(spark, values, how)).first()
     expected = np.percentile(values, PERCENTS)
     assert [row.p5, row.p25, row.median, row.p75, row.p95] == pytest.approx(list(expected), rel=1e-9, abs=1e-9)
 
 
 @pytest.mark.parametrize("values", [[1, 2, 3, 10], [1, 2, 3], [4], [2, 2, 2, 9, 9, 9]])
 def test_upper_median_is_the_element_at_half(spark, values):
-    assert upper_medians(frequency(spark, values), 64).first().median == sorted(values)[len(values) // 2]
+    assert upper_medians(frequency(spark, values), intervals(spark, values, "sketch", MEDIAN)).first().median == sorted(values)[len(values) // 2]
 
 
 def test_percentiles_do_not_depend_on_partitions(spark):
     values = CASES["heavy tail"]
-    one, many = (percentiles(frequency(spark, values, p), 64).first() for p in (1, 8))
+    one, many = (percentiles(frequency(spark, values, p), intervals(spark, values, "sketch")).first() for p in (1, 8))
     assert one == many
 
 
+def test_a_sketch_leaves_little_to_sort(spark):
+    """The broadcast is two numbers for each rank, and few of the values lie in the segments that are sorted."""
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as double) as d")
+    ends = rank_intervals(Dataset.of({"t": df}), PERCENTILES, 4096)
+    assert len(ends.columns) == 1 + 2 * len(PERCENTILES)
+    row = ends.first()
+    inside = sum(df.where(F.col("d").between(row[f"{name}_from"], row[f"{name}_to"])).count() for name in PERCENTILES)
+    assert inside < 0.05 * 20_000
+
+
+def test_distinct_counts_by_bits(spark):
+    df = spark.range(3000).selectExpr(
+        "id % 700 - 300 as small", "id * 1000003 as wide", "if(id % 3 = 0, null, id) as gaps", "date_add(date '1969-06-01', cast(id % 500 as int)) as day",
+        "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(cast(id % 90 as int)) as midnight", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 7) as moment",
+        "cast(null as int) as nothing", "9223372036854775807 - id % 5 as high", "-9223372036854775807 + id % 5 as low", "if(id = 0, -9223372036854775808, 9223372036854775807) as ends", "cast(id % 11 as string) as text",
+    )
+    data = Dataset.of({"t": df, "none": df.where("small > 1000")})
+    dense = {r.name for r in dense_columns(data, data.columns) if r.table == "t"}
+    assert dense == {"small", "gaps", "day", "midnight", "high", "low"}
+    got = {r.cid: r.distinct_count for r in distinct_counts_of(data).collect()}
+    want = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).first().asDict()
+    assert {r.name: got.get(r.cid, 0) for r in data.columns if r.table == "t"} == want
+    assert not any(got.get(r.cid) for r in data.columns if r.table == "none")
+
+
+def test_a_sketch_rules_out_text(spark):
+    df = spark.range(2000).selectExpr("concat('text ', id) as long_text", "concat('k', id % 90) as few", "concat('k', id % 150) as close")
+    data = Dataset.of({"t": df})
+    sketched = {r.cid: r.approx_distinct for r in summaries(data, ProfileConfig(), ["approx_distinct"]).collect()}
+    assert [r.name for r in topvalues.text_candidates(data, sketched, ProfileConfig())] == ["few", "close"]
+    assert [r.name for r in topvalues.text_candidates(data, sketched, ProfileConfig(), [("t", "long_text")])] == ["long_text", "few", "close"]
+    rows = profile_of(df)
+    assert rows["long_text"].top_values is None and len(rows["few"].top_values) == 10 and rows["close"].top_values is None
+
+
 def test_mixed_types(spark):
     df = spark.sql(
         """select * from values
