@@ -90,7 +90,11 @@ def near_links(signatures: DataFrame, radius: int = RADIUS, similarity: float =
     block; pairs of connected items need no link. No task holds more than two blocks, and no pair that could connect two groups is left out.
     """
     places = signatures.select("item", F.posexplode("bands").alias("kind", "shard"))
-    sizes = stored(places.groupBy("kind", "shard").agg(F.count("*").alias("n"), F.min("item").alias("first")).where("n > 1"))
+    members = F.bit_xor(F.xxhash64("item")).alias("members")
+    found = places.groupBy("kind", "shard").agg(F.count("*").alias("n"), F.min("item").alias("first"), members).where("n > 1")
+    # Near copies share many bands: of the shards with the same members one is searched.
+    once = found.groupBy("n", "first", "members").agg(F.min(F.struct("kind", "shard")).alias("shard"))
+    sizes = stored(once.select("shard.kind", "shard.shard", "n", "first"))
     shared = places.join(sizes, ["kind", "shard"])
     blocks = F.ceil(F.col("n") / shard_rows).cast("int")
 
