@@ -59,21 +59,33 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
     size, n = rows.shape[1], len(rows)
     if 2 * size * (int(np.abs(parts).max(initial=0)) + int(np.abs(entries).max(initial=0))) >= 1 << 31:
         rows, book = rows.astype(object), book.astype(object)
-    row, entry = np.repeat(np.arange(n), len(book)), np.tile(np.arange(len(book)), n)
-    sums = np.zeros(len(row), rows.dtype)
-    done, until = 0, 1
-    while True:
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, rows.dtype)
+    first = (rows[:, :1] - book[:, 0]) ** 2  # the first coordinate of every pair; later ones only of those that are left
+    lead = first.argmin(axis=1)
+    gaps = rows - book[lead]
+    row, entry = np.nonzero(first <= (gaps * gaps).sum(axis=1)[:, None])
+    sums = first[row, entry]
+    done = 1
+    while done < size:
+        until = 2 * done
         gaps = rows[row, done:until] - book[entry, done:until]
         sums = sums + (gaps * gaps).sum(axis=1)
-        least = np.minimum.reduceat(sums, np.searchsorted(row, np.arange(n)))
-        hits = np.flatnonzero(sums == least[row])
-        lead = entry[hits[np.searchsorted(row[hits], np.arange(n))]]
-        if until >= size:
-            return lead, least // size
-        gaps = rows - book[lead]
-        stay = sums <= (gaps * gaps).sum(axis=1)[row]
-        row, entry, sums = row[stay], entry[stay], sums[stay]
-        done, until = until, 2 * until
+        lead = _least(row, sums, n)
+        if until < size:
+            gaps = rows - book[entry[lead]]
+            stay = sums <= (gaps * gaps).sum(axis=1)[row]
+            row, entry, sums = row[stay], entry[stay], sums[stay]
+        done = until
+    found = _least(row, sums, n)
+    return entry[found], sums[found] // size
+
+
+def _least(row: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the first place among its ``sums`` that holds the least; ``row`` ascends."""
+    least = np.minimum.reduceat(sums, np.searchsorted(row, np.arange(n)))
+    hits = np.flatnonzero(sums == least[row])
+    return hits[np.searchsorted(row[hits], np.arange(n))]
 
 
 def usable(vector: Column) -> Column:
