@@ -16,7 +16,8 @@ from colsight.sources.records import REJECTED, Records
 def _rows_read(df: DataFrame) -> DataFrame:
     """``file, rows``: the rows of each file whose every column can be decoded, up to the first damage."""
     decoded = df.select(F.col("_metadata.file_path").alias("file"), F.xxhash64(*[F.to_json(F.struct(quoted(c))) for c in df.columns]).alias("all"))
-    return decoded.groupBy("file").agg(F.count("all").alias("rows"))
+    # The hash takes part in the result, or the plan would count rows without decoding them.
+    return decoded.groupBy("file").agg(F.when(F.bit_xor("all").isNotNull(), F.count(F.lit(1))).alias("rows"))
 
 
 def _rows_promised(df: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ class FileSource:
     has_header: bool = True
     schema: str | None = None  # saves the pass that infers CSV and JSON types
     multi_line: bool = True  # quoted CSV fields may hold line breaks; then a file is read in one piece
+    block_bytes: int | None = None  # how much of a text file one task reads in a single pass; None: as the session says
 
 
 def _last_segment(path: str) -> str:

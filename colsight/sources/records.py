@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from colsight.functions.values import quoted
 from colsight.operators.cells import union_all
 from colsight.sources.readers import SEPARATORS, FileSource, file_format, matching_files, separator_counts
-from colsight.sources.staging import columnar
+from colsight.sources.staging import columnar, shared_folder
 
 REJECTED = "file string, line bigint, reason string, record string"
 _PLACE = ["file", "block"]
@@ -37,15 +37,21 @@ class Records:
 def read_records(spark: SparkSession, source: FileSource) -> Records:
     """A CSV or JSON source in one pass over its files."""
     files = matching_files(spark, source.path) if "**" in source.path else source.path
-    lines = stage_lines(spark, files)
+    lines = stage_lines(spark, files, source.block_bytes)
     return _json_records(lines, source) if file_format(source) == "json" else _csv_records(lines, source)
 
 
-def stage_lines(spark: SparkSession, files: str | list[str]) -> DataFrame:
+def stage_lines(spark: SparkSession, files: str | list[str], block_bytes: int | None = None) -> DataFrame:
     """``file, block, seq, value``: every line, with the block of its file that one task reads; ``seq`` counts up inside a block."""
-    lines = spark.read.option("lineSep", "\n").text(files)
+    reader = spark
+    if block_bytes is not None:
+        reader = spark.newSession()  # a session of its own, so that other reads keep their splits
+        reader.conf.set("spark.sql.files.maxPartitionBytes", block_bytes)
+    lines = reader.read.option("lineSep", "\n").text(files)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return columnar(lines.select(*place, F.monotonically_increasing_id().alias("seq"), "value"))
+    path = shared_folder(spark)
+    lines.select(*place, F.monotonically_increasing_id().alias("seq"), "value").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _before(blocks: DataFrame, *columns: str) -> DataFrame:
@@ -143,7 +149,12 @@ def _csv_records(lines: DataFrame, source: FileSource) -> Records:
         _rejected(whole.where(unfit), "a value is not of its type"),
         _rejected(unclosed, "a quote is never closed"),
     ]
-    return Records(columnar(whole.where(~unfit).select(*typed)), columnar(union_all(rejected)))
+    return Records(_stored(whole.where(~unfit).select(*typed)), columnar(union_all(rejected)))
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """A Parquet copy; a source without any record has no columns, which Parquet cannot hold."""
+    return columnar(rows) if rows.columns else rows.sparkSession.createDataFrame([], T.StructType([]))
 
 
 def _names(header: list[str], has_header: bool) -> list[str]:
@@ -215,7 +226,7 @@ def _json_records(lines: DataFrame, source: FileSource) -> Records:
     rejected = _rejected(parsed.where(~good), F.when(F.col("item").isNull(), "not valid JSON").otherwise("not an object"))
     rejected = columnar(rejected.unionByName(_rejected(unclosed, "a bracket is never closed")))
     names = [f.name for f in T._parse_datatype_string(schema).fields] if schema else []
-    return Records(columnar(typed.select(*[F.col(f"row.{quoted(n)}").alias(n) for n in names])), rejected)
+    return Records(_stored(typed.select(*[F.col(f"row.{quoted(n)}").alias(n) for n in names])), rejected)
 
 
 def _depth(text: Column) -> Column:

@@ -96,12 +96,8 @@ def _large_file(spark: SparkSession, sf_dir: str) -> str:
 
 def src_csv_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One large file, read once by several tasks: records are joined from lines, separator and types found on the copy."""
-    path, most = _large_file(spark, sf_dir), spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 18)  # so that a small file is spread as a large one would be
-    try:
-        found = records.read_records(spark, FileSource(path))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    # Small blocks spread this file as a large one would be.
+    found = records.read_records(spark, FileSource(_large_file(spark, sf_dir), block_bytes=1 << 18))
     return found.rows.unionByName(found.rejected.selectExpr("line as doc_id", "reason as text", "file as lang"), allowMissingColumns=True)
 
 
