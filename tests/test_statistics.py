@@ -51,8 +51,7 @@ def intervals(spark, values, how, shares=PERCENTILES):
     return constant_rows(spark, [(0, *ends)], "cid int, " + ", ".join(f"{name}_{end} double" for name in shares for end in ("from", "to")))
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("how", ["sketch", "none", "below", "turned"])
+@pytest.mark.parametrize(("name", "how"), [*[(name, "sketch") for name in CASES], *[("heavy tail", how) for how in ("none", "below", "turned")], ("many duplicates", "turned")])
 def test_percentiles_equal_linear_interpolation(spark, name, how):
     values = CASES[name]
     row = percentiles(frequency(spark, values), intervals(spark, values, how)).first()
