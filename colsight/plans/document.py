@@ -59,7 +59,10 @@ def table_structs(
     if "schema_name" not in profile.columns:
         profile = profile.withColumn("schema_name", F.lit(schema_name))
     key = ["schema_name", "table_name"]
-    statistics = column_statistics(profile)
+    if "total_count" in profile.columns:
+        statistics = column_statistics(profile)
+    else:  # statistics are switched off
+        statistics = profile.select(*key, "ordinal", "column_name", "data_type", F.lit(None).cast("string").alias("statistics"))
     if "sample_values" in profile.columns:
         # Null-safe: a table that could not be planned has one row without a column.
         samples = profile.select(*[F.col(c).alias(f"_{c}") for c in (*key, "ordinal")], "sample_values")

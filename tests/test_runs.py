@@ -120,9 +120,9 @@ def test_report_of_two_schemas(spark):
     keys = constant_rows(spark, [("a", "t", "id", True)], key + "column_name string, is_primary_key boolean").withColumn("enum_values", F.lit(None).cast("array<string>"))
     links = constant_rows(spark, [("b", "t", "fk", "ref", "a", "t")], key + "constraint_name string, from_column string, to_schema string, to_table string")
     index = constant_rows(spark, [], key + "index_name string, columns array<string>, is_unique boolean, is_primary boolean")
-    readers = union_readers(("a", {"t": spark.range(20)}), ("b", {"t": spark.range(30).selectExpr("id", "id % 4 as ref", "concat(id, '@x.org') as contact")}))
+    readers = union_readers(("a", {"t": spark.range(20)}), ("b", {"t": spark.range(3000).selectExpr("id", "id % 4 as ref", "concat(id, '@x.org') as contact")}))
     got = {r.schema_name: r.table for r in run_report(spark, readers, CatalogFrames(keys, links, index)).collect()}
-    assert (got["a"].row_count, got["b"].row_count) == (20, 30)
+    assert (got["a"].row_count, got["b"].row_count) == (20, 3000)
     marked = {s: {c.name: (c.is_primary_key, c.sensitivity_type) for c in t.columns} for s, t in got.items()}
     assert marked == {"a": {"id": (True, None)}, "b": {"id": (False, None), "ref": (False, None), "contact": (False, "email")}}
     assert [f.column_name for f in got["b"].filter_columns] == ["ref"]
