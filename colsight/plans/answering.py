@@ -1,22 +1,25 @@
 """Questions to a model that are asked once: a ledger of answers, and the whole text stage on top of it.
 
 A prompt is known by its digest. What the ledger does not hold is asked in batches, each entered when it is complete, so a run that
-is lost goes on where it stopped and asks nothing again but its last batch. A failing batch leaves its prompts unanswered: what depends
+is lost goes on where it stopped and asks nothing again but the batches it was in. A failing batch leaves its prompts unanswered: what depends
 on them keeps its defaults, and the next run asks them again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from colsight.functions.rows import constant_rows
 from colsight.operators import answers, filters, prompts, sensitivity
-from colsight.sources.staging import columnar
+from colsight.sources.staging import columnar, shared_folder
 
 Model = Callable[[pd.Series], pd.Series]
 _ANSWER = "digest string, response string"
@@ -35,7 +38,8 @@ class AnswerLedger:
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return constant_rows(self.spark, [], _ANSWER)
         # Two runs at the same time may both have asked a prompt: the larger answer counts in either.
-        return self.spark.read.schema(_ANSWER).parquet(self.folder).groupBy("digest").agg(F.max("response").alias("response"))
+        held = self.spark.read.schema(_ANSWER).option("recursiveFileLookup", True).parquet(self.folder)
+        return held.groupBy("digest").agg(F.max("response").alias("response"))
 
     def pending(self, questions: DataFrame) -> DataFrame:
         """``digest, prompt`` of the questions without an answer, each once."""
@@ -43,17 +47,44 @@ class AnswerLedger:
         return asked.join(self.known().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
 
     def ask(self, questions: DataFrame) -> DataFrame:
-        """``questions`` (any columns and ``prompt``) with ``response``: NULL where the model gave none."""
+        """``questions`` (any columns and ``prompt``) with ``response``: NULL where the model gave none.
+
+        The prompts that wait are stored in files of at most ``batch_rows``, and a batch reads its own files and no others. Batches run side by
+        side, as many as there are cores, each entered in a folder of its own.
+        """
         questions = columnar(questions)
-        waiting = columnar(self.pending(questions))
-        count = waiting.count()
-        batches = -(-count // self.batch_rows)
-        numbered = waiting.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(max(1, batches))))
-        for batch in range(batches):
-            replies = sensitivity.ask(numbered.where(F.col("batch") == batch).select("digest", "prompt"), self.model)
-            replies.where("response is not null").select("digest", "response").write.mode("append").parquet(self.folder)
+        waiting = shared_folder(self.spark)
+        self.pending(questions).write.option("maxRecordsPerFile", self.batch_rows).parquet(waiting)
+        threads = self.spark.sparkContext.defaultParallelism
+        pool = ThreadPoolExecutor(threads)
+        try:
+            running = [pool.submit(inheritable_thread_target(self.spark)(self._enter), files) for files in self._batches(waiting)]
+            for done in running:
+                done.result()
+        finally:
+            pool.shutdown(cancel_futures=True)
         keyed = questions.withColumn("digest", F.sha2("prompt", 256))
-        return columnar(keyed.join(self.known(), "digest", "left").drop("digest"))
+        return keyed.join(self.known(), "digest", "left").drop("digest")
+
+    def _batches(self, path: str) -> list[list[str]]:
+        """The files of stored prompts, put together up to ``batch_rows`` rows; their number follows the number of batches."""
+        stored = self.spark.read.schema("digest string, prompt string").parquet(path)
+        counts = stored.groupBy(F.col("_metadata.file_path").alias("file")).count().orderBy("file").collect()
+        batches: list[list[str]] = []
+        free = 0
+        for file, count in counts:
+            if count > free:
+                batches.append([])
+                free = self.batch_rows
+            batches[-1].append(file)
+            free -= count
+        return batches
+
+    def _enter(self, files: list[str]) -> None:
+        prompts = self.spark.read.schema("digest string, prompt string").parquet(*files)
+        replies = sensitivity.ask(prompts, self.model).where("response is not null")
+        # A folder for each batch: batches that end at the same time do not touch each other's files.
+        replies.select("digest", "response").write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
 
 
 @dataclass(frozen=True)

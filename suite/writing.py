@@ -17,7 +17,7 @@ from colsight.functions import text
 from colsight.operators import answers, filters, history, prompts, sensitivity
 from colsight.plans.answering import AnswerLedger, text_stage
 from colsight.sources.runstore import RunStore
-from colsight.sources.staging import shared_folder
+from colsight.sources.staging import columnar, shared_folder
 from suite.filtering import COLUMNS as MEASURED
 from suite.filtering import ORACLE as FILTERING
 from suite.filtering import _CTE as SCORED
@@ -383,7 +383,7 @@ def model(questions: pd.Series) -> pd.Series:
 def aug_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answer of the text stage merged into its place, from tables to descriptions, glossary, sensitivity, KPIs and judgments."""
     tables = wide_tables(spark, sf_dir).withColumn("row_count", F.col("row_count").cast("bigint"))
-    scored = candidates(spark, sf_dir, top=True)
+    scored = columnar(candidates(spark, sf_dir, top=True))  # one row per column, read twice
     roles = scored.select("table_name").distinct().withColumn("table_role", F.lit("unknown"))
     ledger = AnswerLedger(spark, shared_folder(spark), model, 100_000)
     done = text_stage(ledger, tables, wide_columns(spark, sf_dir), scored, roles, domain_split="part")

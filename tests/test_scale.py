@@ -33,6 +33,20 @@ def plan_of(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_batch_reads_its_own_prompts(spark, tmp_path, monkeypatch):
+    read = []
+
+    def ask(frame, model):
+        read.append(set(frame.inputFiles()))
+        return frame.withColumn("response", F.upper("prompt"))
+
+    monkeypatch.setattr("colsight.plans.answering.sensitivity.ask", ask)
+    questions = spark.range(40).selectExpr("id", "concat('q', id) as prompt")
+    done = AnswerLedger(spark, str(tmp_path / "ledger"), None, batch_rows=10).ask(questions)
+    assert {r.response for r in done.collect()} == {f"Q{i}" for i in range(40)}
+    assert len(read) >= 4 and sum(map(len, read)) == len(set.union(*read))
+
+
 def test_numbered_lines_are_stored_once(spark, tables):
     names = ("columns", "key_usage", "statistics", "checks", "clauses", "tables")
     for name, frame in zip(names, derived_frames(spark, tables, *names), strict=True):
