@@ -47,6 +47,23 @@ def test_a_batch_reads_its_own_prompts(spark, tmp_path, monkeypatch):
     assert len(read) >= 4 and sum(map(len, read)) == len(set.union(*read))
 
 
+def test_columns_without_foreign_key_stay_spread(spark):
+    signals = spark.range(4000).selectExpr("'t' as table_name", "concat('c', id) as column_name", "if(id % 100 = 0, 's.u', null) as fk_referenced_table")
+    counts = spark.sql("select 's' as schema_name, 'u' as table_name, 7L as row_count union all select null, null, 9L")
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = filters.with_referenced_rows(signals, counts, counts)
+        most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        rows = {(r.fk_referenced_table, r.fk_referenced_rows): r["count"] for r in found.groupBy("fk_referenced_table", "fk_referenced_rows").count().collect()}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert rows == {("s.u", 7): 40, (None, None): 3960} and most < 1500
+    assert set(found.columns) == {"table_name", "column_name", "fk_referenced_table", "fk_referenced_rows"}
+
+
 def test_numbered_lines_are_stored_once(spark, tables):
     names = ("columns", "key_usage", "statistics", "checks", "clauses", "tables")
     for name, frame in zip(names, derived_frames(spark, tables, *names), strict=True):
