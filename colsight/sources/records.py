@@ -2,8 +2,8 @@
 
 A record may cover several lines: a CSV field with line breaks in quotes, an element of a JSON array. Whether a line goes on with
 the record before it follows from a sum over all earlier lines of its file, of quotes or of brackets. Sums are taken
-inside the blocks that tasks read, and over the blocks of a file, so a large file stays spread over many tasks. What is no record is
-kept with its file, line and reason.
+inside the blocks that tasks read, and over the blocks of a file, so a large file stays spread over many tasks: what is known of files and
+blocks, a row for each, is broadcast, and lines never meet by file. What is no record is kept with its file, line and reason.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _grouped(lines: DataFrame, step: Column, is_start: Callable[[Column], Column
     blocks = columnar(_before(blocks, "sum", "n"))
     inside = Window.partitionBy(*_PLACE).orderBy("seq")
     # One block of a file enters a window partition.
-    summed = stepped.join(blocks.drop("sum", "n"), _PLACE).withColumns(
+    summed = stepped.join(F.broadcast(blocks.drop("sum", "n")), _PLACE).withColumns(
         {
             "at": F.col("sum_before") + F.coalesce(F.sum("step").over(inside.rowsBetween(*_EARLIER)), F.lit(0)),
             "line": F.col("n_before") + F.col("seq") - F.col("first") + 1,
@@ -79,12 +79,12 @@ def _grouped(lines: DataFrame, step: Column, is_start: Callable[[Column], Column
     )
     marked = columnar(summed.withColumn("start", is_start(F.col("at")).cast("long")).select("file", "block", "seq", "line", "at", "value", "start"))
     starts = _before(marked.groupBy(*_PLACE).agg(F.sum("start").alias("start")), "start").drop("start")
-    numbered = marked.join(starts, _PLACE).withColumn("number", F.col("start_before") + F.sum("start").over(inside))
+    numbered = marked.join(F.broadcast(starts), _PLACE).withColumn("number", F.col("start_before") + F.sum("start").over(inside))
     files = blocks.groupBy("file").agg(closed(F.sum("sum")).alias("closed"))
     counted = marked.groupBy("file").agg(F.sum("start").alias("records"))
     # Per record: its first line, its lines in order.
     open_ends = files.where("not closed").join(counted, "file").select("file", "records")
-    told = numbered.join(open_ends, "file", "left").withColumn("open", F.coalesce(F.col("number") == F.col("records"), F.lit(False)))
+    told = numbered.join(F.broadcast(open_ends), "file", "left").withColumn("open", F.coalesce(F.col("number") == F.col("records"), F.lit(False)))
     told = columnar(told.select("file", "line", "at", "value", "number", "open"))
     ordered = F.array_sort(F.collect_list(F.struct("line", "value")))
     text = F.array_join(F.transform(ordered, lambda e: e["value"]), "\n")
@@ -96,7 +96,7 @@ def _grouped(lines: DataFrame, step: Column, is_start: Callable[[Column], Column
 def _whole_lines(lines: DataFrame) -> DataFrame:
     """``file, line, record`` where each line is a record."""
     blocks = _before(lines.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")), "n")
-    numbered = lines.join(blocks.drop("n"), _PLACE)
+    numbered = lines.join(F.broadcast(blocks.drop("n")), _PLACE)
     return numbered.select("file", (F.col("n_before") + F.col("seq") - F.col("first") + 1).alias("line"), F.col("value").alias("record"))
 
 
@@ -111,7 +111,7 @@ def _rejected(frame: DataFrame, reason: str | Column) -> DataFrame:
 
 def _split(lines: DataFrame, files: DataFrame, test: str) -> tuple[DataFrame, DataFrame]:
     """The lines of the files that meet a test, and the others; one row per file decides."""
-    marked = lines.join(files.select("file", F.expr(test).alias("meets")), "file")
+    marked = lines.join(F.broadcast(files.select("file", F.expr(test).alias("meets"))), "file")
     return marked.where("meets").drop("meets"), marked.where("not meets").drop("meets")
 
 

@@ -86,18 +86,17 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read(spark, FileSource(f"{path}/**/part-*", file_format="json"))
 
 
-def _large_file(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as one CSV file, with line breaks and quotes inside fields."""
+def _large_files(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as CSV files of many blocks each, with line breaks and quotes inside fields; no task writes more than it reads."""
     path = shared_folder(spark)
-    written = load(spark, sf_dir, "documents").coalesce(1).write.option("escape", '"').option("quoteAll", True)
-    written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="|", header=True)
+    _write_documents(spark, sf_dir, path, rows_per_file=50_000)
     return path
 
 
 def src_csv_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One large file, read once by several tasks: records are joined from lines, separator and types found on the copy."""
-    # Small blocks spread this file as a large one would be.
-    found = records.read_records(spark, FileSource(_large_file(spark, sf_dir), block_bytes=1 << 18))
+    """Large files, each read once by several tasks: records are joined from lines, separator and types found on the copy."""
+    # Small blocks spread a file as a larger one would be.
+    found = records.read_records(spark, FileSource(_large_files(spark, sf_dir), block_bytes=1 << 18))
     return found.rows.unionByName(found.rejected.selectExpr("line as doc_id", "reason as text", "file as lang"), allowMissingColumns=True)
 
 

@@ -64,6 +64,24 @@ def test_columns_without_foreign_key_stay_spread(spark):
     assert set(found.columns) == {"table_name", "column_name", "fk_referenced_table", "fk_referenced_rows"}
 
 
+def test_large_files_are_written_by_several_tasks(spark, tables):
+    path = profiles._large_files(spark, tables)
+    assert len(glob.glob(f"{path}/*.csv")) == 4
+
+
+def test_lines_do_not_meet_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a|b\n1|"x\ny"\n2|z\n')
+    lines = records.stage_lines(spark, str(tmp_path / "a.csv"))
+    files = lines.groupBy("file").agg(F.lit(True).alias("wrapped"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = records._split(lines, files, "wrapped")[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_numbered_lines_are_stored_once(spark, tables):
     names = ("columns", "key_usage", "statistics", "checks", "clauses", "tables")
     for name, frame in zip(names, derived_frames(spark, tables, *names), strict=True):
