@@ -71,11 +71,16 @@ def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written with ``|`` and quotes, so with line breaks inside fields, and read back; the separator is found."""
     path = shared_folder(spark)
-    written = load(spark, sf_dir, "documents").write.option("escape", '"').option("quoteAll", True)
-    written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="|", header=True)
+    # A file that may hold line breaks in its fields is read in one piece, so that files stay small.
+    _write_documents(spark, sf_dir, path, rows_per_file=5_000)
     return readers.read(spark, FileSource(path))
 
 
+def _write_documents(spark: SparkSession, sf_dir: str, path: str, rows_per_file: int) -> None:
+    written = load(spark, sf_dir, "documents").write.option("escape", '"').option("quoteAll", True).option("maxRecordsPerFile", rows_per_file)
+    written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="|", header=True)
+
+
 def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One glob over a folder of line files and a folder of array files, each with up to 200 suppliers."""
     path, suppliers = shared_folder(spark), load(spark, sf_dir, "supplier")

@@ -95,3 +95,8 @@ def test_numbered_lines_are_stored_once(spark, tables):
 @pytest.mark.parametrize("query", [filtering.fd_schema_signals, runs.prf_table_facts, catalogs.cat_indexes, catalogs.cat_check_values, catalogs.cat_column_comments])
 def test_queries_take_the_stored_lines(spark, tables, query):
     assert "l_extendedprice" not in plan_of(query(spark, tables))
+
+
+def test_small_files_for_fields_with_line_breaks(spark, tables):
+    spark.read.parquet(f"{tables}/documents.parquet").coalesce(1).write.parquet(f"{tables}/one/documents.parquet")
+    assert len(profiles.src_csv(spark, f"{tables}/one").inputFiles()) == 3
