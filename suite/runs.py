@@ -75,18 +75,26 @@ def prf_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as two files, profiled; a third file comes, and only that one is read. Estimates are compared with exact ranks and counts."""
+    """``lineitem`` in two parts, profiled; a third part comes, and only its files are read. Estimates are compared with exact ranks and counts."""
     path, lines = shared_folder(spark), load(spark, sf_dir, "lineitem")
     ledger = ProfileLedger(spark, shared_folder(spark))
 
     def write(part: int) -> None:
-        lines.where(F.pmod("l_orderkey", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+        lines.where(F.pmod("l_orderkey", F.lit(3)) == part).write.parquet(f"{path}/part-{part}")
+
+    def parts_read() -> int:
+        """How many parts the update that follows finds new files in; it reads these files, all of them and no others."""
+        waiting = ledger.unread(path)
+        found = waiting.agg(F.countDistinct(F.regexp_extract("file", r"/part-(\d+)/[^/]*$", 1)).alias("parts"), F.count(F.lit(1)).alias("files")).first()
+        if ledger.update(path) != found.files:
+            raise RuntimeError("an update read other files than those that were new")
+        return found.parts
 
     write(0)
     write(1)
-    first = ledger.update(path)
+    first = parts_read()
     write(2)
-    second = ledger.update(path)
+    second = parts_read()
     profile = ledger.profile(path).withColumns({"first_read": F.lit(first), "second_read": F.lit(second)})
     numbers = [c for c, kind in SCHEMAS["lineitem"].items() if kind == "numeric"]
     found = {r.column_name: r for r in profile.where("category = 'numeric'").collect()}  # one row per column

@@ -82,6 +82,14 @@ def test_lines_do_not_meet_by_file(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_parts_of_many_files(spark, tables, tmp_path, monkeypatch):
+    folders = iter([str(tmp_path / "parts"), str(tmp_path / "ledger")])
+    monkeypatch.setattr(runs, "shared_folder", lambda _: next(folders))
+    read = {(r.first_read, r.second_read) for r in runs.prf_incremental(spark, tables).collect()}
+    assert read == {(2, 1)}
+    assert all(len(glob.glob(f"{tmp_path}/parts/part-{part}/*.parquet")) > 1 for part in range(3))
+
+
 def test_numbered_lines_are_stored_once(spark, tables):
     names = ("columns", "key_usage", "statistics", "checks", "clauses", "tables")
     for name, frame in zip(names, derived_frames(spark, tables, *names), strict=True):
