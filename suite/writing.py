@@ -80,15 +80,23 @@ def sn_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.prompts(batched.join(tables, "table_name"))
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored row per batch: the entries of its answer, and the names of its columns."""
     batched = sensitivity.batches(wide_columns(spark, sf_dir), 20)
-    entries = batched.groupBy("table_name", "batch", "o_custkey").agg(ordered_join("ordinal", ENTRY).alias("entries"))
-    responses = entries.select("table_name", "batch", F.expr(RESPONSE).alias("response"))
-    return sensitivity.parse_responses(responses, batched.select("table_name", "batch", "column_name"))
+    pairs = F.array_sort(F.collect_list(F.struct("ordinal", F.expr(ENTRY).alias("entry"), "column_name")))
+    grouped = batched.groupBy("table_name", "batch", "o_custkey").agg(pairs.alias("p"))
+    # An entry without a name is NULL and left out of the answer.
+    entries = F.array_join("p.entry", ",").alias("entries")
+    return columnar(grouped.select("table_name", "batch", "o_custkey", entries, F.col("p.column_name").alias("names")))
+
+
+def _verdicts(asked: DataFrame) -> DataFrame:
+    responses = asked.select("table_name", "batch", F.expr(RESPONSE).alias("response"))
+    return sensitivity.parse_responses(responses, asked.select("table_name", "batch", F.explode("names").alias("column_name")))
 
 
 def sn_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir)
+    return _verdicts(_asked(spark, sf_dir))
 
 
 def sn_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +109,14 @@ def sn_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sn_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts applied to every column; those of one batch are missing, as after a failed call."""
-    answered = _verdicts(spark, sf_dir).where("batch <> 1")
-    columns = wide_columns(spark, sf_dir).select("table_name", "column_name")
+    asked = _asked(spark, sf_dir)
+    answered = _verdicts(asked).where("batch <> 1")
+    columns = asked.select("table_name", F.explode("names").alias("column_name"))
     return sensitivity.apply_verdicts(columns, answered)
 
 
 def sn_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensitivity.rollup(_verdicts(spark, sf_dir), "table_name", "batch")
+    return sensitivity.rollup(_verdicts(_asked(spark, sf_dir)), "table_name", "batch")
 
 
 EVIDENCE_TABLES = {

@@ -105,6 +105,11 @@ def test_queries_take_the_stored_lines(spark, tables, query):
     assert "l_extendedprice" not in plan_of(query(spark, tables))
 
 
+def test_verdicts_take_the_columns_once(spark, tables):
+    for query in (writing.sn_parse, writing.sn_apply, writing.sn_rollup):
+        assert "Window" not in plan_of(query(spark, tables))
+
+
 def test_small_files_for_fields_with_line_breaks(spark, tables):
     spark.read.parquet(f"{tables}/documents.parquet").coalesce(1).write.parquet(f"{tables}/one/documents.parquet")
     assert len(profiles.src_csv(spark, f"{tables}/one").inputFiles()) == 3
