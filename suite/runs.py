@@ -14,7 +14,7 @@ from colsight.operators import catalog
 from colsight.plans.incremental import ProfileLedger
 from colsight.plans.run import profile_run, table_facts, union_readers
 from colsight.sources.staging import shared_folder
-from suite.derived import ctes, derived
+from suite.derived import ctes, derived_frames
 from suite.profiles import SCHEMAS, _profile_sql
 from suite.statistics import flat_profile
 from suite.tables import load
@@ -63,10 +63,10 @@ def prf_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prf_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog facts beside the profile of two schemas: every customer's schema of the derived catalog that the run chose."""
     config = ProfileConfig(include_sample_data=False, include_data_freshness=False)
-    tables, columns = derived(spark, sf_dir, "tables"), derived(spark, sf_dir, "columns")
+    tables, columns, statistics, *linked = derived_frames(spark, sf_dir, "tables", "columns", "statistics", "referential", "key_usage", "constraints")
     run = columns.select(F.col("table_schema").alias("schema_name"), "table_name", "column_name", F.col("l_quantity").alias("total_count"))
-    indexes = catalog.indexes_from_statistics(derived(spark, sf_dir, "statistics"))
-    links = catalog.foreign_keys(*(derived(spark, sf_dir, n) for n in ("referential", "key_usage", "constraints")))
+    indexes = catalog.indexes_from_statistics(statistics)
+    links = catalog.foreign_keys(*linked)
     sized = tables.select("table_schema", "table_name", "description", F.col("data_length").alias("size_bytes"), (F.col("data_length") + F.col("index_length")).alias("total_size_bytes"))
     facts = table_facts(run, config, sized, None, indexes, links, catalog.freshness(tables, "mysql"))
     listed = {name: F.array_join(F.transform(name, lambda e: e[field]), ",").alias(name) for name, field in (("indexes", "index_name"), ("relationships", "from_column"))}
