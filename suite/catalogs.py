@@ -11,7 +11,7 @@ from colsight.operators import catalog, overview
 from colsight.operators.cells import union_all
 from colsight.sources import provider
 from colsight.sources.staging import columnar, shared_folder
-from suite.derived import ctes, derived
+from suite.derived import ctes, derived, derived_frames
 from suite.profiles import SCHEMAS
 from suite.tables import NAMES, load
 
@@ -19,7 +19,7 @@ EXCLUDED = ("schema_1", "schema_2", "schema_3")
 
 
 def _frames(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [derived(spark, sf_dir, name) for name in names]
+    return derived_frames(spark, sf_dir, *names)
 
 
 def joined(array: str) -> F.Column:
