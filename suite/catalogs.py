@@ -54,7 +54,7 @@ def cat_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cat_column_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments by field path and by attribute number, attached to their columns."""
-    (columns,) = _frames(spark, sf_dir, "columns")
+    columns = columnar(derived(spark, sf_dir, "columns").select("table_schema", "table_name", "column_name", "table_id", "attribute_number", "description", "l_linestatus"))  # read three times
     nested = F.when(F.col("l_linestatus") == "F", F.col("column_name")).otherwise(F.concat("column_name", F.lit(".part")))
     by_path = catalog.top_level_comments(columns.withColumn("field_path", nested))
     numbered = columns.select("table_id", "attribute_number", F.concat(F.lit("number "), "attribute_number").alias("description"))
