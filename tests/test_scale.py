@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colsight.operators import filters, prompts
 from colsight.plans.answering import AnswerLedger
+from colsight.plans.column_profile import column_profile
 from colsight.sources import records
 from suite import catalogs, filtering, profiles, runs, writing
 from suite.derived import DERIVED, derived, derived_frames
@@ -119,3 +120,9 @@ def test_leading_columns_are_ranked_once(spark, tables):
     columns = writing.wide_columns(spark, tables)
     found = prompts.kpi_prompts(writing._domains(spark, tables), writing.wide_tables(spark, tables), columns.drop("o_custkey"), 5)
     assert plan_of(found).count("WindowGroupLimit") == 2  # of columns, and of the tables of a domain
+
+
+def test_numbers_are_counted_once(spark, tables):
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").select("l_orderkey", "l_tax")
+    plan = plan_of(column_profile({"lineitem": lines}))
+    assert "Generate stack" not in plan
