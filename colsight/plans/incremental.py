@@ -29,6 +29,7 @@ _STATE = {
     "empty_count": "bigint", "true_count": "bigint", "false_count": "bigint", "min_text": "string", "max_text": "string",
     "distinct": "binary", "ranks": "binary",
 }
+_COUNTS = ("rows", "present", "zero_count", "negative_count", "empty_count", "true_count", "false_count")
 _FILE = ("file", "modified", "size")
 HLL_BITS, KLL_SIZE = 14, 400  # a relative error of 0.8 % (one deviation) and a rank error of 0.7 % (99 %)
 FILES_PER_JOB = 10_000
@@ -76,13 +77,20 @@ def _slices(refs: tuple[ColumnRef, ...], limit: int) -> Iterator[list[ColumnRef]
         yield held
 
 
-def file_states(df: DataFrame, config: ProfileConfig | None = None) -> Iterator[DataFrame]:
-    """The state of each file and column that ``df`` reads, in slices of columns: one aggregate per file, combined before the shuffle."""
+def file_states(df: DataFrame, config: ProfileConfig | None = None, named: DataFrame | None = None) -> Iterator[DataFrame]:
+    """The state of each file and column that ``df`` reads, in slices of columns: one aggregate per file, combined before the shuffle.
+
+    A file without rows is in no group: it has a state, of zero counts, if ``named`` lists it (``file``).
+    """
     data = Dataset.of({"files": df})
     for refs in _slices(data.columns, (config or ProfileConfig()).aggregates_per_scan):
         wanted = {ref.cid: _aggregates(ref) for ref in refs}
         computed = [F.expr(sql).alias(f"c{cid}_{name}") for cid, parts in wanted.items() for name, sql in parts.items()]
         files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(*computed)
+        if named is not None:
+            # Sketches are larger than their estimate: they are never broadcast.
+            files = named.select("file").join(files.hint("merge"), "file", "left")
+            files = files.fillna(0, [f"c{cid}_{name}" for cid, parts in wanted.items() for name in _COUNTS if name in parts])
         rows = []
         for ref in refs:
             fields = [f"'{name}', cast({f'c{ref.cid}_{name}' if name in wanted[ref.cid] else 'null'} as {kind})" for name, kind in _STATE.items()]
@@ -139,7 +147,7 @@ class ProfileLedger:
             files = waiting[at : at + files_per_job]
             frame = self.spark.read.option("mergeSchema", True).parquet(*[f.path for f in files])
             stamps = self.spark.createDataFrame([(f.file, f.modified, f.size) for f in files], "file string, modified timestamp, size bigint")
-            for states in file_states(frame, config):
+            for states in file_states(frame, config, stamps):
                 # At most files_per_job names.
                 stamped = states.join(F.broadcast(stamps), "file").withColumn("batch", F.lit(batch))
                 stamped.write.mode("append").parquet(f"{self.folder}/states")

@@ -196,6 +196,17 @@ def test_changed_and_lost_files(spark, tmp_path):
     assert (got["id"].min, got["id"].max) == (200, 5049)
 
 
+def test_files_without_rows(spark, tmp_path):
+    path, ledger = str(tmp_path / "t"), ProfileLedger(spark, str(tmp_path / "ledger"))
+    write(spark, path, 0, 0)
+    assert ledger.update(path) == 1
+    assert {(r.total_count, r.non_null_count, r.distinct_count) for r in ledger.profile(path).collect()} == {(0, 0, 0)}
+    write(spark, path, 0, 1000)
+    write(spark, path, 0, 0)
+    assert ledger.update(path) == 2 and ledger.update(path) == 0
+    compare(spark, ledger, path)
+
+
 def test_an_unfinished_batch_counts_for_nothing(spark, tmp_path):
     path, ledger = str(tmp_path / "t"), ProfileLedger(spark, str(tmp_path / "ledger"))
     write(spark, path, 0, 50)
