@@ -111,6 +111,26 @@ def test_verdicts_take_the_columns_once(spark, tables):
         assert "Window" not in plan_of(query(spark, tables))
 
 
+def test_the_spreading_key_stays_a_key(spark):
+    signals = spark.range(4000).selectExpr("'t' as table_name", "concat('c', id) as column_name", "if(id % 100 = 0, 's.u', null) as fk_referenced_table")
+    counts = spark.range(1).selectExpr("'s' as schema_name", "'u' as table_name", "7L as row_count")
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = filters.with_referenced_rows(signals, counts, counts)
+        most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert found.where("fk_referenced_rows = 7").count() == 40 and found.count() == 4000 and most < 1500
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
+def test_only_foreign_keys_meet_the_row_counts(spark, tables):
+    joins = [line for line in plan_of(filtering.fd_schema_score(spark, tables)).splitlines() if "Join" in line]
+    assert sum("_target" in line for line in joins) == 2 and "_target" not in joins[0]
+
+
 def test_small_files_for_fields_with_line_breaks(spark, tables):
     spark.read.parquet(f"{tables}/documents.parquet").coalesce(1).write.parquet(f"{tables}/one/documents.parquet")
     assert len(profiles.src_csv(spark, f"{tables}/one").inputFiles()) == 3
