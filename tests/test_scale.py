@@ -111,6 +111,12 @@ def test_verdicts_take_the_columns_once(spark, tables):
         assert "Window" not in plan_of(query(spark, tables))
 
 
+@pytest.mark.parametrize("query", [writing.sn_parse, writing.sn_apply, writing.sn_rollup])
+def test_entries_of_answers_are_not_broadcast(spark, tables, query):
+    plan = query(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "batch" in line for line in plan.splitlines())
+
+
 def test_the_spreading_key_stays_a_key(spark):
     signals = spark.range(4000).selectExpr("'t' as table_name", "concat('c', id) as column_name", "if(id % 100 = 0, 's.u', null) as fk_referenced_table")
     counts = spark.range(1).selectExpr("'s' as schema_name", "'u' as table_name", "7L as row_count")
