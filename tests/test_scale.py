@@ -137,6 +137,14 @@ def test_only_foreign_keys_meet_the_row_counts(spark, tables):
     assert sum("_target" in line for line in joins) == 2 and "_target" not in joins[0]
 
 
+def test_a_few_questions_shuffle_no_answers(spark, tmp_path):
+    ledger = AnswerLedger(spark, str(tmp_path / "ledger"), lambda prompts: "re: " + prompts)
+    ledger.ask(spark.range(50).selectExpr("concat('q', id) as prompt"))
+    few = ledger.ask(spark.sql("select 1L as id, 'q3' as prompt union all select 2L, 'new'"))
+    assert "LeftSemi" in plan_of(few)
+    assert {r.id: r.response for r in few.collect()} == {1: "re: q3", 2: "re: new"}
+
+
 def test_small_files_for_fields_with_line_breaks(spark, tables):
     spark.read.parquet(f"{tables}/documents.parquet").coalesce(1).write.parquet(f"{tables}/one/documents.parquet")
     assert len(profiles.src_csv(spark, f"{tables}/one").inputFiles()) == 3

@@ -156,6 +156,17 @@ def test_text_stage(spark, tmp_path):
     assert [(r.domain, r.name, r.linked_columns) for r in done.kpis.collect()] == [("s / D", "K", ["t.id"])] and done.filters is None
 
 
+def test_columns_are_described_last(spark, tmp_path):
+    log = str(tmp_path / "asked")
+    tables = spark.sql("select 't' as table_name, 's' as schema_name, 'old' as table_description, 5L as row_count")
+    columns = spark.sql("select 't' as table_name, 1 as ordinal, 'id' as column_name, 'int' as data_type, true as is_primary_key, false as is_nullable, '' as description")
+    columns = columns.withColumns({"enum_values": F.array().cast("array<string>"), "sample_values": F.array().cast("array<string>")})
+    done = text_stage(AnswerLedger(spark, str(tmp_path / "l"), counting(log)), tables, columns)
+    openings = [line[:13] for line in open(log).read().split("\n") if line.startswith(("Write", "Decide", "Name up", "Sort these"))]
+    assert openings == ["Write one to ", "Decide for ev", "Name up to 5 ", "Sort these ta", "Write one or "]
+    assert done.columns.count() == 1
+
+
 def test_spark_catalog(spark, tmp_path):
     spark.sql(f"create database shop location '{tmp_path}'")
     try:
